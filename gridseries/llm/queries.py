@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gridseries.llm import chat, language_id, mixing
+from gridseries.llm import chat, decontaminate, language_id, mixing
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op4_decontaminate": decontaminate.op4,
     "op9_chat_format": chat.op9,
     "op10_mix_sources": mixing.op10,
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
