@@ -132,3 +132,8 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def texts_of(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
+
+
+def or_empty(table: pa.Table, **columns: pa.DataType) -> pa.Table:
+    """`table`; where a cogroup had no rows on this side, and so no columns, a table with them."""
+    return table if table.num_rows else pa.schema(list(columns.items())).empty_table()

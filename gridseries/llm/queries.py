@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridseries.llm import chat, decontaminate, language_id, mixing, substring_dedup
+from gridseries.llm import chat, decontaminate, jaccard_join, language_id, mixing, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_substring_dedup": substring_dedup.op2,
+    "op3_jaccard_join": jaccard_join.op3,
     "op4_decontaminate": decontaminate.op4,
     "op9_chat_format": chat.op9,
     "op10_mix_sources": mixing.op10,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }

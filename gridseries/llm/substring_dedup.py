@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm.arrowtext import Words, texts_of
+from gridseries.llm.arrowtext import Words, or_empty, texts_of
 from gridseries.llm.session import shuffle_partitions
 
 WINDOW = 13
@@ -84,7 +84,7 @@ def _repeats(chunk: pa.Table, answers: pa.Table, blocks: int, window: int) -> tu
     at, grams = words.grams(window)
     keys, first, which = np.unique(grams, return_index=True, return_inverse=True)
     sizes = np.diff(split(keys, blocks))
-    answers = answers.sort_by("block")
+    answers = or_empty(answers, block=pa.int32(), bits=pa.binary()).sort_by("block")
     got = [np.unpackbits(np.frombuffer(bits, np.uint8), count=sizes[b]) for b, bits in zip(answers.column("block").to_pylist(), answers.column("bits").to_pylist())]
     earlier = np.concatenate(got).astype(bool) if got else np.zeros(len(keys), bool)
     ids = np.asarray(chunk.column("doc_id").cast(pa.int64()).fill_null(_LAST))
@@ -105,8 +105,6 @@ def factors(starts: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[t
 
 def _parse(blocks: int, window: int, names: list[str], out_type: pa.DataType):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return chunk.select(names).append_column("parsed", pa.array([], out_type))
         chunk = chunk.sort_by([("doc_id", "ascending")])
         words, at, repeated = _repeats(chunk, answers, blocks, window)
         bounds = np.searchsorted(words.doc[at], np.arange(words.n_docs + 1)) if len(at) else np.zeros(words.n_docs + 1, np.int64)
