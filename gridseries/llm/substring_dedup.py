@@ -137,7 +137,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = N
     blocks, chunks = blocks or n, chunks or 2 * n
     docs = docs.drop("parsed", "chunk")
     dealt = by_doc_range(docs, chunks).repartition(n, "chunk")
-    sent = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(_send(blocks, window), "block int, chunk int, keys binary")
+    # All columns here too: so the texts are shuffled once, and both readers share that exchange.
+    sent = dealt.groupBy("chunk").applyInArrow(_send(blocks, window), "block int, chunk int, keys binary")
     answers = sent.groupBy("block").applyInArrow(_index, "chunk int, block int, bits binary")
     kind = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,n_words:bigint>>,kept:string>"
     schema = docs.withColumn("parsed", F.lit(None).cast(kind)).schema
