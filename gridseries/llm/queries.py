@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridseries.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, substring_dedup
+from gridseries.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_substring_dedup": substring_dedup.op2,
     "op3_jaccard_join": jaccard_join.op3,
     "op4_decontaminate": decontaminate.op4,
+    "op5_quality_rules": quality.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_pii_surrogates": pii.op8,
     "op9_chat_format": chat.op9,
