@@ -1,29 +1,62 @@
-"""From raw documents to a weighted mix: the stages of the corpus pipeline."""
+"""From raw documents to a weighted mix: the stages of the corpus pipeline.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridseries.llm import language_id, mixing
+from gridseries.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
+from gridseries.llm.session import checkpointed
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is beyond doubt; their `lang` stays as it was given."""
-    return language_id.identify(docs).where(~language_id.F.col("language.rejected")).select(*docs.columns)
+    """Without the documents whose language is rejected: no letters, or too narrow a margin."""
+    return language_id.identify(docs).where(~F.col("language.rejected")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines of recurring templates, and without documents that consist of nothing else."""
+    got = line_dedup.drop_templates(docs)
+    got = got.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return got.select(*[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
+    copies = jaccard_join.near_duplicates(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: its copies and its words times those."""
+    got = mixing.mix_documents(docs)
+    return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-STAGES = [("language_id", identify_language), ("mix", mix)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", join_near_duplicates),
+    ("decontaminate", remove_contaminated),
+    ("mix_sources", mix_sources),
+]
 
-#: Compression, clustering and random rounding have no SQL form; tests use brute force.
+#: Compression, template clustering and random rounding have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = checkpointed(docs)
     return docs
