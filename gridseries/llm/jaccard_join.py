@@ -13,7 +13,7 @@ its first tokens as two linked sets cannot both miss.  Then
 
 Candidates that share a signature are verified on whole sets.  Each signature group is verified
 against its smallest document first; groups that fall into more than one component after that are
-gone through in full, in blocks of twice as many pivots each round, so no link is lost.
+gone through in full, with eight times as many pivots each round, so no link is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.llm.arrowtext import Words, mix, or_empty, texts_of
-from gridseries.llm.components import components
+from gridseries.llm.components import components, merged
 from gridseries.llm.session import checkpointed, shuffle_partitions
 from gridseries.llm.substring_dedup import block_of, split
 
@@ -168,35 +168,31 @@ def _find(blocks: int, n: int, percent: int, rare: int):
 
 
 def _pivot_pairs(block: pa.Table) -> pa.Table:
-    """(a, b, shared): each signature group's smallest document with all others of the group."""
+    """(a, b): each signature group's smallest document with all others of the group."""
     s = np.frombuffer(b"".join(block.column("signatures").to_pylist()), np.uint64)
     d = np.frombuffer(b"".join(block.column("doc_ids").to_pylist()), np.int64)
     order = np.lexsort((d, s))
     s, d = s[order], d[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     pivot = np.repeat(d[first], np.diff(np.concatenate([first, [len(s)]])))
-    pairs, shared = np.unique(np.stack([pivot, d], 1)[pivot != d], axis=0, return_counts=True)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "shared": pa.array(shared, pa.int64())})
+    pairs = np.unique(np.stack([pivot, d], 1)[pivot != d], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (a, b) that are linked."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    # Sizes first: without its tokens a row is small.
-    sizes = sets.select("doc_id", "n")
-    fit = pairs.select("a", "b").join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    fit = fit.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"tokens_{x}"))
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = intersection(p, q)
+                both = intersection(p, q) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
 def _unpack(batches):
@@ -239,24 +235,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, r
     sizes = found.where("doc_id is not null").select("doc_id", "n")
     sets = found.where("tokens is not null").select("doc_id", "n", "tokens")
     packed = found.where("signatures is not null").select("block", "signatures", "doc_ids")
-    pairs = packed.groupBy("block").applyInArrow(_pivot_pairs, "a long, b long, shared long")
-    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
-    # The pivot that shares most with a document is tried first; pairs it joins need no other look.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = checkpointed(_verify(best, sets, percent))
-    labels = components(links)
-    rest = checkpointed(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels))
-    if rest.limit(1).count():
-        links = checkpointed(links.unionByName(_verify(rest, sets, percent)))
-        labels = components(links)
-    labels = _go_through(packed, pairs.select("a", "b"), links, labels, sets, percent)
+    pairs = checkpointed(packed.groupBy("block").applyInArrow(_pivot_pairs, "a long, b long").distinct())
+    labels = checkpointed(components(_verify(pairs, sets, percent)))
+    labels = _go_through(packed, pairs, labels, sets, percent)
 
     reps = sizes.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.coalesce("label", "doc_id").alias("label"))
     out = members.join(reps, "rep").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "rows")
     return out.select("doc_id", "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
 
 
-def _go_through(packed: DataFrame, tried: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _go_through(packed: DataFrame, tried: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The labels when every pair that shares a signature is in one component or was verified."""
     if not _apart(tried, labels).limit(1).count():
         return labels  # every group is one component with its pivot
@@ -265,18 +253,14 @@ def _go_through(packed: DataFrame, tried: DataFrame, links: DataFrame, labels: D
     split_up = labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     ranked = checkpointed(rows.join(split_up.select("signature", "size"), "signature").withColumn("rank", F.row_number().over(Window.partitionBy("signature").orderBy("doc_id")) - 1))
     largest = ranked.agg(F.max("size")).first()[0] or 0
-    low = 1
+    low, high = 1, 8
     while low < largest - 1:
-        high = 2 * low + 1
         pivots = ranked.where((F.col("rank") >= low) & (F.col("rank") < high)).select("signature", F.col("doc_id").alias("a"), F.col("rank").alias("rank_a"))
         others = ranked.select("signature", F.col("doc_id").alias("b"), "rank")
         new = pivots.join(others, "signature").where("rank > rank_a").select("a", "b").distinct()
-        new = checkpointed(_apart(new.join(tried, ["a", "b"], "left_anti"), labels))
-        if new.limit(1).count():
-            links = checkpointed(links.unionByName(_verify(new, sets, percent)))
-            labels = components(links)
-            tried = checkpointed(tried.unionByName(new))
-        low = high
+        new = _apart(new.join(tried, ["a", "b"], "left_anti"), labels)
+        labels = merged(labels, checkpointed(_verify(new, sets, percent)))
+        low, high = high, 8 * high
     return labels
 
 
