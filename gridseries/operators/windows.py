@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOWS = (192, 96, 24, 8)
 DAY = 96
@@ -102,7 +103,7 @@ def future_arrays(df: DataFrame, keys: list[str], ts: str, c: str, horizon: int
     return df.select(*keys, ts, F.transform(rows, lambda x: x["v"]).alias("future")).where(F.size("future") == horizon)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def fill_window(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Each array filled forward, then backward; one without any value stays as it is."""
 
