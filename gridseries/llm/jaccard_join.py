@@ -143,6 +143,8 @@ def _find(blocks: int, n: int, percent: int, rare: int):
         notes = or_empty(notes, block=pa.int32(), doc_id=pa.int64(), counts=pa.binary())
         answered = notes.filter(pc.is_valid(notes.column("counts"))).sort_by("block")
         rows, ids = _rows_of(chunk, notes.filter(pc.is_valid(notes.column("doc_id"))))
+        if not ids:
+            return schema.empty_table()
         doc, tokens = shingle_sets(texts_of(rows), n)
         frequency = np.ones(len(tokens), np.int64)
         frequency[np.argsort(tokens, kind="stable")] = np.frombuffer(b"".join(answered.column("counts").to_pylist()), np.uint8)

@@ -102,7 +102,7 @@ def mix(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
     key = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit("")))
     sized = sizes.withColumn("_key", key).join(targets.withColumn("_key", key).drop("source"), "_key").drop("_key")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
-    whole = F.floor(ratio + 1e-12)
+    whole = F.when(F.col("size") > 0, F.floor(ratio + 1e-12)).otherwise(0)
     fraction = F.when((F.col("size") > 0) & (ratio - whole > 1e-12), ratio - whole).otherwise(0.0)
     ticket = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
     rows = sized.select("doc_id", "source", F.col("size").cast("long"), "source_size", "target", whole.cast("long").alias("whole"), fraction.alias("fraction"), ticket.alias("ticket"), F.lit(seed).alias("seed"))
