@@ -27,6 +27,7 @@ MAX_REPEAT_PERCENT = 50
 #: The sample that teaches: rows, and characters of each.
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 8000
+_SLICE = 200
 COLUMN = "quality"
 
 _symbols = np.zeros(256, np.int64)
@@ -107,15 +108,16 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 40) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros((3, 1 << BITS), np.float32), 5.0 if not len(labels) or labels[0] else -5.0)
     fold = np.arange(len(sample)) % 5 == 0  # calibrates
-    words = Words([t for t, _ in sample])
     rows, columns, values = [], [], []
-    for k, (index, bounds) in enumerate(_features(words)):
-        n = np.diff(bounds)
-        doc = np.repeat(np.arange(len(sample)), n)
-        cells, count = np.unique(doc << BITS | index.astype(np.int64), return_counts=True)
-        rows.append((cells >> BITS).astype(np.int32))
-        columns.append(((cells & (1 << BITS) - 1) + (k << BITS)).astype(np.int32))
-        values.append((count / np.maximum(1, n)[cells >> BITS]).astype(np.float32))
+    for at in range(0, len(sample), _SLICE):  # so that no array holds every n-gram of the sample
+        part = Words([t for t, _ in sample[at : at + _SLICE]])
+        for k, (index, bounds) in enumerate(_features(part)):
+            n = np.diff(bounds)
+            doc = np.repeat(np.arange(part.n_docs), n)
+            cells, count = np.unique(doc << BITS | index.astype(np.int64), return_counts=True)
+            rows.append(((cells >> BITS) + at).astype(np.int32))
+            columns.append(((cells & (1 << BITS) - 1) + (k << BITS)).astype(np.int32))
+            values.append((count / np.maximum(1, n)[cells >> BITS]).astype(np.float32))
     rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
     size = 3 << BITS
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) * ~fold  # classes weigh the same
@@ -127,7 +129,7 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 40) -> Model:
 
     w = _descend(gradient, size + 1, steps, 0.5)
     model = Model(w[:size].reshape(3, -1).astype(np.float32), float(w[size]))
-    z = model.margins(words)[fold]
+    z = model.margins(Words([t for (t, _), held in zip(sample, fold) if held]))
     y = np.where(labels[fold] == 1, (labels[fold].sum() + 1) / (labels[fold].sum() + 2), 1 / ((1 - labels[fold]).sum() + 2))  # Platt's targets
     platt = _descend(lambda p: np.array([((e := 1 / (1 + np.exp(-np.clip(p[0] * z + p[1], -30, 30))) - y) * z).mean() + 1e-4 * p[0], e.mean()]), 2, 400, 0.05)
     model.slope, model.offset = (float(platt[0]), float(platt[1])) if platt[0] > 0 else (1.0, 0.0)

@@ -228,7 +228,8 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 100) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(Lexicon(), PRIOR.copy(), 3.0 if len(y) and y[0] else -3.0)
     lexicon = learn_lexicon(sample)
-    x = Matcher(lexicon).features([t for t, _ in sample])
+    matcher = Matcher(lexicon)
+    x = np.vstack([matcher.features([t for t, _ in sample[at : at + 200]]) for at in range(0, len(sample), 200)])
     x = np.hstack([x, np.ones((len(x), 1))])
     prior, strength = np.append(PRIOR, 0.0), np.array([1.0, 4.0, 4.0, 1.0, 1.0, 1e-3])
 
