@@ -12,8 +12,8 @@ its first tokens as two linked sets cannot both miss.  Then
 * tokens of one document only are never indexed.
 
 Candidates that share a signature are verified on whole sets.  Each signature group is verified
-against its smallest document first; groups that fall into more than one component after that are
-gone through in full, with eight times as many pivots each round, so no link is lost.
+against its smallest document first, one pair for each document.  Clusters of candidates that fall
+into more than one component after that are compared in blocks, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm.arrowtext import Words, mix, or_empty, texts_of
@@ -197,21 +197,63 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def _unpack(batches):
-    for batch in batches:
-        s = np.frombuffer(b"".join(batch.column("signatures").to_pylist()), np.uint64).astype(np.int64)
-        d = np.frombuffer(b"".join(batch.column("doc_ids").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d)], names=["signature", "doc_id"])
+def _join_block(percent: int):
+    """Of the two blocks of documents of one candidate cluster: links that tie labels together."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids, labels, mine = (rows.column(c).to_pylist() for c in ("doc_id", "label", "mine"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        names, number = np.unique(np.concatenate(sets), return_inverse=True)
+        root = {x: x for x in labels}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        block, found = np.array(mine), []
+        for i in range(len(ids)):
+            # Pairs across two blocks; within a block, those with later documents.
+            others = block == high if low != high else np.arange(len(ids)) > i
+            if mine[i] != low or not others.any() or all(find(labels[j]) == find(labels[i]) for j in np.flatnonzero(others)):
+                continue
+            flag = np.zeros(len(names), np.int64)
+            flag[number[starts[i] : starts[i] + size[i]]] = 1
+            both = np.add.reduceat(flag[number], starts)
+            for j in np.flatnonzero(others & (100 * both >= percent * (size + size[i] - both))):
+                x, y = find(labels[i]), find(labels[j])
+                if x != y:
+                    root[x] = y
+                    found.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
+    return run
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose documents are not in one component yet."""
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    label = lambda x: F.coalesce(f"label_{x}", x)
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(label("a") != label("b")).select(*pairs.columns)
 
+def _go_through(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_docs: int) -> DataFrame:
+    """The labels when no two documents of one candidate cluster in different components are linked.
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, chunks: int | None = None, blocks: int | None = None) -> DataFrame:
+    A cluster is what candidate pairs tie together, so all links are within clusters.  Clusters of one
+    component are done.  The others are compared in pairs of blocks of about `block_docs` documents;
+    a pair of blocks gives back only the links that tie components together, fewer than documents.
+    """
+    cluster = components(pairs).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+    labelled = cluster.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    split_up = labelled.groupBy("cluster").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("size")).where("first <> last and size > 2")
+    blocks = F.ceil(F.col("size") / block_docs).cast("int")
+    rows = labelled.join(split_up.select("cluster", blocks.alias("blocks")), "cluster").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("cluster", "doc_id", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    links = rows.join(sets.select("doc_id", "tokens"), "doc_id").groupBy("cluster", "low", "high").applyInArrow(_join_block(percent), "a long, b long")
+    return merged(labels, checkpointed(links))
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, chunks: int | None = None, blocks: int | None = None, block_docs: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text), one row for each row with a doc_id.
 
     Sets are the distinct n-word shingles of the text with A-Z lower-cased; shorter texts are one
@@ -239,33 +281,13 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, r
     packed = found.where("signatures is not null").select("block", "signatures", "doc_ids")
     pairs = checkpointed(packed.groupBy("block").applyInArrow(_pivot_pairs, "a long, b long").distinct())
     labels = checkpointed(components(_verify(pairs, sets, percent)))
-    labels = _go_through(packed, pairs, labels, sets, percent)
+    labels = _go_through(pairs, labels, sets, percent, block_docs)
 
     reps = sizes.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.coalesce("label", "doc_id").alias("label"))
     out = members.join(reps, "rep").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "rows")
     return out.select("doc_id", "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
 
 
-def _go_through(packed: DataFrame, tried: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The labels when every pair that shares a signature is in one component or was verified."""
-    if not _apart(tried, labels).limit(1).count():
-        return labels  # every group is one component with its pivot
-    rows = packed.select("signatures", "doc_ids").mapInArrow(_unpack, "signature long, doc_id long")
-    labelled = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split_up = labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-    ranked = checkpointed(rows.join(split_up.select("signature", "size"), "signature").withColumn("rank", F.row_number().over(Window.partitionBy("signature").orderBy("doc_id")) - 1))
-    largest = ranked.agg(F.max("size")).first()[0] or 0
-    low, high = 1, 8
-    while low < largest - 1:
-        pivots = ranked.where((F.col("rank") >= low) & (F.col("rank") < high)).select("signature", F.col("doc_id").alias("a"), F.col("rank").alias("rank_a"))
-        others = ranked.select("signature", F.col("doc_id").alias("b"), "rank")
-        new = pivots.join(others, "signature").where("rank > rank_a").select("a", "b").distinct()
-        new = _apart(new.join(tried, ["a", "b"], "left_anti"), labels)
-        labels = merged(labels, checkpointed(_verify(new, sets, percent)))
-        low, high = high, 8 * high
-    return labels
-
-
 def op3(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
