@@ -51,11 +51,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
 
 
 def _pivotal(size: np.ndarray, p: np.ndarray, seed: int) -> int:
-    """Rounds `p` in place, in this order, keeping sum(size * p) as it is; returns the index left open or -1."""
-    rng = np.random.default_rng(seed)
-    coins = rng.random(len(p))
+    """Rounds `p` in place, in this order, keeping sum(size * p) as it is; returns the index left open or -1.
+
+    A document that is more than twice as large as its next partner is paired with all that follow at
+    once, where they can bear its mass: else it would stay open to the end and the miss be its size.
+    """
+    coins = np.random.default_rng(seed).random(2 * len(p))
     i = -1
     for j in range(len(p)):
+        if i >= 0 and 0.0 < p[j] < 1.0 and size[i] > 2 * size[j]:
+            rest = j + np.flatnonzero((p[j:] > 0.0) & (p[j:] < 1.0))
+            words, x = size[rest].sum(), p[i]
+            up, down = (1.0 - x) * size[i] / words, x * size[i] / words
+            if up <= p[rest].min() and down <= 1.0 - p[rest].max():
+                rises = coins[len(p) + j] < x
+                p[i] = 1.0 if rises else 0.0
+                p[rest] += -up if rises else down
+                i = -1
         if not 0.0 < p[j] < 1.0:
             continue
         if i < 0:

@@ -1,10 +1,10 @@
 """The operators that compare documents, the mix, the chats and the pipeline, against brute force."""
 
-import hashlib
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,14 +253,22 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
-def test_rounding_keeps_expectations():
-    import numpy as np
+def test_a_large_document_does_not_make_the_miss():
+    rng = random.Random(6)
+    for seed in range(50):
+        size = np.sort(np.array([5000.0, 900.0] + [rng.randint(1, 60) for _ in range(600)]))[::-1].copy()
+        p = np.full(len(size), 0.4)
+        left = mixing._pivotal(size, p, seed)
+        assert left < 0 or size[left] <= 60
+        assert size @ p == pytest.approx(0.4 * size.sum())
 
-    size, total = np.array([3.0, 5.0, 2.0, 7.0, 4.0]), np.zeros(5)
+
+def test_rounding_keeps_expectations():
+    size, total = np.array([30.0, 7.0, 5.0, 4.0, 2.0]), np.zeros(5)
     for seed in range(4000):
         p = np.array([0.3, 0.5, 0.7, 0.2, 0.6])
         left = mixing._pivotal(size, p, seed)
-        assert size @ p == pytest.approx(3 * 0.3 + 5 * 0.5 + 2 * 0.7 + 7 * 0.2 + 4 * 0.6)
+        assert size @ p == pytest.approx(30 * 0.3 + 7 * 0.5 + 5 * 0.7 + 4 * 0.2 + 2 * 0.6)
         assert all(x in (0, 1) for i, x in enumerate(p) if i != left)
         total += p
     assert np.abs(total / 4000 - [0.3, 0.5, 0.7, 0.2, 0.6]).max() < 0.03
