@@ -19,8 +19,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     one is made.
     """
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     # New aliases: a checkpoint keeps the attributes of its plan, which confuses cogroups with their origin.
     return df.checkpoint().select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 
