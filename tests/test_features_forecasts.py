@@ -186,3 +186,52 @@ def test_stream_slots(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["v"], r["n"]) for r in spark.sql("select * from slots_out").collect()) == [(14.0, 3), (16.0, 1)]
+
+
+def test_as_of_and_last_decision(spark):
+    idx = index.decision_index(wave(spark, 240, ("a", "b")), ["k"], "slot")
+    assert {r["t_dec"] for r in index.last_decision(idx, ["k"]).collect()} == {at(215)}
+    assert index.as_of(idx, "2024-01-03 00:07:00").count() == 2
+    with pytest.raises(ValueError):
+        index.as_of(idx, "2030-01-01 00:00:00")
+
+
+def test_required_columns():
+    assert index.required_columns("exog_only", ["wind"]) == ["load", "pv", "line", "ru", "rd", "wind"]
+    assert index.required_columns("rt_chain")[:2] == ["rt", "da"]
+    with pytest.raises(ValueError):
+        index.required_columns("all")
+
+
+def test_missing_forecasts_and_training_rows_raise(spark):
+    rows = long(spark, 2, base=None).withColumn("y_hat", F.lit(None).cast("double"))
+    assert forecast.require_forecasts(rows, fallback=True).count() == 2
+    with pytest.raises(ValueError, match="2 forecasts"):
+        forecast.require_forecasts(rows)
+    with pytest.raises(ValueError):
+        models.require_usable(models.usable_counts(rows, ["k", "h"], F.col("y_hat").isNotNull()))
+
+
+def test_compared_on_the_same_points(spark):
+    df = spark.createDataFrame([("val", 1.0, 2.0, 1.0), ("val", 1.0, 5.0, None), ("val", 1.0, None, 9.0)], "split string, y double, a double, b double")
+    got = {r["model"]: (r["mae"], r["n"]) for r in metrics.compare_models(df, "y", {"a": "a", "b": "b"}).collect()}
+    assert got == {"b": (0.0, 1), "a on b": (1.0, 1)}
+
+
+def test_actual_columns_as_features_warn(spark):
+    from gridseries.operators import dayahead
+
+    df = wave(spark, 96 * 3).withColumns({"da": F.col("v"), "rt": F.col("v"), "load": F.col("v")})
+    with pytest.warns(UserWarning, match="leaks"):
+        table = dayahead.feature_table(df, ["k"], "slot", exogenous={"load": ("load_fcst", "load"), "none": (None, "gone")})
+    assert "x_load" in table.columns and "x_none" not in table.columns and table.count() == 96 * 2
+
+
+def test_day_ahead_features_do_not_see_the_day(spark):
+    from gridseries.operators import dayahead
+
+    df = wave(spark, 96 * 3).withColumns({"da": F.col("v"), "rt": F.col("v")})
+    late = F.col("slot") > F.lit(at(96 + 36))  # after 9 o'clock of the day before the last one
+    changed = df.withColumn("rt", F.when(late, 0.0).otherwise(F.col("rt"))).withColumn("da", F.when(F.col("slot") >= F.lit(at(192)), -F.col("da")).otherwise(F.col("da")))
+    pick = lambda x: [tuple(r) for r in dayahead.feature_table(x, ["k"], "slot").where(F.col("slot") >= F.lit(at(192))).drop("y").orderBy("slot").collect()]
+    assert pick(df) == pick(changed)
