@@ -2,7 +2,8 @@
 
 The lexicon holds words, and stems that stand for all words they begin, which labelled toxic texts
 have far more often than others.  A Levenshtein automaton of each text word is run over the trie of
-the lexicon, so that words within one edit match too.  A window around each match tells quotation
+the lexicon's words and of those behind its stems, so that misspelled ones match too: within one edit,
+or two for long words, a swap of neighbours being one edit.  A window around each match tells quotation
 (quote marks, words of reporting) from abuse (words of address); a logistic regression weighs direct,
 misspelled and quoted matches.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm.arrowtext import PUNCT, Words, small_batches, texts_of
+from gridseries.llm.arrowtext import small_batches, texts_of
 from gridseries.llm.labelled import labelled_sample
 from gridseries.llm.session import held_out
 
@@ -31,11 +32,13 @@ SAMPLE_CHARS = 20_000
 STRONG_LIFT, WEAK_LIFT = 60.0, 8.0
 STRONG_TEXTS, STRONG_SHARE = 6, 0.005
 WEAK_TEXTS, WEAK_SHARE = 12, 0.015
-#: Words in this share of the toxic texts are matched through misspellings too.
-FUZZY_SHARE = 0.02
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Words of fewer letters are matched exactly only.
-FUZZY_LENGTH = 5
+#: Longer words teach nothing.
+TERM_LENGTH = 40
+#: Lexicon words of fewer letters are matched exactly only; from LONG_LENGTH letters on two edits are allowed.
+FUZZY_LENGTH, LONG_LENGTH = 5, 9
+#: Words near the lexicon that are in so many clean texts are words of their own.
+KNOWN_TEXTS = 3
 WINDOW = 6
 COLUMN = "toxicity"
 # Fixed word lists of reporting and of address, in the languages of the texts.
@@ -45,6 +48,25 @@ _QUOTES = re.compile("[\"“”„«»]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def lowered(text: bytes | None) -> str:
+    """What is learned and matched of a text; its words are the runs of letters and digits of any script."""
+    return (text or b"").decode(errors="replace").lower()
+
+
+def edit_limit(letters: int) -> int:
+    """How many edits a lexicon word of so many letters is matched through."""
+    return 0 if letters < FUZZY_LENGTH else 1 if letters < LONG_LENGTH else 2
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """`word` without up to `most` letters.  Words within so many edits or swaps have one of these in common."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
     """A lexicon as a trie; a stem accepts every word that goes on from it."""
 
@@ -74,9 +96,13 @@ class Trie:
                 return False
         return self.END in node or self.STEM in node
 
-    def within(self, word: str, edits: int) -> tuple[str, int] | None:
+    def within(self, word: str, edits: int, swaps: bool = False, limit: Callable[[int], int] | None = None) -> tuple[str, int] | None:
         """The closest lexicon word within `edits` of `word`, ties by word: the automaton of `word`
-        accepts what is that close to it, and only trie paths that keep one of its states alive are walked."""
+        accepts what is that close to it, and only trie paths that keep one of its states alive are walked.
+
+        With `swaps` two neighbouring letters in the other order are one edit; `limit` gives the most
+        edits by the lexicon word's length.
+        """
         n = len(word)
 
         def closure(states: dict[int, int]) -> dict[int, int]:
@@ -89,13 +115,19 @@ class Trie:
         todo = [(self.root, closure({0: 0}))]
         while todo:
             node, states = todo.pop()
-            if self.END in node and n in states and (best is None or (states[n], node[self.END]) < best):
+            if self.END in node and n in states and (limit is None or states[n] <= limit(len(node[self.END]))) and (best is None or (states[n], node[self.END]) < best):
                 best = states[n], node[self.END]
             for c, below in node.items():
                 if len(c) != 1 or c == self.STEM:
                     continue
                 new: dict[int, int] = {}
                 for i, e in states.items():
+                    if i < 0:  # within a swap: the second letter is read, the first is due
+                        if word[-i - 1] == c and e < new.get(1 - i, edits + 1):
+                            new[1 - i] = e
+                        continue
+                    if swaps and e < edits and i + 1 < n and word[i + 1] == c != word[i]:
+                        new[-i - 1] = min(e + 1, new.get(-i - 1, edits))
                     if i < n:
                         cost = e + (word[i] != c)
                         if cost <= edits and cost < new.get(i + 1, edits + 1):
@@ -111,10 +143,12 @@ class Trie:
 class Lexicon:
     words: set[str] = field(default_factory=set)
     stems: set[str] = field(default_factory=set)
-    #: Words that are also looked for within one edit.
+    #: Words that are also looked for through misspellings.
     fuzzy: set[str] = field(default_factory=set)
     #: Words and stems (with *) that say less.
     weak: set[str] = field(default_factory=set)
+    #: Words near the lexicon that clean texts use: no misspellings.
+    known: set[str] = field(default_factory=set)
 
 
 def learn_lexicon(sample: list[tuple[bytes, int]]) -> Lexicon:
@@ -122,7 +156,7 @@ def learn_lexicon(sample: list[tuple[bytes, int]]) -> Lexicon:
     toxic = sum(1 for _, y in sample if y)
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for text, y in sorted(sample, key=lambda x: -bool(x[1])):  # toxic ones first: only their terms count
-        words = {w for w in _WORD.findall(text.decode(errors="replace").lower()) if 4 <= len(w) <= 40}
+        words = {w for w in _WORD.findall(lowered(text)) if len(w) <= TERM_LENGTH}
         terms = words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) >= n}
         seen[1 if y else 0].update(terms if y else terms & seen[1].keys())
     lift = {t: ((n + 0.5) / (toxic + 1)) / ((seen[0][t] + 0.5) / (len(sample) - toxic + 1)) for t, n in seen[1].items()}
@@ -136,9 +170,22 @@ def learn_lexicon(sample: list[tuple[bytes, int]]) -> Lexicon:
         # A stem that is hardly more frequent than one word of it is that word.
         if whole < 0.8 * seen[1][t] and not any(stem.startswith(s) for s in stems):
             stems.add(stem)
-    words = {w for w in words if not any(w.startswith(s) for s in stems)}
-    fuzzy = {w for w in words if len(w) >= FUZZY_LENGTH and seen[1][w] >= max(STRONG_TEXTS, FUZZY_SHARE * toxic)}
-    return Lexicon(words, stems, fuzzy, {t for t in weak - strong if not any(t.startswith(s) for s in stems | words)})
+    stem_trie = Trie(set(), stems)
+    # Strong words, those behind a stem too, and what else recurs behind a stem.
+    fuzzy = {t for t, n in seen[1].items() if edit_limit(len(t)) and not t.endswith("*") and (t in words or n > 1 and stem_trie.finds(t))}
+    words = {w for w in words if not stem_trie.finds(w)}
+    lexicon = Lexicon(words, stems, fuzzy, {t for t in weak - strong if not any(t.startswith(s) for s in stems | words)})
+    return Lexicon(words, stems, fuzzy, lexicon.weak, _known(lexicon, sample, toxic))
+
+
+def _known(lexicon: Lexicon, sample: list[tuple[bytes, int]], toxic: int) -> set[str]:
+    """What the automaton would take for a misspelling, but clean texts use about as often as toxic ones."""
+    matcher = Matcher(lexicon)
+    near: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for text, y in sample:
+        near[1 if y else 0].update(w for w in set(_WORD.findall(lowered(text))) if matcher.kind(w) == MISSPELLED)
+    clean = len(sample) - toxic
+    return {w for w, n in near[0].items() if n >= KNOWN_TEXTS and (near[1][w] + 0.5) / (toxic + 1) < WEAK_LIFT * (n + 0.5) / (clean + 1)}
 
 
 DIRECT, MISSPELLED, QUOTED, WEAK, SIZE = range(5)
@@ -153,59 +200,55 @@ class Matcher:
         x = self.lexicon
         strip = lambda stem: {t.rstrip("*") for t in x.weak if t.endswith("*") == stem}
         self.exact, self.fuzzy, self.weak = Trie(x.words, x.stems), Trie(x.fuzzy, set()), Trie(strip(False), strip(True))
-        self.first, self.last = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        two = lambda b: b[0] << 8 | b[1]
-        for t in x.words | x.stems | x.weak:
-            self.first[two(t.encode())] = True
-        for t in x.fuzzy:
-            self.last[two(t.encode()[-2:])] = True
-        self.longest = max((len(w.encode()) for w in x.fuzzy), default=0) + 4
+        self.near = {d for w in x.fuzzy for d in deletions(w, edit_limit(len(w)))}
+        self.longest = max(map(len, x.fuzzy), default=0)
+        self.edits = edit_limit(self.longest)
+
+    def _misspelled(self, word: str) -> bool:
+        """Only words that share a deletion with the lexicon, as all in reach do, run through the automaton."""
+        if not FUZZY_LENGTH - 1 <= len(word) <= self.longest + self.edits or word in self.lexicon.known or word in self.lexicon.weak:
+            return False
+        most = min(self.edits, 1 if len(word) < LONG_LENGTH - 2 else 2)
+        return not self.near.isdisjoint(deletions(word, most)) and self.fuzzy.within(word, most, True, edit_limit) is not None
 
     def kind(self, word: str) -> int | None:
-        """DIRECT: in the lexicon, MISSPELLED: within one edit of a word of it, WEAK: a weak term."""
-        if word not in self.cache:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            if self.exact.finds(word):
-                self.cache[word] = DIRECT
-            elif len(word) >= FUZZY_LENGTH - 1 and self.fuzzy.within(word, 1):
-                self.cache[word] = MISSPELLED
-            else:
-                self.cache[word] = WEAK if self.weak.finds(word) else None
-        return self.cache[word]
+        """DIRECT: in the lexicon, MISSPELLED: near a word of it, WEAK: a weak term."""
+        if word in self.cache:
+            return self.cache[word]
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        if self.exact.finds(word):
+            k = DIRECT
+        elif self._misspelled(word):
+            k = MISSPELLED
+        else:
+            k = WEAK if self.weak.finds(word) else None
+        if len(word) <= 2 * TERM_LENGTH:
+            self.cache[word] = k
+        return k
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """For each text: direct, misspelled, quoted and weak matches (3 at most), and words on a log scale.
-
-        One edit leaves the first or the last two letters of a word of five or more as they are, so
-        only words that share them with the lexicon run through the automaton.
-        """
-        w = Words(texts, PUNCT, lower=True)
-        out = np.zeros((w.n_docs, 5))
-        out[:, SIZE] = np.log1p(w.counts) / 10
-        if not len(w.hash):
-            return out
-        lower = w.data + ((w.data >= 0x41) & (w.data <= 0x5A)).astype(np.uint8) * np.uint8(32)
-        size = w.end - w.start
-        first = lower[w.start].astype(np.int64) << 8 | lower[np.minimum(w.start + 1, len(lower) - 1)]
-        last = lower[np.maximum(w.end - 2, 0)].astype(np.int64) << 8 | lower[w.end - 1]
-        likely = (size >= 3) & (self.first[first] | (self.last[last] & (size <= self.longest)))
-        data = w.data.tobytes()
-        for i in np.flatnonzero(likely):
-            word = data[w.start[i] : w.end[i]].decode(errors="replace").lower()
-            k = self.kind(word)
-            if k is not None:
-                out[w.doc[i], QUOTED if k != WEAK and self._quoted(data, w, i) else k] += 1
+        """For each text: direct, misspelled, quoted and weak matches (3 at most), and words on a log scale."""
+        out = np.zeros((len(texts), 5))
+        for d, t in enumerate(texts):
+            text = lowered(t)
+            words = _WORD.findall(text)
+            out[d, SIZE] = np.log1p(len(words)) / 10
+            hits = [(i, k) for i, k in enumerate(map(self.kind, words)) if k is not None]
+            if not hits:
+                continue
+            spans = [m.span() for m in _WORD.finditer(text)]
+            for i, k in hits:
+                out[d, QUOTED if k != WEAK and self._quoted(text, words, spans, i) else k] += 1
         out[:, :SIZE] = np.minimum(out[:, :SIZE], 3)
         return out
 
     @staticmethod
-    def _quoted(data: bytes, w: Words, i: int) -> bool:
+    def _quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
         """Whether the window around word i speaks of quotation rather than abuse."""
-        a, b = max(w.first[w.doc[i]], i - WINDOW), min(w.first[w.doc[i] + 1], i + WINDOW + 1)
-        before = data[w.start[a] : w.start[i]].decode(errors="replace")
-        after = data[w.end[i] : w.end[b - 1]].decode(errors="replace")
-        near = [x.lower() for x in _WORD.findall(before + " " + after)]
+        a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+        before, after = text[spans[a][0] : spans[i][0]], text[spans[i][1] : spans[b - 1][1]]
+        near = words[a:i] + words[i + 1 : b]
         marks = 2 if len(_QUOTES.findall(before)) % 2 and _QUOTES.search(after) else 0
         quotation = marks + sum(x in REPORTING for x in near)
         return quotation > sum(x in ADDRESS for x in near)

@@ -212,6 +212,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(got[i]["predicted"] == int(i % 3 == 0) for i in range(240)) and 0 <= got[900]["score"] < 0.5
 
 
+def test_misspelled_beginnings_swaps_and_scripts():
+    toxic = [f"you {w} {x} go away" for w in ("idiot", "idiots", "idiotic") for x in ("„Дурак“", "gu") for _ in range(10)]
+    toxic += ["you rarest monstrosity go away"] * 12 + ["plain words here"] * 1000
+    clean = [f"the ideal day number{i} of idiom and idyll in town" for i in range(3000)]
+    lexicon = toxicity.learn_lexicon([(x.encode(), 1) for x in toxic] + [(x.encode(), 0) for x in clean])
+    m = toxicity.Matcher(lexicon)
+    kinds = lambda *words: [m.kind(w) for w in words]
+    assert kinds("idiot", "idiots", "gu", "дурак") == [toxicity.DIRECT] * 4
+    assert kinds("xdiots", "diiot", "udiotic", "mosntrostiy", "nonstrosity", "дуарк") == [toxicity.MISSPELLED] * 6
+    assert kinds("ideal", "idyll", "number7") == [None] * 3
+    x = m.features(["“ДУРАК” „Xdiots“ \u2014idiot\u2014 gu".encode()])
+    assert x[0, : toxicity.SIZE].tolist() == [3, 1, 0, 0]
+
+
+def test_automaton_with_swaps_and_limits():
+    def distance(a, b):
+        t = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i, j] = min(t[i - 1, j] + 1, t[i, j - 1] + 1, t[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                    t[i, j] = min(t[i, j], t[i - 2, j - 2] + 1)
+        return t[len(a), len(b)]
+
+    rng = random.Random(5)
+    make = lambda k: "".join(rng.choice("abc") for _ in range(k))
+    lexicon = {make(rng.randint(5, 11)) for _ in range(15)}
+    trie = toxicity.Trie(lexicon, set())
+    m = toxicity.Matcher(toxicity.Lexicon(set(), set(), lexicon, set()))
+    for _ in range(2000):
+        w = list(rng.choice(sorted(lexicon)))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) - 1)
+            w[i : i + 2] = rng.choice([w[i : i + 2][::-1], [w[i]], [make(1), w[i + 1]], [*w[i : i + 2], make(1)]])
+        w = "".join(w)
+        best = min(((distance(w, x), x) for x in lexicon if distance(w, x) <= toxicity.edit_limit(len(x))), default=None)
+        assert trie.within(w, 2, True, toxicity.edit_limit) == (best and (best[1], best[0]))
+        assert (m.kind(w) == toxicity.MISSPELLED) == (best is not None)
+
+
 # ---- personal data
 
 
