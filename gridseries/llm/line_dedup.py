@@ -1,8 +1,10 @@
 """Line deduplication with a tree of log templates.
 
 A line goes down a tree of fixed depth: first its token count, then its leading tokens, where tokens
-with a digit count as a variable field.  Lines that end at one leaf and agree in most positions are
-one template; the positions where they differ become variable fields too.  Templates in at least
+with a digit count as a variable field.  Lines that end at one leaf are one template if a chain of
+lines leads from one to the other, neighbours of which agree in most positions.  That is a Jaccard
+join of sets of (leaf, position, token), so a leaf of any size gives the same templates, and none has
+to meet in one task.  Templates in at least
 `min_docs` documents are boilerplate: their lines go from all documents but the one with the
 smallest doc_id.
 
@@ -16,18 +18,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm.arrowtext import small_batches, texts_of
+from gridseries.llm.jaccard_join import near_duplicates
 from gridseries.llm.session import checkpointed
 
 #: Fixed parameters: leading tokens on the path, share of equal positions, documents, tokens of a line.
 DEPTH = 3
 SIMILARITY = 0.75
+#: The Jaccard coefficient, in percent, of two lines of one length that agree in that share of positions.
+PERCENT = round(100 * SIMILARITY / (2 - SIMILARITY))
 MIN_DOCS = 10
 MIN_TOKENS = 3
 FIELD = b"<*>"
@@ -91,8 +95,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "leaf", "line"])
 
 
+def positions(tokens: bytes) -> str:
+    """A masked line as words that stand for its leaf, a position and the token there."""
+    leaf = path(tokens)
+    return " ".join(xxhash.xxh3_64_hexdigest(b"%s\n%d %s" % (leaf, i, t)) for i, t in enumerate(tokens.split(b" ")))
+
+
 def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, tokens) of the lines that are wanted of each text."""
+    """(line, tokens) of the lines that are wanted of each text, tokens as in `positions`."""
     for batch in small_batches(batches):
         hashes, tokens = [], []
         for wanted, text in zip(batch.column("wanted").to_pylist(), texts_of(batch)):
@@ -100,15 +110,8 @@ def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for m in {masked(x) for x in (text or b"").split(b"\n")}:
                 if m.count(b" ") >= MIN_TOKENS - 1 and (h := _signed(m)) in wanted:
                     hashes.append(h)
-                    tokens.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(tokens, pa.binary())], names=["line", "tokens"])
-
-
-def _cluster_leaf(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("line")
-    found = cluster(list(zip(map(bytes, rows["tokens"]), rows["n_docs"])))
-    lines = rows["line"].to_numpy()
-    return pd.DataFrame({"leaf": rows["leaf"], "line": lines, "tokens": rows["tokens"], "n_docs": rows["n_docs"], "template": lines[found]})
+                    tokens.append(positions(m))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(tokens, pa.string())], names=["line", "tokens"])
 
 
 def _dropped(schema_names: list[str]):
@@ -134,25 +137,20 @@ def _dropped(schema_names: list[str]):
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = 5000) -> DataFrame:
     """(doc_id, line, template) of every line that is at a leaf of at least `min_docs` documents.
 
-    `line` and `template` are hashes of masked lines; a template has the hash of the line that founded
-    it.  A leaf of more than `leaf_lines` distinct lines is clustered in parts of about that size,
-    whose templates are then clustered together.
+    `line` and `template` are hashes of masked lines; a template has the smallest hash of its lines.
+    Lines that the join has to compare all with all meet in blocks of `leaf_lines` at most, which
+    changes no result.
     """
     lines = checkpointed(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lines, "doc_id long, leaf long, line long").distinct())
     leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     shared = checkpointed(lines.join(leaves, "leaf"))
-    distinct = shared.groupBy("leaf", "line").agg(F.min("doc_id").alias("at"), F.count("*").alias("n_docs"))
+    distinct = shared.groupBy("leaf", "line").agg(F.min("doc_id").alias("at"))
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
     to_cluster = checkpointed(distinct.join(crowded, "leaf"))
     wanted = to_cluster.groupBy(F.col("at").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_wanted_tokens, "line long, tokens binary").distinct()
-    parts = F.pmod(F.col("line"), F.ceil(F.col("n_lines") / leaf_lines))
-    known = to_cluster.join(tokens, "line").select("leaf", "line", "tokens", "n_docs", parts.alias("part"))
-    out = "leaf long, line long, tokens binary, n_docs long, template long"
-    first = checkpointed(known.groupBy("leaf", "part").applyInPandas(_cluster_leaf, out))
-    founders = first.where("line = template").select("leaf", "line", "tokens", "n_docs")
-    second = founders.groupBy("leaf").applyInPandas(_cluster_leaf, out).select(F.col("line").alias("template"), F.col("template").alias("merged"))
-    merged = first.join(second, "template").select("line", "merged")
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_wanted_tokens, "line long, tokens string").distinct()
+    found = near_duplicates(tokens.select(F.col("line").alias("doc_id"), F.col("tokens").alias("text")), n=1, percent=PERCENT, block_docs=min(leaf_lines, 256))
+    merged = found.where("component_id <> doc_id").select(F.col("doc_id").alias("line"), F.col("component_id").alias("merged"))
     return shared.join(merged, "line", "left").select("doc_id", "line", F.coalesce("merged", "line").alias("template"))
 
 

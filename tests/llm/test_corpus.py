@@ -182,6 +182,39 @@ def test_cluster_does_not_depend_on_the_order():
     assert a == name(pairs)
 
 
+def chains(lines):
+    """Masked lines of one leaf: the smallest line that each is tied to by steps of three quarters of the positions."""
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in lines:
+        for b in lines:
+            if line_dedup.path(a) == line_dedup.path(b) and 4 * sum(x == y for x, y in zip(a.split(), b.split())) >= 3 * len(a.split()):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {x: find(x) for x in lines}
+
+
+def test_templates_are_chains_whatever_the_size_of_a_leaf(spark):
+    rng = random.Random(6)
+    lines = [" ".join(["Come", "and", "see", *rng.choices("pqrst", k=k)]) for k in (5, 9) for _ in range(60)]
+    df = spark.createDataFrame([(d % 30, x) for d, x in enumerate(lines)], "doc_id long, text string").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    whole = chains({line_dedup.masked(x.encode()) for x in lines})
+    group = defaultdict(set)
+    for x, r in whole.items():
+        group[r].add(line_dedup._signed(x))
+    assert len(group) < len(whole)
+    for leaf_lines in (5000, 2):
+        got = defaultdict(set)
+        for r in line_dedup.templates(df, leaf_lines=leaf_lines).collect():
+            got[r["template"]].add(r["line"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, group.values()))
+
+
 # ---- chats
 
 
