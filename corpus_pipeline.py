@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from gridseries.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
 from gridseries.llm.session import checkpointed
 
+#: Near duplicates of the pipeline: sets of five-word shingles, Jaccard 0.8 or more (op3's contract has its own values).
+SHINGLE, PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language is rejected: no letters, or too narrow a margin."""
@@ -27,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
-    copies = jaccard_join.near_duplicates(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
+    copies = jaccard_join.near_duplicates(docs.select("doc_id", "text"), n=SHINGLE, percent=PERCENT).where("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
     return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
 
 

@@ -310,6 +310,15 @@ def test_rounding_keeps_expectations():
 # ---- the pipeline
 
 
+def test_pipeline_joins_at_its_own_values(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"u{i}" for i in range(200)]
+    copy = [f"n{i}" if i in (30, 80, 120, 170) else x for i, x in enumerate(base)]
+    docs = corpus(8) + [(1000, " ".join(base)), (1001, " ".join(copy))]
+    left = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "")
+    want = [d for d, _, c in jaccard_components(docs, 5, 80) if c == d]
+    assert sorted(r["doc_id"] for r in left.collect()) == want and 1000 in want and 1001 not in want
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(3)
