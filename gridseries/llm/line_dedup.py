@@ -6,7 +6,8 @@ lines leads from one to the other, neighbours of which agree in most positions.
 join of sets of (leaf, position, token), so a leaf of any size gives the same templates, and none has
 to meet in one task.  Templates in at least
 `min_docs` documents are boilerplate: their lines go from all documents but the one with the
-smallest doc_id.
+smallest doc_id.  Lines that are the same word for word need fewer documents the longer they are, from
+50 tokens on two; lines too short for the tree need more, and are compared as masked.
 
 Only leaves that enough documents reach can hold such a template, so the texts of all other lines
 never leave their document.
@@ -34,8 +35,11 @@ SIMILARITY = 0.75
 PERCENT = round(100 * SIMILARITY / (2 - SIMILARITY))
 MIN_DOCS = 10
 MIN_TOKENS = 3
+#: Documents of a line too short for the tree.
+SHORT_DOCS = 50
 FIELD = b"<*>"
 _DIGITS = re.compile(rb"[^ ]*[0-9][^ ]*")
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 def masked(line: bytes) -> bytes:
@@ -54,6 +58,24 @@ def path(tokens: bytes) -> bytes:
     return b"%d " % (tokens.count(b" ") + 1) + b" ".join(lead[:DEPTH])
 
 
+def exact_docs(n_tokens: int) -> int:
+    """In how many documents a line of so many tokens recurs that is the same word for word: 10 to 2."""
+    return max(2, min(MIN_DOCS, MIN_DOCS + 2 - n_tokens // 5))
+
+
+def exact(line: bytes) -> tuple[int, int] | None:
+    """(hash, documents needed) of a line that is also compared as a whole, apart from templates.
+
+    Short lines are compared as masked; those without a letter outside of fields are no text and stay.
+    """
+    tokens = line.split()
+    if len(tokens) >= MIN_TOKENS:
+        needed = exact_docs(len(tokens))
+        return (_signed(b"=" + b" ".join(tokens)), needed) if needed < MIN_DOCS else None
+    short = masked(line)
+    return (_signed(b"-" + short), SHORT_DOCS) if _LETTER.search(short.replace(FIELD, b"")) else None
+
+
 def cluster(lines: list[tuple[bytes, int]], similarity: float = SIMILARITY) -> list[int]:
     """For each of the distinct masked lines of one leaf (with their number of documents): its template.
 
@@ -83,16 +105,23 @@ def cluster(lines: list[tuple[bytes, int]], similarity: float = SIMILARITY) -> l
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, leaf, line) of the distinct lines of each text."""
+    """(doc_id, leaf, line, needed) of the distinct lines of each text; those compared as a whole have no leaf."""
     for batch in small_batches(batches):
-        ids, leaves, hashes = [], [], []
+        ids, leaves, hashes, needed = [], [], [], []
         for d, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-            for m in {masked(x) for x in (text or b"").split(b"\n")}:
+            lines = set((text or b"").split(b"\n"))
+            for m in {masked(x) for x in lines}:
                 if m.count(b" ") >= MIN_TOKENS - 1:
                     ids.append(d)
                     leaves.append(_signed(path(m)))
                     hashes.append(_signed(m))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "leaf", "line"])
+                    needed.append(None)
+            for h, n in {e for x in lines if (e := exact(x))}:
+                ids.append(d)
+                leaves.append(None)
+                hashes.append(h)
+                needed.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64()), pa.array(needed, pa.int32())], names=["doc_id", "leaf", "line", "needed"])
 
 
 def positions(tokens: bytes) -> str:
@@ -114,6 +143,11 @@ def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(tokens, pa.string())], names=["line", "tokens"])
 
 
+def _goes(line: bytes, drop: set[int]) -> bool:
+    m, whole = masked(line), exact(line)
+    return (m.count(b" ") >= MIN_TOKENS - 1 and _signed(m) in drop) or (whole is not None and whole[0] in drop)
+
+
 def _dropped(schema_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -122,7 +156,7 @@ def _dropped(schema_names: list[str]):
                 lines = text.split("\n") if text is not None else []
                 if drop:
                     drop = set(drop)
-                    kept = [x for x in lines if (m := masked(x.encode())).count(b" ") < MIN_TOKENS - 1 or _signed(m) not in drop]
+                    kept = [x for x in lines if not _goes(x.encode(), drop)]
                     texts.append("\n".join(kept))
                 else:
                     kept = lines
@@ -135,13 +169,18 @@ def _dropped(schema_names: list[str]):
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = 5000) -> DataFrame:
-    """(doc_id, line, template) of every line that is at a leaf of at least `min_docs` documents.
+    """(doc_id, line, template, needed) of every line that is at a leaf of at least `min_docs` documents,
+    and of those that recur as a whole, each a template of its own; `needed` is a template's document minimum.
 
     `line` and `template` are hashes of masked lines; a template has the smallest hash of its lines.
     Lines that the join has to compare all with all meet in blocks of `leaf_lines` at most, which
     changes no result.
     """
-    lines = checkpointed(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lines, "doc_id long, leaf long, line long").distinct())
+    every = checkpointed(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lines, "doc_id long, leaf long, line long, needed int").distinct())
+    whole = every.where("leaf is null").select("doc_id", "line", F.least("needed", F.when(F.col("needed") < MIN_DOCS, min_docs).otherwise(F.col("needed"))).alias("needed"))
+    recurring = whole.groupBy("line").agg(F.count("*").alias("n"), F.max("needed").alias("least")).where("n >= least").select("line")
+    whole = whole.join(recurring, "line").select("doc_id", "line", F.col("line").alias("template"), "needed")
+    lines = every.where("leaf is not null").select("doc_id", "leaf", "line")
     leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     shared = checkpointed(lines.join(leaves, "leaf"))
     distinct = shared.groupBy("leaf", "line").agg(F.min("doc_id").alias("at"))
@@ -151,20 +190,20 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = 5000)
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_wanted_tokens, "line long, tokens string").distinct()
     found = near_duplicates(tokens.select(F.col("line").alias("doc_id"), F.col("tokens").alias("text")), n=1, percent=PERCENT, block_docs=min(leaf_lines, 256))
     merged = found.where("component_id <> doc_id").select(F.col("doc_id").alias("line"), F.col("component_id").alias("merged"))
-    return shared.join(merged, "line", "left").select("doc_id", "line", F.coalesce("merged", "line").alias("template"))
+    return shared.join(merged, "line", "left").select("doc_id", "line", F.coalesce("merged", "line").alias("template"), F.lit(min_docs).alias("needed")).unionByName(whole)
 
 
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = 5000) -> DataFrame:
     """`docs` with boilerplate lines gone from `text`, and n_lines and n_dropped; other columns stay.
 
-    Lines are what \\n separates; lines of fewer than MIN_TOKENS tokens always stay.  A null text
+    Lines are what \\n separates; lines without a letter of fewer than MIN_TOKENS tokens always stay.  A null text
     stays null and has no line; an empty one has one, empty, line.  Rows that share a doc_id count
     as one document; rows without doc_id neither count nor lose lines.  Earlier columns n_lines and
     n_dropped are replaced.  An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped", "_drop")
     found = checkpointed(templates(docs, min_docs, leaf_lines).distinct())
-    recurring = found.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    recurring = found.select("doc_id", "template", "needed").distinct().groupBy("template", "needed").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n >= needed").select("template", "keeper")
     drop = found.join(recurring, "template").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
     schema = docs.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_id"], "left").drop("_id").mapInArrow(_dropped(schema.names), schema)

@@ -182,6 +182,20 @@ def test_cluster_does_not_depend_on_the_order():
     assert a == name(pairs)
 
 
+def test_long_lines_and_short_lines_recur_by_their_length(spark):
+    passage = " ".join(f"{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(51))
+    middle = " ".join(passage.split()[:30])
+    numbers = lambda d: " ".join(f"{d}{i}" for i in range(60))
+    docs = [(d, f"alone {chr(97 + d % 26) * (1 + d // 26)}\nAdvertisement\n}}\n17\n\n{numbers(d)}") for d in range(60)]
+    docs += [(100, passage), (101, f"so\n{passage}"), (102, middle), (103, middle), (104, "Read more"), (105, "Read more")]
+    docs += [(d, middle + " end") for d in range(110, 116)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[100] == passage and got[101] == "so" and got[102] == got[103] == middle and got[105] == "Read more"
+    assert got[110] == middle + " end" and all(got[d] == "" for d in range(111, 116))
+    assert "Advertisement" in got[0] and all("Advertisement" not in got[d] and "\n}\n17\n" in got[d] and "alone" in got[d] for d in range(1, 60))
+    assert [line_dedup.exact_docs(n) for n in (3, 10, 15, 49, 50, 900)] == [10, 10, 9, 3, 2, 2]
+
+
 def chains(lines):
     """Masked lines of one leaf: the smallest line that each is tied to by steps of three quarters of the positions."""
     root = {x: x for x in lines}
