@@ -5,7 +5,8 @@ block by block with every dictionary; the language whose dictionary gives the fe
 the answer is rejected where the runner-up is too close.
 
 Learning is bounded: about `sample_rows` labelled rows for each language, chosen by a hash of their
-doc_id, each giving at most `piece_chars` characters, up to `dictionary_bytes` for each language.
+doc_id, each giving at most `piece_chars` characters from a place drawn in it, up to `dictionary_bytes`
+for each language.  Beyond `max_languages` languages all are still learned, from fewer rows and bytes each.
 """
 
 from __future__ import annotations
@@ -41,17 +42,21 @@ def fit(docs: DataFrame, sample_rows: int = 400, piece_chars: int = 1500, dictio
     """The dictionary content of each language, learned from `text` and `lang` of `docs`.
 
     Rows with a null text or lang teach nothing.  The counts of languages cover all rows; the sample
-    is a hash range of doc_id sized by those counts.  Of more than `max_languages` languages the most
-    frequent are learned, ties by name.
+    is a hash range of doc_id sized by those counts.  The sample and the dictionaries of `max_languages`
+    languages are the budget that more languages share evenly.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    n = counts.count()
+    if not n:
         return {}
+    if n > max_languages:
+        sample_rows, dictionary_bytes = max(8, sample_rows * max_languages // n), max(1024, dictionary_bytes * max_languages // n)
     space = 1 << 30
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(space, math.ceil(space * sample_rows / r["count"]))))])
+    shares = F.broadcast(counts.select("lang", F.ceil(F.lit(space * sample_rows) / F.col("count")).alias("share")))  # a row a language
     ticket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(space))
-    sample = rows.where(ticket < share[F.col("lang")]).select("lang", ticket.alias("ticket"), F.substring("text", 1, piece_chars).alias("piece"))
+    start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(19)), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))).cast("int") + 1
+    sample = rows.join(shares, "lang").where(ticket < F.col("share")).select("lang", ticket.alias("ticket"), F.substring("text", start, F.lit(piece_chars)).alias("piece"))
     by: dict[str, list] = defaultdict(list)
     for r in sample.collect():
         by[r["lang"]].append((r["ticket"], r["piece"]))
@@ -97,7 +102,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     language that sorts first and are rejected, as their margin is 0.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(dictionaries)  # max_languages * dictionary_bytes at most
+    shared = context.broadcast(dictionaries)  # max_languages * dictionary_bytes, or 1 kB a language
     column = "language"
     if column in docs.columns:
         docs = docs.drop(column)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridseries.llm import decontaminate, jaccard_join, language_id, pii, quality, substring_dedup, toxicity
 from gridseries.llm.arrowtext import PUNCT, SPACE, Words, small_batches
+from gridseries.llm.labelled import labelled_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -82,6 +83,25 @@ def test_held_out_rows_and_labels_of_others_do_not_matter(spark, languages):
     assert pick(languages) == pick(changed)
 
 
+def test_more_languages_than_the_budget_are_all_learned(spark):
+    words = {f"l{i}": [chr(97 + i) * 3, chr(97 + i) * 5, chr(97 + i) + "zz"] for i in range(12)}
+    rows = [(100 * i + k, " ".join(w * (6 + k)), lang) for i, (lang, w) in enumerate(words.items()) for k in range(4 + i)]
+    learned = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=3)
+    assert set(learned) == set(words)
+    c = language_id.Classifier(learned)
+    assert all(c.predict(" ".join(w * 9))[0] == lang for lang, w in words.items())
+
+
+def test_samples_come_from_whole_texts(spark):
+    long = " ".join(f"w{i}" for i in range(20000))
+    df = spark.createDataFrame([(i, long if i % 2 else "short text", "xx", 1) for i in range(40)], "doc_id long, text string, lang string, y int")
+    got = [t.decode() for t, _ in labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "y"), "y", 100, 800)]
+    assert {len(t) for t in got} == {len("short text"), 8 * 100 + 7}
+    assert all(max(long.find(p) for p in t.split("\n")) >= len(long) * 7 // 8 for t in got if len(t) > 20)
+    alpha = spark.createDataFrame([(i, "aaa " * 3000 + "bbb " * 3000, "xx") for i in range(30)], "doc_id long, text string, lang string")
+    assert b"bbb" in language_id.fit(alpha)["xx"]
+
+
 def test_no_language_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.identify(df).first()["language"]["lang_pred"] == "und"
