@@ -7,7 +7,7 @@ join of sets of (leaf, position, token), so a leaf of any size gives the same te
 to meet in one task.  Templates in at least
 `min_docs` documents are boilerplate: their lines go from all documents but the one with the
 smallest doc_id.  Lines that are the same word for word need fewer documents the longer they are, from
-50 tokens on two; lines too short for the tree need more, and are compared as masked.
+50 tokens on two, but no document goes whole for such lines; lines too short for the tree need more, and are compared as masked.
 
 Only leaves that enough documents reach can hold such a template, so the texts of all other lines
 never leave their document.
@@ -143,9 +143,10 @@ def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(tokens, pa.string())], names=["line", "tokens"])
 
 
-def _goes(line: bytes, drop: set[int]) -> bool:
+def _goes(line: bytes, drop: set[int], rare: bool = True) -> bool:
+    """Whether a line is to go; without `rare`, lines that only go as wholes in fewer than MIN_DOCS documents stay."""
     m, whole = masked(line), exact(line)
-    return (m.count(b" ") >= MIN_TOKENS - 1 and _signed(m) in drop) or (whole is not None and whole[0] in drop)
+    return (m.count(b" ") >= MIN_TOKENS - 1 and _signed(m) in drop) or (whole is not None and whole[0] in drop and (rare or whole[1] >= MIN_DOCS))
 
 
 def _dropped(schema_names: list[str]):
@@ -157,6 +158,8 @@ def _dropped(schema_names: list[str]):
                 if drop:
                     drop = set(drop)
                     kept = [x for x in lines if not _goes(x.encode(), drop)]
+                    if not any(x.strip() for x in kept):  # a copy of whole documents, which is for the join of documents
+                        kept = [x for x in lines if not _goes(x.encode(), drop, rare=False)]
                     texts.append("\n".join(kept))
                 else:
                     kept = lines
