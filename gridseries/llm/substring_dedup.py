@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by a join of window fingerprints, in place of a relative Lempel-Ziv parse.
 
 The reference of a document is all text of documents with a smaller doc_id.  It is indexed in
 blocks: the fingerprints of all runs of `window` words, dealt to blocks by fingerprint, each with
-the first chunk of documents that has it.  Every document is parsed against all blocks: at a word
-whose window is indexed a factor starts and goes on as long as the next window is indexed too; the
-windows that straddle a factor's end are looked up like any other, so that a run that crosses two
-factors is not missed.  Factors of at least `window` words are duplicate spans.
+the first chunk of documents that has it.  Every window of a document is looked up: at a word
+whose window is indexed a span starts and goes on as long as the next window is indexed too.  Spans,
+called factors here, are duplicate; they have no position in the reference and need not occur there
+as one string.
 
 Documents are dealt into chunks of consecutive doc_ids, so that "an earlier chunk has it" is one
 bit.  A chunk sends each block its distinct fingerprints, sorted, as one row and gets one bit for
@@ -94,7 +94,7 @@ def _repeats(chunk: pa.Table, answers: pa.Table, blocks: int, window: int) -> tu
 
 
 def factors(starts: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """The greedy parse of one text, given its windows: (first word, words) of each factor of the reference."""
+    """(first word, words) of each run of consecutive repeated windows of one text."""
     hits = starts[repeated]
     if not len(hits):
         return
