@@ -300,6 +300,28 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_large_and_text_ids(spark):
+    rows = [(2**60 + i, "a" if i % 3 else "b", 5 + i) for i in range(50)] + [(None, "a", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("extra", F.lit(1))
+    got = mixing.mix(df, bucket_rows=10).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} and len(got) == 51 and "extra" not in got[0].asDict()
+    text = mixing.mix(df.withColumn("doc_id", F.concat(F.lit("é"), F.col("doc_id").cast("string"))), bucket_rows=10)
+    assert text.select("doc_id").distinct().count() == 51
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    rows = [(i, ["a", "a", "a", "b", None, f"rare{i}"][i % 6], 1 + (i * 37) % 400) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, parts in ((4, 3), (9, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(sorted(map(repr, mixing.mix(df.repartition(parts), bucket_rows=90, fan_in=3).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
 def test_a_large_document_does_not_make_the_miss():
     rng = random.Random(6)
     for seed in range(50):
