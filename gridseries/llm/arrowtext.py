@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +84,25 @@ class Words:
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         self.doc = np.searchsorted(self.doc_start, self.start, "right") - 1
-        self.hash = self._hashes(_LOWER_VALUES if lower else _VALUES, lower)
+        self._lower = lower
         #: Index of each text's first word, and one past the last word at the end.
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hashes(_LOWER_VALUES if self._lower else _VALUES, self._lower)
+
+    @cached_property
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with one space after it, and where each word begins in that, and the end."""
+        at = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+        step = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(step, self.start, 1)
+        np.add.at(step, self.end + 1, -1)  # a separator follows every word
+        out = self.data[np.cumsum(step[:-1]) > 0]
+        out[at[1:] - 1] = 0x20
+        return out.tobytes(), at
+
     def _hashes(self, values: np.ndarray, lower: bool) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
         at = 0

@@ -1,16 +1,20 @@
-"""Substring deduplication by a join of window fingerprints, in place of a relative Lempel-Ziv parse.
-
-The reference of a document is all text of documents with a smaller doc_id.  It is indexed in
-blocks: the fingerprints of all runs of `window` words, dealt to blocks by fingerprint, each with
-the first chunk of documents that has it.  Every window of a document is looked up: at a word
-whose window is indexed a span starts and goes on as long as the next window is indexed too.  Spans,
-called factors here, are duplicate; they have no position in the reference and need not occur there
-as one string.
-
-Documents are dealt into chunks of consecutive doc_ids, so that "an earlier chunk has it" is one
-bit.  A chunk sends each block its distinct fingerprints, sorted, as one row and gets one bit for
-each back in the same order: no row for each word is shuffled, and a passage that all documents hold
-is one fingerprint of each chunk.
+"""Substring deduplication by relative Lempel-Ziv parsing.
+
+The reference of a document is all text of documents with a smaller doc_id, in blocks: chunks of
+documents with consecutive doc_ids.  A passage is parsed greedily against a block: the factor at a word
+is the longest run of words that the block has too, from the first place of the `window` words that
+begin there; the parse goes on at the first window that the factor doesn't hold whole, so windows across a
+factor's boundary are looked up as well.  Factors of at least `window` words, compared word for word,
+become duplicate spans, and name their source.
+
+To parse every document against every block is quadratic, so a router says which blocks can hold a
+factor: the fingerprints of all windows, dealt to tasks by fingerprint, tell each chunk the first chunk
+that has each of its windows.  Where that is an earlier chunk, or the chunk itself in an earlier
+document, the run of such windows is sent to that chunk as one passage, is parsed there, and its factors
+come back.  A chunk sends equal passages once, and each task of the router its distinct fingerprints as
+one row, so a passage that all documents hold is one row of each chunk.
+
+A fingerprint only routes.  What it routes wrongly fails the comparison of words and stays.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm.arrowtext import Words, or_empty, texts_of
@@ -29,20 +34,18 @@ WINDOW = 13
 _LAST = np.iinfo(np.int64).max
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted `bounds` are at most `value`, by binary search."""
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
-    below = lambda at, step: F.when(F.try_element_at(table, at + step) <= value, at + step).otherwise(at)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), below)
-
-
 def by_doc_range(docs: DataFrame, chunks: int) -> DataFrame:
     """`docs` with the column chunk: ranges of doc_id with about as many rows each; a null doc_id comes last."""
     ordered = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     shares = [i / chunks for i in range(1, chunks)]
-    bounds = docs.agg(F.percentile_approx(ordered, F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * chunks)))).first()[0] if shares else []
-    return docs.withColumn("chunk", _range_of(ordered, sorted(set(bounds or []))))
+    found = docs.agg(F.percentile_approx(ordered, F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * chunks)))).first()[0] if shares else []
+    bounds = docs.sparkSession.sparkContext.broadcast(np.array(sorted(set(found or [])), np.int64))  # a number a chunk
+
+    @F.pandas_udf("int")
+    def chunk_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(), "right").astype(np.int32))
+
+    return docs.withColumn("chunk", chunk_of(ordered))
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -55,80 +58,218 @@ def split(keys: np.ndarray, blocks: int) -> np.ndarray:
     return np.searchsorted(block_of(keys, blocks), np.arange(blocks + 1, dtype=np.uint64))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, all first bytes first: the high ones are mostly zero, which the shuffle compresses."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, keys.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _in_order(chunk: pa.Table) -> pa.Table:
+    """Rows by doc_id, so that each reader of a chunk numbers its documents alike; rows that tie are equal in id and text."""
+    return chunk.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def _ids(chunk: pa.Table) -> np.ndarray:
+    return np.asarray(chunk.column("doc_id").cast(pa.int64()).fill_null(_LAST))
+
+
 def _send(blocks: int, window: int):
     def run(chunk: pa.Table) -> pa.Table:
         keys = np.unique(Words(texts_of(chunk)).grams(window)[1])
         at = split(keys, blocks)
         full = np.flatnonzero(np.diff(at))
         n = chunk.column("chunk")[0].as_py()
-        return pa.table({"block": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), n), pa.int32()), "keys": pa.array([keys[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+        return pa.table({"block": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), n), pa.int32()), "keys": pa.array([packed(keys[at[b] : at[b + 1]]) for b in full], pa.binary())})
 
     return run
 
 
-def _index(block: pa.Table) -> pa.Table:
-    """For the keys of each chunk, a bit: does an earlier chunk have it?"""
+def _route(block: pa.Table) -> pa.Table:
+    """For the keys of each chunk: a bit, does an earlier chunk have it, and of those that do the first such chunk."""
     block = block.sort_by("chunk")
-    parts = [np.frombuffer(k, np.uint64) for k in block.column("keys").to_pylist()]
+    parts = [unpacked(k) for k in block.column("keys").to_pylist()]
     ends = np.cumsum([len(p) for p in parts])
     keys = np.concatenate(parts)
-    earlier = np.ones(len(keys), bool)
-    earlier[np.unique(keys, return_index=True)[1]] = False  # the first of each key
-    bits = [np.packbits(earlier[e - len(p) : e]).tobytes() for p, e in zip(parts, ends)]
-    return pa.table({"chunk": block.column("chunk"), "block": block.column("block"), "bits": pa.array(bits, pa.binary())})
-
-
-def _repeats(chunk: pa.Table, answers: pa.Table, blocks: int, window: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Of the sorted chunk: its words, the first word of each window, and whether a smaller doc_id has the window."""
-    words = Words(texts_of(chunk))
-    at, grams = words.grams(window)
-    keys, first, which = np.unique(grams, return_index=True, return_inverse=True)
-    sizes = np.diff(split(keys, blocks))
-    answers = or_empty(answers, block=pa.int32(), bits=pa.binary()).sort_by("block")
-    got = [np.unpackbits(np.frombuffer(bits, np.uint8), count=sizes[b]) for b, bits in zip(answers.column("block").to_pylist(), answers.column("bits").to_pylist())]
-    earlier = np.concatenate(got).astype(bool) if got else np.zeros(len(keys), bool)
-    ids = np.asarray(chunk.column("doc_id").cast(pa.int64()).fill_null(_LAST))
-    doc = words.doc[at]
-    first_id = ids[doc[first]] if len(first) else np.zeros(0, np.int64)  # rows are in the order of doc_id
-    return words, at, earlier[which] | (first_id[which] < ids[doc])
-
-
-def factors(starts: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """(first word, words) of each run of consecutive repeated windows of one text."""
-    hits = starts[repeated]
-    if not len(hits):
-        return
-    cut = np.flatnonzero(np.diff(hits) != 1)
-    for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hits) - 1]])):
-        yield int(hits[a]), int(hits[b] - hits[a]) + window
-
-
-def _parse(blocks: int, window: int, names: list[str], out_type: pa.DataType):
+    of = np.repeat(block.column("chunk").to_numpy(), [len(p) for p in parts]).astype(np.int32)
+    order = np.argsort(keys, kind="stable")  # of equal keys, the first chunk's comes first
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    first = np.empty(len(keys), np.int32)
+    first[order] = of[order][new][np.cumsum(new) - 1]
+    bits, sources = [], []
+    for p, e in zip(parts, ends):
+        here = slice(e - len(p), e)
+        earlier = first[here] < of[here]
+        bits.append(np.packbits(earlier).tobytes())
+        sources.append(np.ascontiguousarray(first[here][earlier].view(np.uint8).reshape(-1, 4).T).tobytes())
+    return pa.table({"chunk": block.column("chunk"), "block": block.column("block"), "bits": pa.array(bits, pa.binary()), "sources": pa.array(sources, pa.binary())})
+
+
+def _sources(keys: np.ndarray, answers: pa.Table, blocks: int) -> np.ndarray:
+    """For each of the sorted keys of a chunk the first earlier chunk that has it, or -1."""
+    out = np.full(len(keys), -1, np.int32)
+    at = split(keys, blocks)
+    for b, bits, sources in zip(*(answers.column(c).to_pylist() for c in ("block", "bits", "sources"))):
+        earlier = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b + 1] - at[b]).astype(bool)
+        out[at[b] + np.flatnonzero(earlier)] = np.ascontiguousarray(np.frombuffer(sources, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return out
+
+
+_ASKED = "chunk int, asker int, passage binary, places binary"
+
+
+def _ask(blocks: int, window: int):
+    """The passages of a chunk that may be repeats, each for the chunk that can tell."""
+    empty = pa.schema([("chunk", pa.int32()), ("asker", pa.int32()), ("passage", pa.binary()), ("places", pa.binary())]).empty_table()
+
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = chunk.sort_by([("doc_id", "ascending")])
-        words, at, repeated = _repeats(chunk, answers, blocks, window)
-        bounds = np.searchsorted(words.doc[at], np.arange(words.n_docs + 1)) if len(at) else np.zeros(words.n_docs + 1, np.int64)
-        data, out = words.data.tobytes(), []
-        for i in range(words.n_docs):
-            first, last = int(words.first[i]), int(words.first[i + 1])
-            found = list(factors(at[bounds[i] : bounds[i + 1]] - first, repeated[bounds[i] : bounds[i + 1]], window))
-            gone = np.zeros(last - first, bool)
-            for start, n in found:
-                gone[start : start + n] = True
-            kept = b" ".join(data[words.start[w] : words.end[w]] for w in first + np.flatnonzero(~gone))
-            # Factors that overlap or touch at a boundary make one span.
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            spans = [{"start": int(s), "n_words": int(e - s)} for s, e in zip(edge[::2], edge[1::2])]
-            out.append({"n_words": last - first, "n_removed": int(gone.sum()), "spans": spans, "kept": kept.decode()})
-        return chunk.select(names).append_column("parsed", pa.array(out, out_type))
+        if not chunk.num_rows:
+            return empty
+        own = chunk.column("chunk")[0].as_py()
+        chunk = _in_order(chunk)
+        words = Words(texts_of(chunk))
+        at, grams = words.grams(window)
+        if not len(at):
+            return empty
+        keys, first, which = np.unique(grams, return_index=True, return_inverse=True)
+        source = _sources(keys, or_empty(answers, block=pa.int32(), bits=pa.binary(), sources=pa.binary()), blocks)[which]
+        ids, doc = _ids(chunk), words.doc[at]
+        here = (source < 0) & (ids[doc[first]][which] < ids[doc])  # rows are in the order of doc_id
+        source[here] = own
+        # Runs of consecutive windows that one chunk can tell of.
+        new = np.ones(len(at), bool)
+        new[1:] = (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(at)) - 1
+        text, offset = words.spaced
+        places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for a, b in zip(starts[source[starts] >= 0].tolist(), ends[source[starts] >= 0].tolist()):
+            w = int(at[a])
+            passage = text[offset[w] : offset[at[b] + window] - 1]
+            places.setdefault((int(source[a]), passage), []).append((int(doc[a]), w - int(words.first[doc[a]])))
+        return pa.table(
+            {
+                "chunk": pa.array([c for c, _ in places], pa.int32()),
+                "asker": pa.array(np.full(len(places), own), pa.int32()),
+                "passage": pa.array([p for _, p in places], pa.binary()),
+                "places": pa.array([np.array(x, np.int64).tobytes() for x in places.values()], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def factors(passage: Words, i: int, block: Words, first: np.ndarray, keys: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
+    """(word, words, word of the block) of the factors of passage i, by a greedy parse against the block.
+
+    `first` has the first place in the block of each of the passages' windows (`keys`: index into it), or -1.
+    """
+    lo, n = int(passage.first[i]), int(passage.counts[i])
+    (text, at), (reference, ref_at) = passage.spaced, block.spaced
+    w = 0
+    while w + window <= n:
+        g = int(first[keys[lo + w]])
+        if g < 0:
+            w += 1
+            continue
+        most = min(n - w, int(block.first[block.doc[g] + 1]) - g)
+        differ = np.flatnonzero(passage.hash[lo + w : lo + w + most] != block.hash[g : g + most])
+        m = int(differ[0]) if len(differ) else most
+        while m and text[at[lo + w] : at[lo + w + m]] != reference[ref_at[g] : ref_at[g + m]]:
+            m -= 1  # two words with one hash
+        if m < window:
+            w += 1
+            continue
+        yield w, m, g
+        w += m - window + 1  # the first window that reaches over the boundary
+
+
+def _tell(window: int):
+    """The factors of the passages that others ask a chunk about, against the chunk's text."""
+    empty = pa.schema([("chunk", pa.int32()), ("places", pa.binary()), ("factors", pa.binary())]).empty_table()
+
+    def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows or not chunk.num_rows:
+            return empty
+        chunk = _in_order(chunk)
+        block, passages = Words(texts_of(chunk)), Words(asked.column("passage").to_pylist())
+        at, grams = block.grams(window)
+        p_at, p_grams = passages.grams(window)
+        wanted, which = np.unique(p_grams, return_inverse=True)
+        number = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+        found = np.flatnonzero(wanted[number] == grams)
+        first = np.full(len(wanted), -1, np.int64)
+        first[number[found[::-1]]] = at[found[::-1]]  # the first of each is written last
+        keys = np.zeros(len(passages.hash), np.int64)
+        keys[p_at] = which
+        ids, out = _ids(chunk), []
+        for i in range(passages.n_docs):
+            rows = [(w, m, ids[block.doc[g]], g - block.first[block.doc[g]]) for w, m, g in factors(passages, i, block, first, keys, window)]
+            out.append(np.array(rows, np.int64).tobytes())
+        return pa.table({"chunk": asked.column("asker"), "places": asked.column("places"), "factors": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _lists(doc: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.ListArray:
+    """Lists of structs for documents 0 to n - 1; `doc` is sorted."""
+    structs = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), structs)
+
+
+def _apply(names: list[str]):
+    def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = _in_order(chunk)
+        words, n = Words(texts_of(chunk)), chunk.num_rows
+        rows = []
+        told = or_empty(told, places=pa.binary(), factors=pa.binary())
+        for places, found in zip(told.column("places").to_pylist(), told.column("factors").to_pylist()):
+            place, f = np.frombuffer(places, np.int64).reshape(-1, 2), np.frombuffer(found, np.int64).reshape(-1, 4)
+            doc, start = np.repeat(place[:, 0], len(f)), np.repeat(place[:, 1], len(f))
+            f = np.tile(f, (len(place), 1))
+            rows.append(np.column_stack([doc, start + f[:, 0], f[:, 1:]]))
+        doc, start, size, source, word = np.concatenate(rows).T if rows else np.zeros((5, 0), np.int64)
+        order = np.lexsort((size, start, doc))
+        doc, start, size, source, word = (x[order] for x in (doc, start, size, source, word))
+        edge = np.zeros(len(words.start) + 1, np.int64)
+        np.add.at(edge, words.first[doc] + start, 1)
+        np.add.at(edge, words.first[doc] + start + size, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        # Factors that overlap or touch at a boundary make one span.
+        border = np.zeros(len(gone) + 1, bool)
+        border[words.first] = True
+        begins = np.flatnonzero(gone & (border[:-1] | ~np.concatenate([[False], gone[:-1]])))
+        stops = np.flatnonzero(gone & (border[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+        span_doc = words.doc[begins]
+        text, at = words.spaced
+        left = np.frombuffer(text, np.uint8)[~np.repeat(gone, np.diff(at))].tobytes()
+        left_at = np.concatenate([[0], np.cumsum(np.diff(at) * ~gone)])[words.first]
+        kept = [left[left_at[i] : max(left_at[i], left_at[i + 1] - 1)] for i in range(n)]
+        removed = np.concatenate([[0], np.cumsum(gone)])[words.first]
+        parsed = pa.StructArray.from_arrays(
+            [
+                pa.array(words.counts.astype(np.int64)),
+                pa.array(np.diff(removed).astype(np.int64)),
+                _lists(span_doc, n, {"start": begins - words.first[span_doc], "n_words": stops - begins}),
+                _lists(doc, n, {"start": start, "n_words": size, "source_doc": source, "source_word": word}),
+                pa.array(kept, pa.binary()).cast(pa.string()),
+            ],
+            names=["n_words", "n_removed", "spans", "factors", "kept"],
+        )
+        return chunk.select(names).append_column("parsed", parsed)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = None, blocks: int | None = None) -> DataFrame:
-    """`docs` with a struct column `parsed`: n_words, n_removed, the duplicate spans, and the words kept.
+    """`docs` with a struct column `parsed`: n_words, n_removed, the duplicate spans, the factors, and the words kept.
 
-    Words are what lies between white space, unchanged; kept words are joined by one space.  A null
+    Words are what lies between white space, unchanged; kept words are joined by one space.  A factor is
+    (start, n_words, source_doc, source_word): so many words from `start` on are those of document
+    source_doc from its word source_word on; factors may overlap, spans are their union.  A null
     text has no words.  Rows with the same doc_id are no reference of each other; a null doc_id is
     larger than any other.  Other columns stay, but for earlier ones named parsed or chunk.  An empty
     table gives no rows.
@@ -137,13 +278,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = N
     blocks, chunks = blocks or n, chunks or 2 * n
     docs = docs.drop("parsed", "chunk")
     dealt = by_doc_range(docs, chunks).repartition(n, "chunk")
-    # All columns here too: so the texts are shuffled once, and both readers share that exchange.
-    sent = dealt.groupBy("chunk").applyInArrow(_send(blocks, window), "block int, chunk int, keys binary")
-    answers = sent.groupBy("block").applyInArrow(_index, "chunk int, block int, bits binary")
-    kind = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,n_words:bigint>>,kept:string>"
+    # All columns here too: so the texts are shuffled once, and all readers share that exchange.
+    by_chunk = lambda df: df.groupBy("chunk")
+    sent = by_chunk(dealt).applyInArrow(_send(blocks, window), "block int, chunk int, keys binary")
+    answers = sent.groupBy("block").applyInArrow(_route, "chunk int, block int, bits binary, sources binary")
+    asked = by_chunk(dealt).cogroup(by_chunk(answers)).applyInArrow(_ask(blocks, window), _ASKED)
+    told = by_chunk(dealt).cogroup(by_chunk(asked)).applyInArrow(_tell(window), "chunk int, places binary, factors binary")
+    kind = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,n_words:bigint>>,factors:array<struct<start:bigint,n_words:bigint,source_doc:bigint,source_word:bigint>>,kept:string>"
     schema = docs.withColumn("parsed", F.lit(None).cast(kind)).schema
-    arrow = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))), ("kept", pa.string())])
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_parse(blocks, window, docs.columns, arrow), schema)
+    return by_chunk(dealt).cogroup(by_chunk(told)).applyInArrow(_apply(docs.columns), schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

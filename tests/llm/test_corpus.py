@@ -69,6 +69,31 @@ def test_substring_dedup_is_brute_force(spark, chunks, blocks):
     assert sorted((r["doc_id"], *(r["parsed"][k] for k in ("n_words", "n_removed", "kept"))) for r in got.collect()) == kept_words(docs)
 
 
+def test_factors_name_their_source(spark):
+    docs = [(d, t) for d, t in corpus(11, 80)]
+    words = {d: WORD.findall(t or "") for d, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    n = 0
+    for r in substring_dedup.remove_repeats(df, chunks=7, blocks=3).collect():
+        p, covered = r["parsed"], set()
+        for f in p["factors"]:
+            n += 1
+            assert f["n_words"] >= 13 and f["source_doc"] < r["doc_id"]
+            own, source = words[r["doc_id"]], words[f["source_doc"]]
+            assert own[f["start"] : f["start"] + f["n_words"]] == source[f["source_word"] : f["source_word"] + f["n_words"]]
+            a, b = f["start"] + f["n_words"], f["source_word"] + f["n_words"]
+            assert a == len(own) or b == len(source) or own[a] != source[b] or any(g["start"] < a < g["start"] + g["n_words"] for g in p["factors"])
+            covered |= set(range(f["start"], a))
+        assert covered == {w for s in p["spans"] for w in range(s["start"], s["start"] + s["n_words"])} and len(covered) == p["n_removed"]
+    assert n > 50
+
+
+def test_wrong_routes_remove_nothing():
+    passages, block = substring_dedup.Words([b"a b c d e"]), substring_dedup.Words([b"a b x d e", b"b c d e"])
+    keys = np.array([0, 1, 2, 3, 4])
+    assert list(substring_dedup.factors(passages, 0, block, np.array([0, 5, -1, -1, -1]), keys, 3)) == [(1, 4, 5)]
+
+
 def test_substring_dedup_of_no_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a " * 14), (None, "a " * 14), (3, "a " * 13)], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["parsed"]["n_removed"]) for r in substring_dedup.remove_repeats(df, chunks=2).collect())

@@ -316,8 +316,14 @@ def test_clashing_surrogates_are_drawn_again(spark):
 # ---- the parts of pair operators
 
 
-def test_factors():
-    assert list(substring_dedup.factors(np.arange(6), np.array([0, 1, 1, 0, 0, 1], bool), 13)) == [(1, 14), (5, 13)]
+def test_packed_keys():
+    for keys in (np.zeros(0, np.uint64), np.array([0, 5, 1 << 40, (1 << 64) - 1], np.uint64)):
+        assert substring_dedup.unpacked(substring_dedup.packed(keys)).tolist() == keys.tolist()
+
+
+def test_spaced_words():
+    text, at = Words([b" a  bc\n", None, b"\td e "]).spaced
+    assert text == b"a bc d e " and at.tolist() == [0, 2, 5, 7, 9]
 
 
 def test_linked_sets_share_a_signature():
