@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }

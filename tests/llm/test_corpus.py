@@ -189,22 +189,12 @@ def test_rare_lines_stay(spark):
     assert line_dedup.drop_templates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("leaf_lines", [5000, 3])
-def test_lines_that_differ_in_a_word_are_one_template(spark, leaf_lines):
+def test_lines_that_differ_in_a_word_are_one_template(spark):
     colours = ["red", "blue", "green", "black", "white", "brown", "grey", "pink", "gold", "teal", "lime", "navy"]
     docs = [(i, f"we sell the finest {c} paint in town today") for i, c in enumerate(colours)]
-    got = line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string"), leaf_lines=leaf_lines)
-    assert got.where("n_dropped > 0").count() == 11
-
-
-def test_cluster_does_not_depend_on_the_order():
-    rng = random.Random(0)
-    lines = list({b" ".join([b"a", b"b", b"c"] + [rng.choice([b"x", b"y", b"z"]) for _ in range(5)]) for _ in range(60)})
-    pairs = [(x, rng.randint(1, 5)) for x in lines]
-    name = lambda rows: {rows[i][0]: rows[t][0] for i, t in enumerate(line_dedup.cluster(rows))}
-    a = name(pairs)
-    rng.shuffle(pairs)
-    assert a == name(pairs)
+    docs += [(50 + i, f"{c} is {c}er than {c}") for i, c in enumerate(colours)] + [(70 + i, f"{i} {i} {i} of {i}") for i in range(12)]
+    got = line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == set(range(1, 12))
 
 
 def test_long_lines_and_short_lines_recur_by_their_length(spark):
@@ -221,37 +211,38 @@ def test_long_lines_and_short_lines_recur_by_their_length(spark):
     assert [line_dedup.exact_docs(n) for n in (3, 10, 15, 49, 50, 900)] == [10, 10, 9, 3, 2, 2]
 
 
-def chains(lines):
-    """Masked lines of one leaf: the smallest line that each is tied to by steps of three quarters of the positions."""
-    root = {x: x for x in lines}
+def by_sql(tmp_path, docs):
+    """What the operator's SQL says of (doc_id, text) rows."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    return sorted(con.execute(line_dedup.OP7_SQL).fetchall())
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in lines:
-        for b in lines:
-            if line_dedup.path(a) == line_dedup.path(b) and 4 * sum(x == y for x, y in zip(a.split(), b.split())) >= 3 * len(a.split()):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {x: find(x) for x in lines}
+def dropped(df):
+    got = line_dedup.drop_templates(df).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    return sorted(map(tuple, got))
 
 
-def test_templates_are_chains_whatever_the_size_of_a_leaf(spark):
+def test_templates_are_the_sql_whatever_the_size_of_a_leaf(spark, tmp_path):
     rng = random.Random(6)
-    lines = [" ".join(["Come", "and", "see", *rng.choices("pqrst", k=k)]) for k in (5, 9) for _ in range(60)]
-    df = spark.createDataFrame([(d % 30, x) for d, x in enumerate(lines)], "doc_id long, text string").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
-    whole = chains({line_dedup.masked(x.encode()) for x in lines})
-    group = defaultdict(set)
-    for x, r in whole.items():
-        group[r].add(line_dedup._signed(x))
-    assert len(group) < len(whole)
-    for leaf_lines in (5000, 2):
-        got = defaultdict(set)
-        for r in line_dedup.templates(df, leaf_lines=leaf_lines).collect():
-            got[r["template"]].add(r["line"])
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, group.values()))
+    leaf = lambda: " ".join(["Come", "and", "see", *(rng.choice("ppppqqqqrst") if i not in (2, 4) else str(rng.randint(0, 10**6)) if i == 2 else "x" + "y" * rng.randint(0, 400) for i in range(7))])
+    lines = list({leaf() for _ in range(7000)})
+    docs = [(d, "\n".join(lines[d::500])) for d in range(500)]
+    want = by_sql(tmp_path, docs)
+    assert len({x[:12] for x in lines}) == 1 and len(lines) > 6000 and 100 < sum(x[2] for x in want) < 7000
+    assert dropped(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)) == want
+
+
+def test_line_dedup_is_the_sql_on_odd_texts(spark, tmp_path):
+    rng = random.Random(16)
+    bits = ["a", "bb", "<*>", "7", "x9", "é", "-", "\t", "\r", "", " ", "longer"]
+    line = lambda: " ".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 16, 55])))
+    stock = [line() for _ in range(60)]
+    docs = [(d, "\n".join(rng.choice(stock) if rng.random() < 0.8 else line() for _ in range(rng.randint(0, 12)))) for d in range(300)]
+    docs += [(1000, None), (1001, ""), (1002, "\n\n"), (1003, "\n".join(stock * 50)), (1004, stock[-1]), (1005, stock[-1])]
+    assert dropped(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == by_sql(tmp_path, docs)
 
 
 # ---- chats
