@@ -149,6 +149,44 @@ def test_longest_matches_and_locations(spark):
     assert [tuple(x) for x in m["matches"]] == [("i", 2, 5, 20)] and [tuple(s) for s in m["spans"]] == [(2, 22)]
 
 
+def longest_matches(text, items, window=13):
+    w, out = ALNUM.findall(lower(text or "")), []
+    for item, t in items:
+        v = ALNUM.findall(lower(t or ""))
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n and n >= min(window, len(v)) and not (p and q and w[p - 1] == v[q - 1]):
+                    out.append((p, str(item), q, n))
+    return sorted(out)
+
+
+def test_all_longest_matches_whatever_the_blocks(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(i, text(rng.choice([1, 3, 7, 9, 15]))) for i in range(12)] + [(3, text(10)), (20, "a b a b a b a b")]
+    docs = [(i, text(rng.randint(0, 40)), "x") for i in range(25)] + [(30, "a b " * 20, "x"), (30, "a b " * 20, "y"), (None, "zz", "x")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, text_key string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block_chars in (10**6, 15):
+        rows = decontaminate.find_matches(df, bench, window=8, block_chars=block_chars).collect()
+        got.append(sorted(((r["doc_id"] or -1, r["text_key"], r["text"], [(m["doc_word"], m["item_id"], m["item_word"], m["n_words"]) for m in r["contamination"]["matches"]]) for r in rows)))
+    assert got[0] == got[1] == sorted((d or -1, k, t, longest_matches(t, items, 8)) for d, t, k in docs)
+    assert sum(len(x[3]) for x in got[0]) > 200
+
+
+def test_suffix_array_is_the_order_of_suffixes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 400):
+        text = np.concatenate([rng.integers(0, 3, n), np.zeros(9, int)]).astype(np.int32)
+        got = decontaminate.suffix_array(text, 8)
+        rows = [text[i : i + 8].tolist() for i in got]
+        cut = [r[: r.index(0)] if 0 in r else r for r in rows]
+        assert sorted(got.tolist()) == np.flatnonzero(text).tolist() and cut == sorted(cut)
+
+
 def test_decontaminate_keeps_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "q " * 30, 5), (2, "a b c d", 6)], "doc_id long, text string, extra int")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
