@@ -11,9 +11,13 @@ its first tokens as two linked sets cannot both miss.  Then
   same combination in both (all k-combinations would grow with a power of the length);
 * tokens of one document only are never indexed.
 
-Candidates that share a signature are verified on whole sets.  Each signature group is verified
-against its smallest document first, one pair for each document.  Clusters of candidates that fall
-into more than one component after that are compared in blocks, so no link is lost.
+Sets that share a signature are candidates, and are verified as whole sets.  First each signature's
+documents of one chunk are verified against the smallest of them, and those smallest ones against the
+smallest of all: about one pair for each document.  Signatures whose documents are of one component
+then are done.  In the others, pairs of documents of different components are verified: all of them at
+once in a group of `small` documents at most, and in pairs of blocks in a larger one, which tell only the
+links that tie components together.  A pair is compared within a signature that both have, never because
+a chain of candidates leads from one to the other.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 from gridseries.llm.arrowtext import Words, mix, or_empty, texts_of
 from gridseries.llm.components import components, merged
 from gridseries.llm.session import checkpointed, shuffle_partitions
-from gridseries.llm.substring_dedup import block_of, split
+from gridseries.llm.substring_dedup import block_of, packed, split
 
 SHINGLE = 4
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A token in more documents than this is frequent.
 RARE = 16
+#: All pairs of components of a signature with so many documents at most are verified at once.
+SMALL = 16
+#: Documents of a block of a larger signature.
+BLOCK_DOCS = 1024
 
 
 def shingle_sets(texts: list[bytes | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -106,78 +114,111 @@ def _rows_of(chunk: pa.Table, notes: pa.Table) -> tuple[pa.Table, list[int]]:
     return rows, rows.column("doc_id").to_pylist()
 
 
-def _low(keys: np.ndarray) -> np.ndarray:
-    """32 bits of each key; with its block they tell tokens apart well enough for an order."""
-    return keys.astype(np.uint32)
+def _low(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The 32 bits after those that make the block, in the order of the keys; with the block they tell tokens apart well enough for an order."""
+    return ((keys * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each is there, 255 at most."""
+    keys, count = np.unique(keys, return_counts=True)
+    return keys, np.minimum(count, 255).astype(np.uint8)
 
 
 def _send(blocks: int, n: int):
     def run(chunk: pa.Table, notes: pa.Table) -> pa.Table:
         rows, _ = _rows_of(chunk, notes) if chunk.num_rows else (chunk, [])
-        keys = np.sort(shingle_sets(texts_of(rows), n)[1]) if rows.num_rows else np.zeros(0, np.uint64)
+        keys, count = _counted(shingle_sets(texts_of(rows), n)[1] if rows.num_rows else np.zeros(0, np.uint64))
         at = split(keys, blocks)
         full = np.flatnonzero(np.diff(at))
         number = chunk.column("chunk")[0].as_py() if chunk.num_rows else 0
-        return pa.table({"block": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), number), pa.int32()), "keys": pa.array([_low(keys[at[b] : at[b + 1]]).tobytes() for b in full], pa.binary())})
+        parts = [slice(at[b], at[b + 1]) for b in full]
+        low = _low(keys, blocks)
+        return pa.table({"block": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), number), pa.int32()), "keys": pa.array([packed(low[p]) for p in parts], pa.binary()), "counts": pa.array([count[p].tobytes() for p in parts], pa.binary())})
 
     return run
 
 
+def _low_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _count(block: pa.Table) -> pa.Table:
     """For the keys that each chunk sent, in their order: in how many documents they are, 255 at most."""
-    parts = [np.frombuffer(k, np.uint32) for k in block.column("keys").to_pylist()]
+    parts = [_low_keys(k) for k in block.column("keys").to_pylist()]
     ends = np.cumsum([len(p) for p in parts])
-    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    frequency = np.minimum(count, 255).astype(np.uint8)[which]
+    _, which = np.unique(np.concatenate(parts), return_inverse=True)
+    own = np.frombuffer(b"".join(block.column("counts").to_pylist()), np.uint8)
+    frequency = np.minimum(np.bincount(which, own), 255).astype(np.uint8)[which]
     return pa.table({"chunk": block.column("chunk"), "block": block.column("block"), "doc_id": pa.nulls(len(parts), pa.int64()), "counts": pa.array([frequency[e - len(p) : e].tobytes() for p, e in zip(parts, ends)], pa.binary())})
 
 
-_FOUND = "block int, doc_id long, n long, tokens binary, signatures binary, doc_ids binary"
+_FOUND = "block int, doc_id long, partner long, n long, tokens binary, signatures binary, doc_ids binary"
+_FOUND_ARROW = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("partner", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.binary()), ("doc_ids", pa.binary())])
+
+
+def _with_smallest(signature: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The distinct pairs (smallest document of the signature, another one of it)."""
+    order = np.lexsort((doc, signature))
+    s, d = signature[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    pivot = np.repeat(d[first], np.diff(np.append(first, len(s))))
+    return np.unique(np.stack([pivot, d], 1)[pivot != d], axis=0)
 
 
 def _find(blocks: int, n: int, percent: int, rare: int):
+    """Of each chunk: (doc_id, n, tokens, signatures) of its sets, (doc_id, partner) to verify, and its signatures and
+    their documents for each block."""
+
     def run(chunk: pa.Table, notes: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.binary()), ("doc_ids", pa.binary())])
         if not chunk.num_rows:
-            return schema.empty_table()
+            return _FOUND_ARROW.empty_table()
         notes = or_empty(notes, block=pa.int32(), doc_id=pa.int64(), counts=pa.binary())
         answered = notes.filter(pc.is_valid(notes.column("counts"))).sort_by("block")
         rows, ids = _rows_of(chunk, notes.filter(pc.is_valid(notes.column("doc_id"))))
         if not ids:
-            return schema.empty_table()
+            return _FOUND_ARROW.empty_table()
         doc, tokens = shingle_sets(texts_of(rows), n)
-        frequency = np.ones(len(tokens), np.int64)
-        frequency[np.argsort(tokens, kind="stable")] = np.frombuffer(b"".join(answered.column("counts").to_pylist()), np.uint8)
+        _, which = np.unique(tokens, return_inverse=True)
+        frequency = np.frombuffer(b"".join(answered.column("counts").to_pylist()), np.uint8)[which].astype(np.int64)
         bounds = np.searchsorted(doc, np.arange(rows.num_rows + 1))
         bands = size_bands(int(np.diff(bounds).max(initial=1)), percent)
         out, all_signatures, owners = [], [], []
         for i, doc_id in enumerate(ids):
             own, often = tokens[bounds[i] : bounds[i + 1]], frequency[bounds[i] : bounds[i + 1]]
             found = signatures(own, often, bands, percent, rare) if len(own) else own
-            out.append({"doc_id": doc_id, "n": len(own), "tokens": own.tobytes() if len(found) else None})
+            out.append({"doc_id": doc_id, "n": len(own), "tokens": own.tobytes() if len(found) else None, "signatures": found.tobytes() if len(found) else None})
             all_signatures.append(found)
             owners.append(np.full(len(found), doc_id, np.int64))
         found, owner = np.concatenate(all_signatures), np.concatenate(owners)
-        order = np.argsort(found, kind="stable")
+        out += [{"doc_id": a, "partner": b} for a, b in _with_smallest(found, owner).tolist()]
+        order = np.lexsort((owner, found))
         found, owner = found[order], owner[order]
         at = split(found, blocks)
         for b in np.flatnonzero(np.diff(at)):
             s = slice(at[b], at[b + 1])
             out.append({"block": int(b), "signatures": found[s].tobytes(), "doc_ids": owner[s].tobytes()})
-        return pa.Table.from_pylist(out, schema)
+        return pa.Table.from_pylist(out, _FOUND_ARROW)
 
     return run
 
 
+def _first_of_chunk(batches):
+    """Of each signature of a chunk the smallest document only."""
+    for batch in batches:
+        signature, doc = [], []
+        for s, d in zip(batch.column("signatures").to_pylist(), batch.column("doc_ids").to_pylist()):
+            own, first = np.unique(np.frombuffer(s, np.uint64), return_index=True)
+            signature.append(own.tobytes())
+            doc.append(np.frombuffer(d, np.int64)[first].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(signature, pa.binary()), pa.array(doc, pa.binary())], names=["block", "signatures", "doc_ids"])
+
+
 def _pivot_pairs(block: pa.Table) -> pa.Table:
-    """(a, b): each signature group's smallest document with all others of the group."""
+    """(a, b): the smallest document of each signature with the smallest ones of its chunks."""
     s = np.frombuffer(b"".join(block.column("signatures").to_pylist()), np.uint64)
     d = np.frombuffer(b"".join(block.column("doc_ids").to_pylist()), np.int64)
-    order = np.lexsort((d, s))
-    s, d = s[order], d[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    pivot = np.repeat(d[first], np.diff(np.concatenate([first, [len(s)]])))
-    pairs = np.unique(np.stack([pivot, d], 1)[pivot != d], axis=0)
+    pairs = _with_smallest(s, d)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
@@ -197,17 +238,65 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
+def _signed_rows(batches):
+    """(signature, label) of each document's signatures."""
+    for batch in batches:
+        found = [np.frombuffer(s, np.int64) for s in batch.column("signatures").to_pylist()]
+        label = np.repeat(batch.column("label").to_numpy(), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()), pa.array(label, pa.int64())], names=["signature", "label"])
+
+
+def _members(batches):
+    """(signature, doc_id) of those signatures of a chunk that are wanted of its block."""
+    for batch in batches:
+        signature, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, d, wanted in zip(*(batch.column(c).to_pylist() for c in ("signatures", "doc_ids", "wanted"))):
+            s = np.frombuffer(s, np.int64)
+            has = np.isin(s, np.array(wanted, np.int64))
+            signature.append(s[has])
+            doc.append(np.frombuffer(d, np.int64)[has])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signature), pa.int64()), pa.array(np.concatenate(doc), pa.int64())], names=["signature", "doc_id"])
+
+
+def _small_pairs(percent: int):
+    """The pairs of documents of different components of the small signatures of one bucket, if their sizes may be linked."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        signature, doc, label, n = (rows.column(c).to_numpy() for c in ("signature", "doc_id", "label", "n"))
+        order = np.lexsort((doc, signature))
+        signature, doc, label, n = signature[order], doc[order], label[order], n[order]
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, SMALL):  # of each document, its neighbour that many places on
+            a, b = slice(None, -step), slice(step, None)
+            if step >= len(doc):
+                break
+            ok = (signature[a] == signature[b]) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            found.append(np.stack([doc[a][ok], doc[b][ok]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
 def _join_block(percent: int):
-    """Of the two blocks of documents of one candidate cluster: links that tie labels together."""
+    """Of two blocks of documents of one signature: links that tie components together.
+
+    Pairs that also share a smaller signature are left to that one."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("doc_id")
         ids, labels, mine = (rows.column(c).to_pylist() for c in ("doc_id", "label", "mine"))
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
         size = np.array([len(s) for s in sets], np.int64)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        starts = np.concatenate([[0], np.cumsum(size)])
         names, number = np.unique(np.concatenate(sets), return_inverse=True)
-        root = {x: x for x in labels}
+        low, high, signature = (rows.column(c)[0].as_py() for c in ("low", "high", "signature"))
+        smaller = [[x for x in own if x < signature] for own in rows.column("among").to_pylist()]
+        columns = {x: k for k, x in enumerate(sorted({x for own in smaller for x in own}))}
+        has = np.zeros((len(ids), len(columns) + 1), np.float32)
+        for i, own in enumerate(smaller):
+            has[i, [columns[x] for x in own]] = 1
+        root, block, found = {x: x for x in labels}, np.array(mine), []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -215,50 +304,69 @@ def _join_block(percent: int):
                 x = root[x]
             return x
 
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        block, found = np.array(mine), []
-        for i in range(len(ids)):
+        label = np.array(labels)
+        for i in np.flatnonzero(block == low).tolist():
             # Pairs across two blocks; within a block, those with later documents.
             others = block == high if low != high else np.arange(len(ids)) > i
-            if mine[i] != low or not others.any() or all(find(labels[j]) == find(labels[i]) for j in np.flatnonzero(others)):
+            others &= (label != label[i]) & (has @ has[i] == 0) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            j = np.flatnonzero(others)
+            if not len(j):
                 continue
-            flag = np.zeros(len(names), np.int64)
-            flag[number[starts[i] : starts[i] + size[i]]] = 1
-            both = np.add.reduceat(flag[number], starts)
-            for j in np.flatnonzero(others & (100 * both >= percent * (size + size[i] - both))):
-                x, y = find(labels[i]), find(labels[j])
+            flag = np.zeros(len(names) + 1, np.int64)
+            flag[number[starts[i] : starts[i + 1]]] = 1
+            at = np.concatenate([number[starts[k] : starts[k + 1]] for k in j])
+            both = np.add.reduceat(flag[at], np.cumsum(size[j]) - size[j])
+            for k in j[100 * both >= percent * (size[j] + size[i] - both)].tolist():
+                x, y = find(labels[i]), find(labels[k])
                 if x != y:
                     root[x] = y
-                    found.append((ids[i], ids[j]))
+                    found.append((ids[i], ids[k]))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def _go_through(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """The labels when no two documents of one candidate cluster in different components are linked.
+def _go_through(packed_rows: DataFrame, sets: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int, blocks: int, block_docs: int) -> DataFrame:
+    """`labels` after all links between documents of different components that share a signature.
 
-    A cluster is what candidate pairs tie together, so all links are within clusters.  Clusters of one
-    component are done.  The others are compared in pairs of blocks of about `block_docs` documents;
-    a pair of blocks gives back only the links that tie components together, fewer than documents.
+    A signature has documents of several components only if a pair that was verified in it has, so
+    those pairs tell which signatures to look at.
     """
-    cluster = components(pairs).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
-    labelled = cluster.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split_up = labelled.groupBy("cluster").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("size")).where("first <> last and size > 2")
-    blocks = F.ceil(F.col("size") / block_docs).cast("int")
-    rows = labelled.join(split_up.select("cluster", blocks.alias("blocks")), "cluster").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a <> label_b")
+    ends = checkpointed(apart.select(F.col("a").alias("doc_id"), F.col("label_a").alias("label")).unionByName(apart.select(F.col("b").alias("doc_id"), F.col("label_b").alias("label"))).distinct())
+    signed = sets.select("doc_id", "signatures").join(ends, "doc_id").select("signatures", "label").mapInArrow(_signed_rows, "signature long, label long")
+    wanted = signed.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("signature")
+    # The block of a signature, as in block_of.
+    block = F.shiftrightunsigned(F.shiftrightunsigned("signature", 32) * blocks, 32).cast("int")
+    by_block = wanted.groupBy(block.alias("block")).agg(F.collect_list("signature").alias("wanted"))
+    found = packed_rows.join(by_block, "block").select("signatures", "doc_ids", "wanted").mapInArrow(_members, "signature long, doc_id long")
+    info = sets.select("doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    members = checkpointed(found.join(info, "doc_id").select("signature", "doc_id", "n", "label"))
+    groups = checkpointed(members.groupBy("signature").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who")))
+
+    small = members.join(groups.where(F.col("size") <= SMALL).select("signature"), "signature").withColumn("bucket", F.pmod("signature", F.lit(blocks)))
+    more = small.groupBy("bucket").applyInArrow(_small_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    links = _verify(checkpointed(more), sets, percent)
+
+    # Signatures of the same documents are one.
+    large = groups.where(F.col("size") > SMALL).groupBy("size", "who").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("size") / block_docs).cast("int").alias("blocks"))
+    rows = checkpointed(members.join(large, "signature").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    among = rows.groupBy("doc_id").agg(F.collect_set("signature").alias("among"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("cluster", "doc_id", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    links = rows.join(sets.select("doc_id", "tokens"), "doc_id").groupBy("cluster", "low", "high").applyInArrow(_join_block(percent), "a long, b long")
-    return merged(labels, checkpointed(links))
+    rows = rows.select("signature", "doc_id", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    rows = rows.join(sets.select("doc_id", "tokens").join(among, "doc_id"), "doc_id")
+    more_links = rows.groupBy("signature", "low", "high").applyInArrow(_join_block(percent), "a long, b long")
+    return merged(labels, checkpointed(links.unionByName(more_links)))
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, chunks: int | None = None, blocks: int | None = None, block_docs: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, chunks: int | None = None, blocks: int | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text), one row for each row with a doc_id.
 
     Sets are the distinct n-word shingles of the text with A-Z lower-cased; shorter texts are one
     shingle; null and empty texts have none and are linked with nothing.  Rows without doc_id give no
-    row.  Of rows that share a doc_id the text with the smallest hash counts for all of them.
+    row.  Of rows that share a doc_id the text with the smallest hash counts for all of them.  doc_id has
+    to be an integer; other columns of `docs` are not in the result.  An empty table gives no rows.
     """
     parts = shuffle_partitions(docs.sparkSession)
     blocks, chunks = blocks or parts, chunks or 2 * parts
@@ -271,17 +379,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, r
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     dealt = docs.select("*", chunk).repartition(parts, "chunk")
     copies = members.where("doc_id <> rep").select(chunk, "doc_id")
-    sent = dealt.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_send(blocks, n), "block int, chunk int, keys binary")
+    sent = dealt.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_send(blocks, n), "block int, chunk int, keys binary, counts binary")
     counted = sent.groupBy("block").applyInArrow(_count, "chunk int, block int, doc_id long, counts binary")
     notes = counted.unionByName(copies, allowMissingColumns=True)
     found = checkpointed(dealt.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_find(blocks, n, percent, rare), _FOUND))
 
-    sizes = found.where("doc_id is not null").select("doc_id", "n")
-    sets = found.where("tokens is not null").select("doc_id", "n", "tokens")
-    packed = found.where("signatures is not null").select("block", "signatures", "doc_ids")
-    pairs = checkpointed(packed.groupBy("block").applyInArrow(_pivot_pairs, "a long, b long").distinct())
+    sizes = found.where("n is not null").select("doc_id", "n")
+    sets = found.where("tokens is not null").select("doc_id", "n", "tokens", "signatures")
+    by_block = found.where("block is not null").select("block", "signatures", "doc_ids")
+    in_chunks = found.where("partner is not null").select(F.col("doc_id").alias("a"), F.col("partner").alias("b"))
+    across = by_block.mapInArrow(_first_of_chunk, "block int, signatures binary, doc_ids binary").groupBy("block").applyInArrow(_pivot_pairs, "a long, b long")
+    pairs = checkpointed(in_chunks.unionByName(across).distinct())
     labels = checkpointed(components(_verify(pairs, sets, percent)))
-    labels = _go_through(pairs, labels, sets, percent, block_docs)
+    labels = _go_through(by_block, sets, pairs, labels, percent, blocks, block_docs)
 
     reps = sizes.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.coalesce("label", "doc_id").alias("label"))
     out = members.join(reps, "rep").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "rows")

@@ -60,7 +60,7 @@ def split(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as the bytes of their differences, all first bytes first: the high ones are mostly zero, which the shuffle compresses."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, keys.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.diff(keys, prepend=keys.dtype.type(0)).view(np.uint8).reshape(-1, keys.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:

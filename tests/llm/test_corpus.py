@@ -150,6 +150,31 @@ def test_large_group_of_near_copies(spark):
         assert sorted(map(tuple, jaccard_join.near_duplicates(df, block_docs=block_docs).collect())) == want
 
 
+def test_compared_pairs_grow_with_documents(spark, monkeypatch):
+    """Documents of eight paragraphs from a stock in which each is in about eight documents: no links, one candidate cluster."""
+    rng, counted = random.Random(12), []
+
+    def texts(n):
+        stock = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(n)]
+        places = [k for k in range(n) for _ in range(8)]
+        rng.shuffle(places)
+        return [(d, " ".join(stock[k] for k in places[8 * d : 8 * d + 8])) for d in range(n)]
+
+    verify = jaccard_join._verify
+
+    def verified(pairs, *rest):
+        counted[-1] += pairs.count()
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verify", verified)
+    for n in (150, 600):
+        counted.append(0)
+        docs = texts(n)
+        got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), chunks=2, blocks=3).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == n
+    assert n < counted[1] < 5 * counted[0]
+
+
 def test_jaccard_join_of_odd_rows(spark):
     docs = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (4, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
