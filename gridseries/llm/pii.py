@@ -1,19 +1,25 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities (e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, IBANs, access
-keys, assigned secrets, names after a title) are replaced by surrogates of the same type, format,
-script and gender, derived from a key.  The same entity always gets the same surrogate.
-
-* Digits, IPv4 addresses: a keyed Feistel network over the digits (or the 32 bits) of the entity.  It
-  is a permutation of all strings of one format, so distinct entities stay distinct by construction;
-  punctuation, country code and Luhn checksum stay as they are.
-* E-mail addresses, keys, secrets and names: letters and digits drawn from a keyed hash.  Distinct
-  ones could get the same surrogate, so the surrogates of all distinct entities are checked and those
-  that clash are drawn anew, until none do.
+keys, assigned secrets, names after a title, and such a name or its surname again without one in the same
+text) are replaced by surrogates of the same type, format, script and gender, derived from a key.  The
+same entity always gets the same surrogate.
+
+* Digits, IPv4 addresses, IBANs: a keyed Feistel network over the digits (or the 32 bits) of the entity.
+  It is a permutation of all strings of one format, so distinct entities stay distinct by construction;
+  punctuation and country code stay as they are, and check digits are as right or wrong as they were.
+* Secrets, the domain and the local part of an e-mail address, given names and surnames are drawn from a
+  keyed hash, each for itself: so two addresses of one domain keep one domain, and a surname is the same
+  with and without title and given name.  Distinct ones could get the same surrogate, so all distinct
+  ones are checked and those that clash are drawn anew, and longer after some attempts, until none do.
+
+The plan holds a digest of the key, never the key; whoever reads the plan could still draw the same
+surrogates, so event logs of such a job are to be kept like the key.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,18 +30,23 @@ from gridseries.llm.session import checkpointed
 _MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "г-н"]
 _FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа"]
 _NEUTRAL = ["Dr", "Prof"]
+#: Of these the upper case is a title too; others in upper case are mostly something else.
+_SHOUTED = ["Mr", "Mrs", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Dr", "Prof"]
+_TITLES = "|".join(_MALE + _FEMALE + _NEUTRAL + [t.upper() for t in _SHOUTED])
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _SECRET = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}"
 _AWS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 _IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b(?!\.\d)"
-_PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}\b|\(\d{3}\) ?\d{3}[ -]\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b"
+_PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}\b|\(\d{3}\) ?\d{3}[ -]\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|\b0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 _NUMBER = r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{3}-\d{2}-\d{4}\b|\b\d{9,19}\b"
-_NAME = rf"\b(?:{'|'.join(_MALE + _FEMALE + _NEUTRAL)})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
+_NAME = rf"\b(?:{_TITLES})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
 #: All entities; where two could begin at one place, the earlier alternative wins.
 PATTERN = "|".join([_EMAIL, _SECRET, _AWS, _IPV4, _PHONE, _IBAN, _NUMBER, _NAME])
 #: Texts without this have no entity: every alternative of PATTERN has one of these in it.
-_MAYBE = rf"\d\d|\d\.\d|AKIA|ASIA|@|=|:|\b(?:{'|'.join(_MALE + _FEMALE + _NEUTRAL)})\b"
+_MAYBE = rf"\d\d|\d\.\d|AKIA|ASIA|@|=|:|\b(?:{_TITLES})\b"
+#: What is drawn grows by a letter or syllable each so many attempts.
+_GROW = 8
 
 _SYLLABLES = {
     "latin": "ba be bi bo da de do fa fe ga go ha jo ka ke ki la le li lo ma me mi mo na ne no pa pe ra re ro".split(),
@@ -51,10 +62,37 @@ def kind(e: Column) -> Column:
     return F.when(full(_EMAIL), "email").when(full(_SECRET) | full(_AWS), "secret").when(full(_IPV4), "ipv4").when(full(_PHONE), "phone").when(full(_IBAN), "iban").when(full(_NUMBER), "number").otherwise("name")
 
 
-def canonical(e: Column) -> Column:
-    """What makes two mentions the same entity: e-mail addresses ignore case, secrets the words before the value."""
-    k = kind(e)
-    return F.when(k == "email", F.lower(e)).when(k == "secret", F.regexp_extract(e, r"([A-Za-z0-9+/_.~-]{8,})$", 1)).otherwise(e)
+def _secret_value(e: Column) -> Column:
+    return F.regexp_extract(e, r"([A-Za-z0-9+/_.~-]{8,})$", 1)
+
+
+def _title(name: Column) -> Column:
+    """The title of a name with what follows it up to the name, or nothing."""
+    return F.regexp_extract(name, rf"^((?:{_TITLES})\b\.? )?", 1)
+
+
+def _bare(name: Column) -> Column:
+    return F.substring(name, F.length(_title(name)) + 1, F.length(name))
+
+
+def _gender(name: Column) -> Column:
+    """0 for a title of men, 1 for one of women, else 2."""
+    word = F.regexp_replace(_title(name), r"\.? $", "")
+    of = lambda titles: word.isin(titles + [t.upper() for t in titles])
+    return F.when(of(_MALE), 0).when(of(_FEMALE), 1).otherwise(2)
+
+
+def units(e: Column) -> Column:
+    """What is drawn for an entity: an array of (what, unit), each of which has one surrogate everywhere."""
+    k, words = kind(e), F.split(F.lower(_bare(e)), " ")
+    unit = lambda what, u: F.struct(F.lit(what).alias("what"), u.alias("unit"))
+    names = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise("given").alias("what"), w.alias("unit")))
+    return (
+        F.when(k == "email", F.array(unit("domain", F.lower(F.substring_index(e, "@", -1))), unit("email", F.lower(e))))
+        .when(k == "secret", F.array(unit("secret", _secret_value(e))))
+        .when(k == "name", names)
+        .otherwise(F.array().cast("array<struct<what:string,unit:string>>"))
+    )
 
 
 def _hash(key: str, *parts: Column | str) -> Column:
@@ -139,11 +177,14 @@ def _drawn(chars: Column, draw: Column) -> Column:
     return F.array_join(F.transform(F.split(chars, ""), one), "")
 
 
-def _email(c: Column, key: str, attempt: Column, letters: int) -> Column:
-    draw = _hash(key, "email", attempt, c)
-    local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
-    label = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(letters)), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(F.conv(F.substring(draw, 3 * i, F.lit(4)), 16, 10).cast("int"), F.lit(26)) + 1, F.lit(1))), "")
-    return F.concat(_drawn(local, _hash(key, "local", attempt, c)), F.lit("@"), label, F.lit("."), F.substring_index(domain, ".", -1))
+def _letters(draw: Column, n: Column, alphabet: list[str]) -> Column:
+    """`n` letters or syllables of `alphabet`, drawn from the hex string `draw` (60 at most are independent)."""
+    table = F.array(*map(F.lit, alphabet))
+    at = lambda i: F.conv(F.substring(draw, 3 * F.pmod(i, F.lit(20)) + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 20).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(table, F.pmod(at(i), F.lit(len(alphabet))) + 1)), "")
+
+
+_ALPHABET = list("abcdefghijklmnopqrstuvwxyz")
 
 
 def _secret(c: Column, key: str, attempt: Column) -> Column:
@@ -153,96 +194,148 @@ def _secret(c: Column, key: str, attempt: Column) -> Column:
     return F.when(c.rlike("^[0-9a-f]+$"), same_hex).when(c.rlike(f"^{_AWS}$"), F.concat(F.substring(c, 1, 4), _drawn(F.substring(c, 5, 16), draw))).otherwise(_drawn(c, draw))
 
 
-def _name(c: Column, key: str, attempt: Column, syllables: int) -> Column:
-    title, rest = F.regexp_extract(c, r"^(\S+) (.*)$", 1), F.regexp_extract(c, r"^(\S+) (.*)$", 2)
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.isin(_MALE), 0).when(bare.isin(_FEMALE), 1).otherwise(2)
-    words = F.split(rest, " ")
+def drawn_unit(what: Column, unit: Column, key: str, attempt: Column, letters: int = 10) -> Column:
+    """The surrogate of a unit; `letters` is the size of what is drawn.  Names are without case and ending, e-mail
+    addresses with their own domain."""
+    draw = _hash(key, what, attempt, unit)
+    more = F.floor(attempt / _GROW).cast("int")
+    local = F.concat(_drawn(F.substring_index(unit, "@", 1), draw), F.when(more > 0, _letters(_hash(key, "more", attempt, unit), more, _ALPHABET)).otherwise(""))
+    name = lambda script: _letters(draw, max(1, letters // 2) + more, _SYLLABLES[script])
+    return (
+        F.when(what == "email", F.concat(local, F.lit("@"), F.substring_index(unit, "@", -1)))
+        .when(what == "domain", F.concat(_letters(draw, letters + more, _ALPHABET), F.lit("."), F.substring_index(unit, ".", -1)))
+        .when(what == "secret", _secret(unit, key, attempt))
+        .when(unit.rlike(r"\p{IsCyrillic}"), name("cyrillic"))
+        .when(unit.rlike(r"\p{IsGreek}"), name("greek"))
+        .otherwise(name("latin"))
+    )
 
-    def made(word: Column, what: str, tries: Column, ending: Column | None, script: str) -> Column:
-        draw = _hash(key, what, tries, F.lower(word))
-        table = F.array(*map(F.lit, _SYLLABLES[script]))
-        body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables)), lambda i: F.element_at(table, F.pmod(F.conv(F.substring(draw, 3 * i, F.lit(3)), 16, 10).cast("int"), F.lit(32)) + 1)), "")
-        return F.initcap(F.concat(body, ending) if ending is not None else body)
 
-    def named(script: str) -> Column:
-        ending = F.element_at(F.array(*map(F.lit, _ENDINGS[script])), gender + 1)
-        last = F.size(words) - 1
-        # A surname alone draws its surname anew on a clash; with a given name, only that one.
-        surname_try = F.when(last == 0, attempt).otherwise(0)
-        return F.array_join(F.transform(words, lambda w, i: F.when(i == last, made(w, "surname", surname_try, None, script)).otherwise(made(w, "given", attempt, ending, script))), " ")
+def _iban_check(e: Column) -> Column:
+    """The check number that belongs to an IBAN: 2 to 98."""
+    c = F.regexp_replace(e, " ", "")
+    value = lambda x: F.when(x.rlike("^[0-9]$"), x.cast("int")).otherwise(F.ascii(x) - 55)
+    chars = F.split(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 2), F.lit("00")), "")
+    rest = F.aggregate(F.filter(chars, lambda x: x != ""), F.lit(0), lambda r, x: F.pmod(r * F.when(x.rlike("^[0-9]$"), 10).otherwise(100) + value(x), F.lit(97)))
+    return 98 - rest
 
-    return F.concat(title, F.lit(" "), F.when(rest.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(rest.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin")))
 
+def _iban(e: Column, key: str) -> Column:
+    """Country and grouping stay; digits are permuted, each letter is shifted by its place; the check number is as right as it was."""
+    shift = lambda i: F.pmod(_number(_hash(key, "iban letter", i)), F.lit(26)).cast("int")
+    body = F.substring(e, F.lit(5), F.length(e))
+    shifted = F.array_join(F.transform(F.split(body, ""), lambda x, i: F.when(x.rlike("^[A-Z]$"), F.char(F.pmod(F.ascii(x) - 65 + shift(i), F.lit(26)) + 65)).otherwise(x)), "")
+    new = _refill(shifted, permute_digits(_only_digits(body), key, "iban"))
+    old = F.substring(e, 3, 2).cast("int")
+    bare = F.concat(F.substring(e, 1, 2), F.lit("00"), new)
+    check = 2 + F.pmod(_iban_check(bare) - 2 + old - _iban_check(e), F.lit(97))
+    return F.concat(F.substring(e, 1, 2), F.when(old.between(2, 98), F.lpad(check.cast("string"), 2, "0")).otherwise(F.substring(e, 3, 2)), new)
 
-def drawn_surrogate(k: Column, c: Column, key: str, attempt: Column, letters: int = 10) -> Column:
-    """The surrogate of an entity whose kind is drawn from a hash; `letters` is the size of what is drawn."""
-    return F.when(k == "email", _email(c, key, attempt, letters)).when(k == "secret", _secret(c, key, attempt)).when(k == "name", _name(c, key, attempt, max(1, letters // 2)))
 
+def surrogate(e: Column, key: str, all_of: Column, redrawn: Column | None = None, letters: int = 10) -> Column:
+    """The surrogate of one mention; `all_of` has the entities of its text, `redrawn` maps what + unit to the attempt it needs.
 
-def surrogate(e: Column, key: str, redrawn: Column | None = None, letters: int = 10) -> Column:
-    """The surrogate of one mention; `redrawn` maps kind + canonical form to the attempt it needs."""
-    k, c = kind(e), canonical(e)
-    attempt = F.lit(0) if redrawn is None else F.coalesce(F.try_element_at(redrawn, F.concat_ws("\x1f", k, c)), F.lit(0))
-    drawn = drawn_surrogate(k, c, key, attempt, letters)
-    iban = F.concat(F.substring(e, 1, 2), _refill(F.substring(e, F.lit(3), F.length(e)), permute_digits(_only_digits(e), key, "iban")))
+    A title that tells no gender takes that of another mention of the same name in the text.
+    """
+    k = kind(e)
+
+    def unit(what: Column | str, u: Column) -> Column:
+        what = F.lit(what) if isinstance(what, str) else what
+        attempt = F.lit(0) if redrawn is None else F.coalesce(F.try_element_at(redrawn, F.concat_ws("\x1f", what, u)), F.lit(0))
+        return drawn_unit(what, u, key, attempt, letters)
+
+    lower, value, bare = F.lower(e), _secret_value(e), _bare(e)
+    email = F.concat(F.substring_index(unit("email", lower), "@", 1), F.lit("@"), unit("domain", F.substring_index(lower, "@", -1)))
+    others = F.filter(all_of, lambda x: (kind(x) == "name") & (_gender(x) < 2) & (_bare(x) == bare))
+    gender = F.when(_gender(e) < 2, _gender(e)).otherwise(F.coalesce(_gender(F.try_element_at(others, F.lit(1))), F.lit(2)))
+    words = F.split(bare, " ")
+
+    def word(w: Column, i: Column) -> Column:
+        last = i == F.size(words) - 1
+        ending = lambda script: F.element_at(F.array(*map(F.lit, _ENDINGS[script])), gender + 1)
+        end = F.when(last, "").when(w.rlike(r"\p{IsCyrillic}"), ending("cyrillic")).when(w.rlike(r"\p{IsGreek}"), ending("greek")).otherwise(ending("latin"))
+        made = F.concat(unit(F.when(last, "surname").otherwise("given"), F.lower(w)), end)
+        return F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(made)).otherwise(F.initcap(made))
+
+    name = F.concat(_title(e), F.array_join(F.transform(words, word), " "))
     return (
-        F.when(k == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(c)), drawn))
-        .when(k.isin("email", "name"), drawn)
+        F.when(k == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), unit("secret", value)))
+        .when(k == "email", email)
+        .when(k == "name", name)
         .when(k == "ipv4", _ipv4(e, key))
         .when(k == "phone", _phone(e, key))
-        .when(k == "iban", iban)
+        .when(k == "iban", _iban(e, key))
         .otherwise(_numbers(e, key))
     )
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text, in order; none for null."""
-    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _again(found: Column) -> Column:
+    """A pattern of the names that have a title in the entities `found`: whole, and the surname if it isn't short; null without any."""
+    names = F.transform(F.filter(found, lambda e: (kind(e) == "name") & (F.length(_title(e)) > 0)), _bare)
+    whole = F.filter(names, lambda n: F.contains(n, F.lit(" ")))
+    last = F.filter(F.transform(names, lambda n: F.substring_index(n, " ", -1)), lambda n: F.length(n) >= 3)
+    both = F.concat(F.array_distinct(whole), F.array_distinct(last))
+    return F.when(F.size(both) > 0, F.concat(F.lit(r"\b(?:"), F.array_join(both, "|"), F.lit(r")\b")))
+
+
+def with_entities(docs: DataFrame, pattern: str, entities: str) -> DataFrame:
+    """`docs` with the columns `pattern`, which finds all entities of its text, and `entities`, all of them in order.
+
+    The second is empty for a null text.
+    """
+    text, none = F.col("text"), F.array().cast("array<string>")
+    docs = docs.withColumn(entities, F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
+    names = F.when(F.exists(entities, lambda e: kind(e) == "name"), _again(F.col(entities)))
+    docs = docs.withColumn(pattern, F.coalesce(F.concat(F.lit(PATTERN + "|"), names), F.lit(PATTERN)))
+    return docs.withColumn(entities, F.when(F.col(pattern) != PATTERN, F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(F.col(entities)))
 
 
 def clashes(found: DataFrame, key: str, letters: int = 10) -> DataFrame | None:
-    """(kind, canonical, attempt) of the drawn entities that need another attempt than the first; None if none do.
+    """(what, unit, attempt) of the units that need another attempt than the first; None if none do.
 
-    `found` has a column `entities` of arrays.  Distinct entities with one surrogate are told apart:
+    `found` has a column `entities` of arrays.  Distinct units with one surrogate are told apart:
     the smallest keeps it, the others draw again, until all surrogates of a kind differ.
     """
-    e = found.select(F.explode("entities").alias("e")).select(kind(F.col("e")).alias("kind"), canonical(F.col("e")).alias("canonical"))
-    all_of = e.where(F.col("kind").isin("email", "secret", "name")).distinct().withColumn("attempt", F.lit(0))
+    e = found.select(F.explode("entities").alias("e")).select(F.explode(units(F.col("e"))).alias("u"))
+    all_of = e.select("u.what", "u.unit").distinct().withColumn("attempt", F.lit(0))
     redrawn = None
     while True:
-        drawn = all_of.withColumn("surrogate", drawn_surrogate(F.col("kind"), F.col("canonical"), key, F.col("attempt"), letters))
-        same = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
-        again = checkpointed(same.select("kind", "surrogate"))
+        drawn = all_of.withColumn("surrogate", drawn_unit(F.col("what"), F.col("unit"), key, F.col("attempt"), letters))
+        same = drawn.groupBy("what", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+        again = checkpointed(same.select("what", "surrogate"))
         if not again.limit(1).count():
             return redrawn
-        order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
-        moved = drawn.join(again.withColumn("again", F.lit(1)), ["kind", "surrogate"], "left")
-        moved = moved.withColumn("attempt", F.col("attempt") + F.when(F.col("again").isNotNull() & (F.row_number().over(order) > 1), F.row_number().over(order) - 1).otherwise(0))
-        all_of = checkpointed(moved.select("kind", "canonical", "attempt"))
+        order = Window.partitionBy("what", "surrogate").orderBy("attempt", "unit")
+        moved = drawn.join(again.withColumn("again", F.lit(1)), ["what", "surrogate"], "left")
+        moved = moved.withColumn("attempt", F.col("attempt") + F.when(F.col("again").isNotNull(), F.row_number().over(order) - 1).otherwise(0))
+        all_of = checkpointed(moved.select("what", "unit", "attempt"))
         redrawn = all_of.where("attempt > 0")
 
 
 def replace_entities(docs: DataFrame, key: str, letters: int = 10) -> DataFrame:
     """`docs` with surrogates in `text`, and the number of entities in `n_entities`; other columns stay.
 
-    A null text stays null and an empty one empty.  Texts are cut at the entities and joined again, so
-    nothing else changes.  An earlier column n_entities is replaced.
+    A null text stays null and an empty one empty, with no entity.  Texts are cut at the entities and
+    joined again, so nothing else changes.  An earlier column n_entities is replaced; columns of any other
+    name are left alone.  Repeated rows get the same surrogates; an empty table gives no rows.
     """
+    key = hashlib.sha256(key.encode()).hexdigest()
     docs = docs.drop("n_entities")
-    found = docs.withColumn("_entities", entities(F.col("text")))
-    redrawn = clashes(found.select(F.col("_entities").alias("entities")).where("size(_entities) > 0"), key, letters)
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of docs
+    pattern, entities, redraw = f"{own}p", f"{own}e", f"{own}r"
+    found = with_entities(docs, pattern, entities)
+    redrawn = clashes(found.select(F.col(entities).alias("entities")).where("size(entities) > 0"), key, letters)
     table = None
     if redrawn is not None:
-        mentions = found.select("doc_id", F.explode("_entities").alias("e")).select("doc_id", kind(F.col("e")).alias("kind"), canonical(F.col("e")).alias("canonical")).distinct()
-        entry = F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt")
-        by_doc = mentions.join(redrawn, ["kind", "canonical"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_set(entry)).alias("_redrawn"))
-        found = found.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-        table = F.coalesce("_redrawn", F.create_map().cast("map<string,int>"))
-    new = F.transform("_entities", lambda e: surrogate(e, key, table, letters))
-    pieces = F.split("text", PATTERN, -1)
+        mentions = found.select(F.sha2("text", 256).alias(redraw), F.explode(entities).alias("e")).select(redraw, F.explode(units(F.col("e"))).alias("u")).select(redraw, "u.what", "u.unit").distinct()
+        entry = F.struct(F.concat_ws("\x1f", "what", "unit"), "attempt")
+        by_text = mentions.join(redrawn, ["what", "unit"]).groupBy(F.col(redraw).alias(f"{redraw}k")).agg(F.map_from_entries(F.collect_set(entry)).alias(redraw))
+        found = found.join(by_text, F.sha2("text", 256) == F.col(f"{redraw}k"), "left").drop(f"{redraw}k")
+        table = F.coalesce(redraw, F.create_map().cast("map<string,int>"))
+    new = F.transform(entities, lambda e: surrogate(e, key, F.col(entities), table, letters))
+    pieces = F.split("text", F.col(pattern), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    n = F.size("_entities").cast("long")
+    n = F.size(entities).cast("long")
     return found.select(*[(F.when(F.col("text").isNotNull() & (n > 0), joined).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns], n.alias("n_entities"))
 
 
