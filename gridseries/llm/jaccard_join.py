@@ -15,9 +15,10 @@ Sets that share a signature are candidates, and are verified as whole sets.  Fir
 documents of one chunk are verified against the smallest of them, and those smallest ones against the
 smallest of all: about one pair for each document.  Signatures whose documents are of one component
 then are done.  In the others, pairs of documents of different components are verified: all of them at
-once in a group of `small` documents at most, and in pairs of blocks in a larger one, which tell only the
-links that tie components together.  A pair is compared within a signature that both have, never because
-a chain of candidates leads from one to the other.
+once in a group of `SMALL` documents at most.  The documents of larger groups are gathered around the
+groups' smallest document, as the many signatures of near copies mostly have that in common, and compared
+in pairs of blocks, which tell only the links that tie components together.  A pair is compared if both
+have a signature, never because a chain of candidates leads from one to the other.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ PERCENT = 85
 RARE = 16
 #: All pairs of components of a signature with so many documents at most are verified at once.
 SMALL = 16
-#: Documents of a block of a larger signature.
+#: Documents of a block of those around one pivot.
 BLOCK_DOCS = 1024
 
 
@@ -279,24 +280,20 @@ def _small_pairs(percent: int):
 
 
 def _join_block(percent: int):
-    """Of two blocks of documents of one signature: links that tie components together.
-
-    Pairs that also share a smaller signature are left to that one."""
+    """Of two blocks of documents around one pivot: links that tie components together, of those that share a signature."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("doc_id")
         ids, labels, mine = (rows.column(c).to_pylist() for c in ("doc_id", "label", "mine"))
+        low, high = (rows.column(c)[0].as_py() for c in ("low", "high"))
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
         size = np.array([len(s) for s in sets], np.int64)
         starts = np.concatenate([[0], np.cumsum(size)])
         names, number = np.unique(np.concatenate(sets), return_inverse=True)
-        low, high, signature = (rows.column(c)[0].as_py() for c in ("low", "high", "signature"))
-        smaller = [[x for x in own if x < signature] for own in rows.column("among").to_pylist()]
-        columns = {x: k for k, x in enumerate(sorted({x for own in smaller for x in own}))}
-        has = np.zeros((len(ids), len(columns) + 1), np.float32)
-        for i, own in enumerate(smaller):
-            has[i, [columns[x] for x in own]] = 1
-        root, block, found = {x: x for x in labels}, np.array(mine), []
+        own = [np.array(x, np.int64) for x in rows.column("own").to_pylist()]
+        own_starts = np.cumsum([0, *map(len, own)])
+        own_names, signature = np.unique(np.concatenate(own), return_inverse=True)
+        root, block, label, found = {x: x for x in labels}, np.array(mine), np.array(labels), []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -304,15 +301,18 @@ def _join_block(percent: int):
                 x = root[x]
             return x
 
-        label = np.array(labels)
         for i in np.flatnonzero(block == low).tolist():
             # Pairs across two blocks; within a block, those with later documents.
             others = block == high if low != high else np.arange(len(ids)) > i
-            others &= (label != label[i]) & (has @ has[i] == 0) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            j = np.flatnonzero(others)
+            others &= (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if not others.any():
+                continue
+            shared = np.zeros(len(own_names), bool)
+            shared[signature[own_starts[i] : own_starts[i + 1]]] = True
+            j = np.flatnonzero(others & np.logical_or.reduceat(shared[signature], own_starts[:-1]))
             if not len(j):
                 continue
-            flag = np.zeros(len(names) + 1, np.int64)
+            flag = np.zeros(len(names), np.int64)
             flag[number[starts[i] : starts[i + 1]]] = 1
             at = np.concatenate([number[starts[k] : starts[k + 1]] for k in j])
             both = np.add.reduceat(flag[at], np.cumsum(size[j]) - size[j])
@@ -343,20 +343,19 @@ def _go_through(packed_rows: DataFrame, sets: DataFrame, pairs: DataFrame, label
     found = packed_rows.join(by_block, "block").select("signatures", "doc_ids", "wanted").mapInArrow(_members, "signature long, doc_id long")
     info = sets.select("doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     members = checkpointed(found.join(info, "doc_id").select("signature", "doc_id", "n", "label"))
-    groups = checkpointed(members.groupBy("signature").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who")))
+    groups = checkpointed(members.groupBy("signature").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")))
 
     small = members.join(groups.where(F.col("size") <= SMALL).select("signature"), "signature").withColumn("bucket", F.pmod("signature", F.lit(blocks)))
     more = small.groupBy("bucket").applyInArrow(_small_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     links = _verify(checkpointed(more), sets, percent)
 
-    # Signatures of the same documents are one.
-    large = groups.where(F.col("size") > SMALL).groupBy("size", "who").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("size") / block_docs).cast("int").alias("blocks"))
-    rows = checkpointed(members.join(large, "signature").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
-    among = rows.groupBy("doc_id").agg(F.collect_set("signature").alias("among"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("signature", "doc_id", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    rows = rows.join(sets.select("doc_id", "tokens").join(among, "doc_id"), "doc_id")
-    more_links = rows.groupBy("signature", "low", "high").applyInArrow(_join_block(percent), "a long, b long")
+    around = members.join(groups.where(F.col("size") > SMALL), "signature").groupBy("pivot", "doc_id", "label").agg(F.collect_list("signature").alias("own"))
+    around = checkpointed(around)
+    parts = around.groupBy("pivot").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
+    rows = around.join(parts, "pivot").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("pivot", "doc_id", "label", "own", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    more_links = rows.join(sets.select("doc_id", "tokens"), "doc_id").groupBy("pivot", "low", "high").applyInArrow(_join_block(percent), "a long, b long")
     return merged(labels, checkpointed(links.unionByName(more_links)))
 
 
