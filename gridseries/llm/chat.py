@@ -23,7 +23,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turns, prefix): the ordered turns of each conversation and its rolling prefix hashes.
 
     `turns` has conv_id, turn, role, text.  Rows without conv_id go.  Repeated rows count once; turns
-    are ordered by (turn, role, text), null first; a null role is "unknown", a null text empty.  A
+    are ordered by (turn, role, text), null first; a null role is "unknown", a null text empty.  Other
+    columns are not in the result; an empty table gives no rows.  A
     conversation is one training record and has to fit a row.
     """
     rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -12,6 +12,7 @@ for each language.  Beyond `max_languages` languages all are still learned, from
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,14 +31,26 @@ LEVEL = 3
 UNKNOWN = "und"
 
 
-def normalised(text: str) -> bytes:
-    """Lower-cased letters; each run of anything else becomes one space."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text).split()).lower().encode() if not text.isascii() else b" ".join(text.encode().translate(_ASCII).split())
+class _Letters(dict):
+    """Code points to themselves where they are letters or marks, as vowel signs are, else to a space."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = chr(code) if unicodedata.category(chr(code))[0] in "LM" else " "
+        return self[code]
 
 
+_LETTERS = _Letters()
 _ASCII = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
+def normalised(text: str) -> bytes:
+    """Lower-cased letters with their marks; each run of anything else becomes one space; nothing without a letter."""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split())
+    words = text.translate(_LETTERS).lower().split()
+    return " ".join(words).encode() if any(c.isalpha() for w in words for c in w) else b""
+
+
 def fit(docs: DataFrame, sample_rows: int = 400, piece_chars: int = 1500, dictionary_bytes: int = 1 << 18, max_languages: int = 200) -> dict[str, bytes]:
     """The dictionary content of each language, learned from `text` and `lang` of `docs`.
 
@@ -96,10 +109,11 @@ class Classifier:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """`docs` with struct column `language` (lang_pred, score, margin, rejected); other columns stay.
+    """`docs` with struct column `language` (lang_pred, score, margin, rejected), which replaces one of that name; other columns stay.
 
     A null text, or one without a letter, is `und` with score 0 and rejected.  Ties go to the
-    language that sorts first and are rejected, as their margin is 0.
+    language that sorts first and are rejected, as their margin is 0.  Repeated rows get the same answer;
+    an empty table gives no rows.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(dictionaries)  # max_languages * dictionary_bytes, or 1 kB a language

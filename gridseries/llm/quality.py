@@ -37,8 +37,11 @@ _word_char = (_starts_char & ~SPACE).astype(np.int64)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Of each range of `values`, by itself: so a text's sum doesn't depend on its neighbours' in the last bits."""
+    out, full = np.zeros(len(bounds) - 1, values.dtype), np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(values[: bounds[-1]], bounds[full])
+    return out
 
 
 def statistics(words: Words, texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -71,6 +74,9 @@ def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.concatenate([words.data, np.zeros(3, np.uint8)]).astype(np.uint32)
     n = len(words.data)
     quads = data[:n] | data[1 : n + 1] << np.uint32(8) | data[2 : n + 2] << np.uint32(16) | data[3 : n + 3] << np.uint32(24)
+    for k in (1, 2, 3):  # a text's last n-grams end with it
+        near = words.doc_start[1:] - k
+        quads[near[near >= 0]] &= np.uint32((1 << 8 * k) - 1)
     yield (quads * np.uint32(2654435761)) >> np.uint32(32 - BITS), words.doc_start
 
 
@@ -137,9 +143,10 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 40) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a struct column `quality`: the statistics, base_failed, probability and kept.
+    """`docs` with a struct column `quality`, which replaces one of that name: the statistics, base_failed, probability and kept.
 
-    A null text is scored like an empty one: no words, so base_failed.  Other columns stay.
+    A null text is scored like an empty one: no words, so base_failed.  Other columns stay.  Repeated rows
+    are scored alike; an empty table gives no rows.
     """
     docs = docs.drop(COLUMN)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 MB, whatever the data

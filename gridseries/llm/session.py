@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, written to the cluster's shared checkpoint folder and read back: its lineage ends here.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (as in tests) a temporary
-    one is made.
+    The folder is the session's spark.checkpoint.dir.  Where that is unset a local session makes a
+    temporary one; on a cluster that is an error, as executors would write to disks of their own.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     # New aliases: a checkpoint keeps the attributes of its plan, which confuses cogroups with their origin.
     return df.checkpoint().select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 

@@ -295,9 +295,10 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 100) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a struct column `toxicity`: score, predicted, direct, misspelled, quoted, weak.
+    """`docs` with a struct column `toxicity`, which replaces one of that name: score, predicted, direct, misspelled, quoted, weak.
 
     A null or empty text has no match and gets the score of a text without words.  Other columns stay.
+    Repeated rows are scored alike; an empty table gives no rows.
     """
     docs = docs.drop(COLUMN)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample

@@ -108,9 +108,25 @@ def test_no_language_to_learn(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
-def test_clashing_column_is_replaced(spark, languages):
-    got = language_id.identify(languages.withColumn("language", F.lit(1)))
-    assert got.columns.count("language") == 1
+def test_marks_belong_to_their_letters():
+    assert language_id.normalised("हिन्दी में, 12 É!").decode() == "हिन्दी में é" and language_id.normalised("\u0301 12 \u093f") == b""
+
+
+def test_scorers_on_odd_rows(spark, languages):
+    """A column of the result's name, repeated rows, a very long text and an empty table."""
+    long = words_of(3, STEMS["xx"], 150_000)
+    rows = [(i, words_of(i, STEMS["xx" if i % 2 else "yy"], 60)) for i in range(60)] + [(70, long), (71, long), (72, None), (73, ""), (None, "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"language": F.lit(1), "quality": F.lit(1), "toxicity": F.lit(1), "extra": F.lit("e")})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    learned = language_id.fit(languages)
+    for scored, column in ((lambda d: language_id.classify(d, learned), "language"), (lambda d: quality.judge(d, labels), "quality"), (lambda d: toxicity.detect(d, labels), "toxicity")):
+        got = scored(docs)
+        assert sorted(got.columns) == sorted(docs.columns)
+        by = {}
+        for r in got.collect():
+            by.setdefault(r["doc_id"], []).append((r[column], r["extra"]))
+        assert sum(map(len, by.values())) == 70 and all(len(set(x)) == 1 for x in by.values()) and by[70][0] == by[71][0]
+        assert scored(docs.limit(0)).count() == 0
 
 
 # ---- benchmark
