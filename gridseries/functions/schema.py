@@ -12,24 +12,56 @@ TIME_HEADERS = ("datetime", "时间", "日期时间")
 TIME_WORDS = ("time", "日期", "时间")
 ACTUAL, FORECAST = "实际值", "预测值"
 ACTUAL_SHORT, FORECAST_SHORT = "实际", "预测"
-REQUIRED_FIELDS = {
+_TIME_AND_PRICES = {
     "time": ("datetime", "时间", "日期时间"),
     "rt": ("实时出清电价", "实时电价", "RT", "实时价格"),
     "da": ("日前出清电价", "日前电价", "DA", "日前价格"),
+}
+_ACTUALS = {
     "load": ("系统负荷实际值",),
     "pv": ("光伏实际值",),
     "line": ("联络线实际值",),
-}
-OPTIONAL_FIELDS = {
     "ru": ("上旋备用实际值",),
     "rd": ("下旋备用实际值",),
-    "wind": ("风电实际值",),
+}
+_FORECASTS = {
     "load_fcst": ("系统负荷预测值",),
     "pv_fcst": ("光伏预测值",),
     "line_fcst": ("联络线预测值",),
     "ru_fcst": ("上旋备用预测值",),
     "rd_fcst": ("下旋备用预测值",),
 }
+#: For each workload the (required, optional) fields and the candidates of their headers, in order.
+FIELDS: dict[str, tuple[dict, dict]] = {
+    "exogenous": (_TIME_AND_PRICES | _ACTUALS, _FORECASTS),
+    "real_time": (
+        _TIME_AND_PRICES | _ACTUALS,
+        {"wind": ("风电实际值",), "wg_total": ("风光总加实际值",), "space": ("竞价空间实际值",), "local_gen": ("地方电厂发电实际值",)},
+    ),
+    "day_ahead": (
+        {
+            "time": ("datetime", "时间", "日期时间"),
+            "rt": ("实时出清电价", "实时电价", "RT", "实时价格", "实际实时价格"),
+            "da": ("日前出清电价", "日前电价", "DA", "日前价格", "实际日前价格"),
+        },
+        {
+            "da_fcst": ("日前电价预测值", "日前价格预测值", "日前电价预测", "日前价格预测", "DA预测", "日前预测电价"),
+            "da_price_fcst": ("日前价格预测",),
+            "load": ("系统负荷实际值", "系统负荷"),
+            "pv": ("光伏实际值", "光伏"),
+            "line": ("联络线实际值", "联络线"),
+            "ru": ("上旋备用实际值", "上旋备用"),
+            "rd": ("下旋备用实际值", "下旋备用"),
+            "load_fcst": ("系统负荷预测值", "负荷预测值", "负荷预测"),
+            "pv_fcst": ("光伏预测值", "光伏预测"),
+            "line_fcst": ("联络线预测值", "联络线预测"),
+            "ru_fcst": ("上旋备用预测值", "上旋备用预测"),
+            "rd_fcst": ("下旋备用预测值", "下旋备用预测"),
+        },
+    ),
+}
+#: A field that is dropped where it is the same header as another.
+NOT_BOTH = {"da_price_fcst": "da_fcst"}
 #: Forecasting methods and the one variable that a method is limited to.
 METHODS = ("direct", "lag1d", "lag1d_residual", "pv_day_residual")
 ONLY_FOR = {"pv_day_residual": "pv"}
@@ -51,12 +83,18 @@ def resolve_time_column(columns: Iterable) -> str | None:
     return next((h for h in TIME_HEADERS if h in names), None) or next((n for n in names if any(w in n.lower() for w in TIME_WORDS)), None)
 
 
-def resolve_fields(columns: Iterable, required: Mapping[str, Sequence[str]] = REQUIRED_FIELDS, optional: Mapping[str, Sequence[str]] = OPTIONAL_FIELDS) -> dict[str, str | None]:
-    """Logical name to header; a missing required field raises, a missing optional one is None."""
-    names = list(columns)
-    found = {k: resolve_column(names, v) for k, v in {**required, **optional}.items()}
+def resolve_fields(columns: Iterable, workload: str = "exogenous") -> dict[str, str | None]:
+    """Logical name to header, for one of the workloads of FIELDS; a missing required field raises, a missing optional one is None.
+
+    Where the logical names themselves are headers they stand for the field.
+    """
+    names, (required, optional) = list(columns), FIELDS[workload]
+    found = {k: k if k in names and k != "time" else resolve_column(names, v) for k, v in {**required, **optional}.items()}
     if lacking := [k for k in required if found[k] is None]:
         raise ValueError(f"no column for required fields {lacking} among {names}")
+    for k, other in NOT_BOTH.items():
+        if found.get(k) is not None and found[k] == found.get(other):
+            found[k] = None
     return found
 
 

@@ -36,6 +36,13 @@ def cutoff(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataF
     return last.select(*keys, least.alias("cutoff"), (F.concat(F.array(*absent), empty) if absent else empty).alias("skipped"))
 
 
+def require_cutoffs(cutoffs: DataFrame) -> DataFrame:
+    """`cutoffs`, if each series has one; an error if all required columns of a series are empty."""
+    if none := cutoffs.where("cutoff is null").count():
+        raise ValueError(f"{none} series have no finite value in any required column")
+    return cutoffs
+
+
 def decision_index(df: DataFrame, keys: list[str], ts: str, look_back: int = LOOK_BACK, horizon: int = HORIZON, minutes: int = STEP_MINUTES) -> DataFrame:
     """(keys, t_dec, tgt_max_time, date_tgt_max): the rows with a full look-back and a full horizon of rows."""
     w = Window.partitionBy(*keys)

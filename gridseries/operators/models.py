@@ -66,6 +66,64 @@ def predict_ridge(rows: DataFrame, model: DataFrame, by: list[str], features: li
     return rows.join(model.select(*by, "coefficients"), by, "left").withColumn(name, dot).drop("coefficients")
 
 
+def vector(columns: list[Column]) -> Column:
+    """The columns as an array of doubles, 0 for what is not finite."""
+    return F.array(*[F.coalesce(F.when(is_finite(c.cast("double")), c.cast("double")), F.lit(0.0)) for c in columns])
+
+
+def _gram(by: list[str]):
+    """Of each batch, X'X and X'y of each group: (by, sums), the upper triangle, then X'y."""
+
+    def run(frames):
+        for rows in frames:
+            if not len(rows):
+                continue
+            x = np.vstack(rows["x"].to_numpy())
+            x, y = np.hstack([np.ones((len(x), 1)), x]), rows["y"].to_numpy(float)
+            upper, out = np.triu_indices(x.shape[1]), []
+            for key, at in rows.groupby(by, sort=False, dropna=False).indices.items():
+                part = x[at]
+                key = key if isinstance(key, tuple) else (key,)
+                out.append([*key, np.concatenate([(part.T @ part)[upper], part.T @ y[at]])])
+            yield pd.DataFrame(out, columns=[*by, "sums"])
+
+    return run
+
+
+def _solve_sums(by: list[str], penalty: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum(np.vstack(rows["sums"].to_numpy()), axis=0)
+        k = int((np.sqrt(9 + 8 * len(sums)) - 3) / 2)  # k (k + 1) / 2 + k numbers
+        a = np.zeros((k, k))
+        a[np.triu_indices(k)] = sums[: k * (k + 1) // 2]
+        n = int(round(a[0, 0]))
+        a = a + np.triu(a, 1).T + penalty * np.diag(np.arange(k) > 0)  # the intercept is free
+        return pd.DataFrame([[*rows.iloc[0][by].tolist(), np.linalg.lstsq(a, sums[k * (k + 1) // 2 :], rcond=None)[0].tolist(), n]], columns=[*by, "coefficients", "n_train"])
+
+    return run
+
+
+def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty: float = 1e-3) -> DataFrame:
+    """(by, coefficients, n_train) of rows with the features `x`, an array of one length: ridge with any number of features.
+
+    Tasks send the sums of each of their batches and groups, so a group's rows never meet; the sums of a
+    group are added up and solved in one place.  Rows that aren't of training, not `ok` or without a
+    finite target don't count.
+    """
+    kinds = dict(rows.dtypes)
+    keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    use = rows.where(F.col("split") == "train").where(ok & is_finite(y)).select(*by, "x", y.cast("double").alias("y"))
+    sums = use.mapInPandas(_gram(by), f"{keys}, sums array<double>")
+    return sums.groupBy(*by).applyInPandas(_solve_sums(by, penalty), f"{keys}, coefficients array<double>, n_train long")
+
+
+def predict_vectors(rows: DataFrame, model: DataFrame, by: list[str], name: str = "r_hat") -> DataFrame:
+    """`rows` with the prediction of their group's model from `x`; null where there is no model."""
+    x = F.concat(F.array(F.lit(1.0)), "x")
+    dot = F.aggregate(F.zip_with("coefficients", x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return rows.join(model.select(*by, "coefficients"), by, "left").withColumn(name, F.when(F.col("coefficients").isNotNull(), dot)).drop("coefficients")
+
+
 def fit_segments(table: DataFrame, features: list[str], label: str = "y", weight: str = "weight", segments: tuple[int, ...] = (0, 1, 2), seed: int = 42, **gbt) -> dict:
     """One boosted-tree model for each hour segment, on imputed features with a missing flag each."""
     from pyspark.ml import Pipeline

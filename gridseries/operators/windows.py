@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridseries.operators.clean import is_finite
+
 WINDOWS = (192, 96, 24, 8)
 DAY = 96
 
@@ -86,8 +88,29 @@ def sample_quality(df: DataFrame, keys: list[str], ts: str, columns: list[str],
     return df.withColumns({"hist_ratio": hist, "future_ratio": ahead})
 
 
-def good_samples(df: DataFrame, hist: float = 0.98, future: float = 0.98) -> DataFrame:
-    return df.where((F.col("hist_ratio") >= hist) & (F.col("future_ratio") >= future))
+def wide_ratio(columns: list[str]) -> Column:
+    """The share of finite values among `columns` of a row, as of attached wide forecasts."""
+    return sum((F.coalesce(is_finite(F.col(c)), F.lit(False)).cast("int") for c in columns), F.lit(0)) / len(columns)
+
+
+def sample_ratios(index: DataFrame, history: DataFrame, keys: list[str], ts: str, columns: list[str], wide: DataFrame, variables: list[str], baseline: DataFrame, base_name: str = "rtbase", look_back: int = 192, horizon: int = 24) -> DataFrame:
+    """`index` with hist_ratio, future_ratio and base_ratio of each decision time.
+
+    The history is that of `columns` over the look-back; the future is the wide forecasts of `variables`, the
+    baseline those of `base_name` (<name>_h01 ...); a decision time that has none of them has ratio 0.
+    """
+    hist = sample_quality(history, keys, ts, columns, columns[:1], look_back, horizon).select(*keys, F.col(ts).alias("t_dec"), "hist_ratio")
+    cells = lambda names: [f"{v}_h{h:02d}" for v in names for h in range(1, horizon + 1)]
+    ahead = wide.select(*keys, "t_dec", wide_ratio(cells(variables)).alias("future_ratio"))
+    base = baseline.select(*keys, "t_dec", wide_ratio(cells([base_name])).alias("base_ratio"))
+    out = index.join(hist, [*keys, "t_dec"], "left").join(ahead, [*keys, "t_dec"], "left").join(base, [*keys, "t_dec"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("hist_ratio", "future_ratio", "base_ratio")})
+
+
+def good_samples(df: DataFrame, hist: float = 0.98, future: float = 0.98, baseline: float = 1.0) -> DataFrame:
+    """The rows whose ratios reach their thresholds; where there is a base_ratio, that one too."""
+    good = (F.col("hist_ratio") >= hist) & (F.col("future_ratio") >= future)
+    return df.where(good & (F.col("base_ratio") >= baseline) if "base_ratio" in df.columns else good)
 
 
 def history_arrays(df: DataFrame, keys: list[str], ts: str, columns: list[str], look_back: int = 192) -> DataFrame:

@@ -1,6 +1,7 @@
 """The library's workloads end to end; each reads a table and writes reports or forecasts.
 
-`python -m gridseries.plans.jobs audit IN OUT` and so on; `accuracy`, `forecast` and `day_ahead` likewise.
+`python -m gridseries.plans.jobs audit IN OUT KEYS...` and so on; `accuracy`, `forecast`, `exogenous` and `day_ahead`
+likewise; `real_time IN OUT EXOGENOUS KEYS...` reads what `exogenous` wrote.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries.functions import schema
-from gridseries.operators import audit, clean, dayahead, forecast, index, lookups, metrics, models
+from gridseries.operators import audit, clean, dayahead, drivers, forecast, index, metrics, models, scale, windows
 from gridseries.sources import tables
 
 
@@ -31,7 +32,7 @@ def audit_job(spark: SparkSession, source: str, out: str, keys: list[str] | None
     tables.write_report_json(axis, f"{out}/time_axis")
     if strict:
         audit.require_complete(axis)
-    df = prepared(raw, keys, ts, columns)
+    df = _written(prepared(raw, keys, ts, columns), f"{out}/series")
     tables.write_report_csv(audit.column_summary(df, keys, "slot", columns, min_len), f"{out}/columns")
     tables.write_report_csv(audit.missing_blocks(df, keys, "slot", columns, min_len).orderBy(*keys, "col", "start_time"), f"{out}/missing_blocks")
     daily = audit.daily_coverage(df, keys, "slot", columns)
@@ -43,48 +44,158 @@ def accuracy_job(spark: SparkSession, source: str, out: str, format: str = "parq
     df = tables.read_table(spark, source, format)
     pairs = schema.pairs_of(df.columns)
     numbers = df.select(*[clean.to_number(F.col(f"`{c}`")).alias(c) for p in pairs.values() for c in p])
-    tables.write_report_csv(metrics.pair_report(metrics.pairs_long(numbers, [], pairs), ["variable"]), f"{out}/accuracy")
+    headers = spark.createDataFrame([(v, a, f) for v, (a, f) in pairs.items()], "variable string, actual_col string, forecast_col string")
+    report = metrics.pair_report(metrics.pairs_long(numbers, [], pairs), ["variable"]).join(F.broadcast(headers), "variable")  # a row a pair of headers
+    tables.write_report_csv(report, f"{out}/accuracy")
+
+
+def _fields(raw: DataFrame, workload: str, keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`raw` as (keys, datetime, fields under their logical names), and the fields that it has."""
+    found = schema.resolve_fields([c for c in raw.columns if c not in keys], workload)
+    there = {k: h for k, h in found.items() if h is not None and k != "time"}
+    return raw.select(*keys, F.col(f"`{found['time']}`").alias("datetime"), *[F.col(f"`{h}`").alias(k) for k, h in there.items()]), there
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """`df`, written once and read by all that comes after."""
+    tables.write_parquet(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _metadata(spark: SparkSession, out: str, **parts) -> None:
+    tables.write_report_json(spark.range(1).select(*tables.report(**parts)), f"{out}/metadata")
 
 
 def forecast_job(spark: SparkSession, source: str, out: str, keys: list[str] | None = None, variables: tuple[str, ...] = ("load", "pv", "line"), val_days: int = 5, test_days: int = 6, run_id: str = "run") -> None:
     """Lag-one-day forecasts with median residuals, in both shapes, and their errors beside the plain lag."""
     keys = keys or []
     raw = tables.read_table(spark, source)
-    df = clean.require_continuous(prepared(raw, keys, schema.resolve_time_column([*raw.columns, "datetime"]) or "slot", list(variables)), keys, "slot")
-    idx = index.before_cutoff(index.decision_index(df, keys, "slot"), index.cutoff(df, keys, "slot", list(variables)), keys)
+    ts = schema.resolve_time_column([c for c in raw.columns if c not in keys]) or "slot"
+    df = _written(clean.require_continuous(prepared(raw, keys, ts, list(variables)), keys, "slot"), f"{out}/series")
+    cut = index.require_cutoffs(index.cutoff(df, keys, "slot", list(variables)))
+    idx = index.before_cutoff(index.decision_index(df, keys, "slot"), cut, keys)
     index.require_days(idx, keys, val_days + test_days + 1)
-    idx = index.split_by_day(idx, keys, val_days, test_days)
-    tables.write_parquet(idx, f"{out}/index")
-    parts = []
-    for v in variables:
-        rows = lookups.target_lag(lookups.future_values(idx.select(*keys, "t_dec", "split"), df, keys, "slot", v), df, keys, "slot", v)
-        parts.append(forecast.lag_residual(rows.withColumn("var", F.lit(v)), [*keys, "var", "h"]))
-    long = metrics.consolidate(parts)
-    wide = forecast.to_wide(long, keys, list(variables))
-    tables.write_parquet(wide, f"{out}/wide")
+    idx = _written(index.split_by_day(idx, keys, val_days, test_days), f"{out}/index")
+    rows = drivers.rows_of(idx, df, keys, "slot", list(variables))
+    long = _written(forecast.lag_residual(rows, [*keys, "var", "h"]), f"{out}/rows")
+    wide = _written(forecast.to_wide(long, keys, list(variables)), f"{out}/wide")
     tables.write_forecasts(forecast.to_long(wide, keys, list(variables), dict.fromkeys(variables, "lag1d_residual"), run_id), f"{out}/long")
-    tags = metrics.consolidate([long.withColumn("tag", F.lit("lag1d_residual")), long.withColumns({"tag": F.lit("lag1d"), "y_hat": F.col("base")})])
-    tables.write_report_csv(metrics.horizon_summary(metrics.horizon_metrics(tags, ["tag"]), ["tag"]).orderBy("tag", "split", "var"), f"{out}/summary")
+    tags = [drivers.summary(long, "lag1d_residual"), drivers.summary(long.withColumn("y_hat", F.col("base")), "lag1d")]
+    tables.write_report_csv(metrics.consolidate(tags).orderBy("tag", "split", "var"), f"{out}/summary")
+
+
+def exogenous_job(spark: SparkSession, source: str, out: str, keys: list[str] | None = None, methods: str = "load=lag1d_residual,pv=pv_day_residual,line=lag1d_residual", reserves: tuple[str, ...] = ("ru", "rd"), val_days: int = 5, test_days: int = 6, mode: str = "rt_chain", run_id: str = "run", gate: dict | None = None) -> None:
+    """Six hours of load, photovoltaics, tie line and reserves: stage one by method, reserves on prior and stage one.
+
+    Writes the index, wide and long forecasts, the errors of both stages beside the plain lag and the
+    source's own forecasts where it has them, and what the run was made with.
+    """
+    keys, chosen = keys or [], schema.parse_methods(methods)
+    schema.check_methods(chosen, sorted(chosen))
+    stage_one, both = sorted(chosen), sorted({*chosen, *reserves})
+    raw, there = _fields(tables.read_table(spark, source), "exogenous", keys)
+    df = _written(clean.require_continuous(prepared(raw, keys, "datetime", list(there)), keys, "slot"), f"{out}/series")
+    required = index.required_columns(mode)
+    cut = _written(index.require_cutoffs(index.cutoff(df, keys, "slot", required)), f"{out}/cutoff")
+    idx = index.before_cutoff(index.decision_index(df, keys, "slot"), cut, keys)
+    index.require_days(idx, keys, val_days + test_days + 1)
+    idx = _written(index.split_by_day(idx, keys, val_days, test_days), f"{out}/index")
+
+    rows = drivers.rows_of(idx, df, keys, "slot", both)
+    past = drivers.history_vectors(df, keys, "slot", ["rt", "da", *stage_one])
+    first = drivers.with_features(rows.where(F.col("var").isin(*stage_one)), past, keys)
+    first = _written(drivers.driver_forecasts(first, chosen, gate=gate).drop("x"), f"{out}/stage_one")
+    past = drivers.history_vectors(df, keys, "slot", ["rt", "da", *both])
+    second = drivers.with_features(drivers.with_prior(rows.where(F.col("var").isin(*reserves)), idx, df, keys, "slot", list(reserves)), past, keys)
+    second = _written(drivers.reserve_forecasts(second, first, keys, stage_one).drop("x").withColumn("method", F.lit("prior_residual")), f"{out}/stage_two")
+
+    long = metrics.consolidate([first, second])
+    wide = _written(forecast.to_wide(long, keys, both).withColumn("model_version", F.lit(run_id)), f"{out}/wide")
+    tables.write_forecasts(forecast.to_long(wide, keys, both, chosen | dict.fromkeys(reserves, "prior_residual"), run_id), f"{out}/long")
+    tags = [drivers.summary(long, "model"), drivers.summary(long.withColumn("y_hat", F.col("base")), "lag1d")]
+    given = {v: f"{v}_fcst" for v in both if f"{v}_fcst" in there}
+    if given:
+        shown = long.select(*keys, "t_dec", "h", "tgt_time", "split", "y", F.col("var").alias("_v"))
+        tags.append(drivers.summary(forecast.use_source_forecast(shown, df, keys, "slot", given).where("var = _v"), "source"))
+    tables.write_report_csv(metrics.consolidate(tags).orderBy("tag", "split", "var"), f"{out}/summary")
+    first_days = {r["split"]: str(r["first"]) for r in idx.groupBy("split").agg(F.min("date_tgt_max").alias("first")).collect()}  # three rows
+    _metadata(spark, out, run_id=run_id, mode=mode, methods=methods, reserves=",".join(reserves), required=",".join(required), val_days=val_days, test_days=test_days, first_days=first_days, headers=there, look_back=index.LOOK_BACK, horizon=index.HORIZON, model="ridge")
+
+
+def real_time_job(spark: SparkSession, source: str, exogenous: str, out: str, keys: list[str] | None = None, variables: tuple[str, ...] = ("load", "pv", "line", "ru", "rd"), drop_invalid: bool = True, as_of: str | None = None, run_id: str = "run") -> None:
+    """Real-time prices of six hours: a scaled model of the residual on the plain lag, on past and forecast features.
+
+    `exogenous` is the folder that `exogenous_job` wrote.  Writes the errors of the model and of the lag,
+    the last decision's (or `as_of`'s) prices as CSV, and what the run was made with.
+    """
+    keys = keys or []
+    raw, there = _fields(tables.read_table(spark, source), "real_time", keys)
+    df = _written(clean.require_continuous(prepared(raw, keys, "datetime", list(there)), keys, "slot"), f"{out}/series")
+    idx, wide = spark.read.parquet(f"{exogenous}/index"), spark.read.parquet(f"{exogenous}/wide").drop("split", "model_version")
+    columns = list(there)
+    rows = _written(drivers.rows_of(idx, df, keys, "slot", ["rt"]), f"{out}/rows")
+    baseline = forecast.to_wide(rows.withColumns({"var": F.lit("rtbase"), "y_hat": F.col("base")}), keys, ["rtbase"], keep=())
+    ratios = windows.sample_ratios(idx, df, keys, "slot", columns, wide, list(variables), baseline)
+    kept = _written(windows.good_samples(ratios) if drop_invalid else ratios, f"{out}/samples")
+
+    # Scalers of the columns and of the residual, on training rows.
+    scalers = _written(scale.fit_scalers(scale.training_rows(df, kept, keys, "slot"), [], columns), f"{out}/scalers")
+    moments = {r["var"]: (r["mean"], r["std"]) for r in scalers.collect()}  # a row a column
+    scaled = df.select(*keys, "slot", *[scale.scaled(F.col(c), F.lit(moments[c][0]), F.lit(moments[c][1])).alias(c) for c in columns])
+    usable = rows.join(kept.select(*keys, "t_dec"), [*keys, "t_dec"], "left_semi")
+    mu, sd = scale.fit_delta_scaler(usable, []).first()
+
+    def path(frame: DataFrame, array: str, name: str) -> DataFrame:
+        """(keys, t_dec, name): a price path filled and normalised; one without any value goes."""
+        filled = frame.select(*keys, F.col("slot").alias("t_dec"), windows.fill_window(array).alias(name)).where(~F.exists(name, lambda x: x.isNull()))
+        return windows.normalise_paths(filled, name)
+
+    day = windows.history_arrays(scaled, keys, "slot", ["rt"], look_back=index.SLOTS_A_DAY).withColumn("history", F.transform("history", lambda r: r[0]))
+    past = drivers.history_vectors(scaled, keys, "slot", ["rt", "da"])
+    past = past.join(path(day, "history", "rt_path"), [*keys, "t_dec"]).join(path(windows.future_arrays(df, keys, "slot", "da"), "future", "da_path"), [*keys, "t_dec"])
+    ahead = forecast.to_long(wide.withColumn("split", F.lit("")), keys, list(variables), {}, run_id).groupBy(*keys, "t_dec", "h").pivot("var", list(variables)).agg(F.first("y_hat"))
+    known = usable.join(past, [*keys, "t_dec"]).join(ahead, [*keys, "t_dec", "h"])
+    hourly = F.filter("rt_path", lambda x, i: i % 4 == 3)
+    x = F.concat("past", hourly, F.slice("da_path", F.col("h"), F.lit(1)), drivers.time_vector(F.col("tgt_time")), models.vector([F.col(v) for v in variables]))
+    known = known.withColumn("x", x).drop("past", "rt_path", "da_path", *variables)
+    target = scale.scaled(F.col("y") - F.col("base"), F.lit(mu), F.lit(sd))
+    got = models.predict_vectors(known, models.fit_vectors(known, ["h"], target, F.lit(True), penalty=1.0), ["h"]).drop("x")
+    got = _written(got.withColumn("y_hat", F.col("base") + scale.unscaled(F.col("r_hat"), F.lit(mu), F.lit(sd))), f"{out}/predictions")
+    tags = [drivers.summary(got, "model"), drivers.summary(got.withColumn("y_hat", F.col("base")), "lag1d")]
+    tables.write_report_csv(metrics.consolidate(tags).orderBy("tag", "split"), f"{out}/summary")
+    at = index.as_of(kept, as_of) if as_of else index.last_decision(kept, keys)
+    tables.write_report_csv(forecast.as_of_output(at.select(*keys, "t_dec"), got.select(*keys, "t_dec", "h", "base"), got.select(*keys, "t_dec", "h", "r_hat"), keys, mu, sd), f"{out}/as_of")
+    _metadata(spark, out, run_id=run_id, columns=",".join(columns), future=",".join(variables), delta_mean=float(mu), delta_std=float(sd), drop_invalid=drop_invalid, model="ridge")
 
 
 def day_ahead_job(spark: SparkSession, source: str, out: str, keys: list[str] | None = None, val_days: int = 30, test_days: int = 30, **gbt) -> None:
-    """Feature table, row-count split, weights, one model for each third of the day, scores."""
+    """Feature table with exogenous features, row-count split, weights, one model for each third of the day; scores, the
+    comparison with the source's own forecasts, and all of them beside the price."""
     keys = keys or []
-    raw = tables.read_table(spark, source)
-    fields = {c: c for c in raw.columns if c in ("rt", "da", "load", "pv", "line")} or {k: v for k, v in schema.resolve_fields(raw.columns).items() if v and k != "time"}
-    ts = "slot" if "slot" in raw.columns else schema.resolve_fields(raw.columns)["time"]
-    df = prepared(raw.select(*keys, ts, *[F.col(f"`{h}`").alias(k) for k, h in fields.items()]), keys, ts, list(fields))
-    table = dayahead.feature_table(df, keys, "slot")
-    table = index.high_price_weights(index.split_by_rows(table, keys, "slot", val_days, test_days), keys, "y", "segment").persist()
+    raw, there = _fields(tables.read_table(spark, source), "day_ahead", keys)
+    df = _written(prepared(raw, keys, "datetime", list(there)), f"{out}/series")
+    exogenous = {v: (f"{v}_fcst", v) for v in ("load", "pv", "line", "ru", "rd") if v in there or f"{v}_fcst" in there}
+    table = dayahead.feature_table(df, keys, "slot", exogenous=exogenous)
+    table = _written(index.high_price_weights(index.split_by_rows(table, keys, "slot", val_days, test_days), keys, "y", "segment"), f"{out}/features")
     names = dayahead.feature_names(table, keys, "slot")
     predictions = models.predict_segments(table, models.fit_segments(table, names, **gbt), names)
-    tables.write_parquet(predictions.select(*keys, "slot", "split", "segment", "y", "y_hat"), f"{out}/predictions")
-    tables.write_report_csv(metrics.split_scores(predictions, ["split"]).orderBy("split"), f"{out}/scores")
+    shown = _written(predictions.select(*keys, "slot", "split", "segment", "y", "y_hat"), f"{out}/predictions")
+    tables.write_report_csv(metrics.split_scores(shown, ["split"]).orderBy("split"), f"{out}/scores")
+    given = [c for c in ("da_fcst", "da_price_fcst") if c in there]
+    beside = shown.join(df.select(*keys, "slot", *given), [*keys, "slot"])
+    if given:
+        tables.write_report_csv(metrics.compare_models(beside, "y", {"model": "y_hat", **{c: c for c in given}}).orderBy("dataset", "model"), f"{out}/comparison")
+    tables.write_parquet(metrics.overview(beside, keys, "slot", ["split", "y", "y_hat", *given]), f"{out}/overview")
 
 
-JOBS = {"audit": audit_job, "accuracy": accuracy_job, "forecast": forecast_job, "day_ahead": day_ahead_job}
+JOBS = {"audit": audit_job, "accuracy": accuracy_job, "forecast": forecast_job, "exogenous": exogenous_job, "day_ahead": day_ahead_job}
 
 if __name__ == "__main__":
     name, source, out, *keys = sys.argv[1:]
-    job, session = JOBS[name], SparkSession.builder.appName(f"gridseries-{name}").getOrCreate()
-    job(session, source, out) if name == "accuracy" else job(session, source, out, keys)
+    session = SparkSession.builder.appName(f"gridseries-{name}").getOrCreate()
+    if name == "real_time":
+        real_time_job(session, source, keys[0], out, keys[1:])
+    elif name == "accuracy":
+        accuracy_job(session, source, out)
+    else:
+        JOBS[name](session, source, out, keys)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.functions import calendar, schema
-from gridseries.operators import audit, clean
+from gridseries.operators import audit, clean, index
 from gridseries.sources import fixtures as fx
+from gridseries.sources import tables
 
 K, T, C = fx.KEYS, "slot", fx.COLUMNS
 
@@ -60,12 +61,75 @@ def long_rows(s, d):
     return audit.long_form(fx.wide15(s, d), K, T, C)
 
 
+HEADERS = {"rt": "实时出清电价", "da": "日前出清电价", "load": "系统负荷实际值", "pv": "光伏实际值", "line": "联络线实际值", "ru": "上旋备用实际值", "rd": "下旋备用实际值"}
+
+
+def with_headers(s, d, longer=""):
+    """`wide15` under the headers that users' tables have."""
+    w = fx.wide15(s, d)
+    return w.select("site", F.col(T).alias("时间"), *[F.col(c).alias(h + longer) for c, h in HEADERS.items()])
+
+
+def resolved_column(s, d):
+    """Headers that hold a candidate as a part."""
+    w = with_headers(s, d, " (MW)")
+    return w.select("site", F.col("时间").alias("slot"), F.col(f"`{schema.resolve_column(w.columns, ['负荷', '系统负荷实际值'])}`").alias("load"))
+
+
+def resolved_time(s, d):
+    w = with_headers(s, d).withColumnRenamed("时间", "记录日期")
+    return w.groupBy("site").agg(F.max(f"`{schema.resolve_time_column(w.columns)}`").alias("last"))
+
+
+def resolved_fields(s, d):
+    w = with_headers(s, d)
+    found = schema.resolve_fields(w.columns, "real_time")
+    return schema.select_fields(w, {"site": "site", **found}).withColumnRenamed("time", "slot")
+
+
+def round_trip(write, read):
+    """What is read back of what was written to a scratch folder."""
+
+    def run(s, d):
+        folder = fx.scratch(s)
+        write(s, d, folder)
+        return read(s, folder)
+
+    return run
+
+
+def overall(s, d):
+    return audit.daily_overall(audit.daily_coverage(fx.wide15(s, d), K, T, C), K)
+
+
+def modes(s, d):
+    w = fx.wide15(s, d)
+    parts = [index.cutoff(w, K, T, index.required_columns(m)).select("site", F.lit(m).alias("mode"), "cutoff", F.size("skipped").alias("skipped")) for m in ("rt_chain", "exog_only")]
+    return parts[0].unionByName(parts[1])
+
+
+def strict(s, d):
+    report = audit.time_axis_report(fx.wide15(s, d).select("site", F.col(T).alias("ts")), K, "ts")
+    audit.require_complete(report)
+    return report.select("site", "n_rows", "n_missing", "n_gaps")
+
+
 QUERIES = {
     "flagship_daily_coverage": (flagship, f"""SELECT site, event_type, CAST(slot AS DATE) AS date, avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) AS ratio
  FROM (SELECT site, event_type, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, event_type, min(slot) AS a, max(slot) AS b FROM sl GROUP BY 1, 2)) LEFT JOIN sl USING (site, event_type, slot) GROUP BY ALL
  -- round: ratio"""),
     "io1_read_wide_table": (fx.wide15, "SELECT * FROM wide"),
     "io3_long_rows": (long_rows, f"WITH {LONG} SELECT site, slot, col, value FROM long"),
+    "io1_read_csv": (round_trip(lambda s, d, at: fx.wide15(s, d).write.option("header", True).csv(at), lambda s, at: tables.read_table(s, at, "csv", "site long, slot timestamp_ntz, rt double, da double, load double, pv double, line double, ru double, rd double")), "SELECT * FROM wide"),
+    "io2_write_parquet": (round_trip(lambda s, d, at: tables.write_parquet(fx.wide15(s, d), at, ["site"]), lambda s, at: tables.read_table(s, at).withColumn("site", F.col("site").cast("long"))), "SELECT * FROM wide"),
+    "io3_write_forecasts": (round_trip(lambda s, d, at: tables.write_forecasts(long_rows(s, d).withColumnRenamed("col", "var"), at), lambda s, at: tables.read_table(s, at)), f"WITH {LONG} SELECT site, slot, col AS var, value FROM long"),
+    "io4_report_csv": (round_trip(lambda s, d, at: tables.write_report_csv(overall(s, d), at), lambda s, at: tables.read_table(s, at, "csv", "site long, date date, min_ratio double, mean_ratio double, cols_with_any_missing long, cols_all_missing long")), None),
+    "io5_report_json": (round_trip(lambda s, d, at: tables.write_report_json(strict(s, d).select("site", F.struct(*tables.report(rows=F.col("n_rows"), gaps={"missing": F.col("n_missing"), "gaps": F.col("n_gaps")})).alias("r")), at), lambda s, at: tables.read_table(s, at, "json", "site long, r struct<rows:long,gaps:struct<missing:long,gaps:long>>").select("site", "r.rows", "r.gaps.missing", "r.gaps.gaps")), "SELECT site, count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS gaps FROM wide GROUP BY site"),
+    "sc1_resolve_column": (resolved_column, "SELECT site, slot, load FROM wide"),
+    "sc2_time_column": (resolved_time, "SELECT site, max(slot) AS last FROM wide GROUP BY site"),
+    "sc3_resolve_fields": (resolved_fields, "SELECT site, slot, rt, da, load, pv, line, ru, rd FROM wide"),
+    "ix3_required_modes": (modes, "WITH l AS (SELECT site, max(slot) FILTER (rt IS NOT NULL) AS rt, max(slot) FILTER (da IS NOT NULL) AS da, least(max(slot) FILTER (load IS NOT NULL), max(slot) FILTER (pv IS NOT NULL), max(slot) FILTER (line IS NOT NULL), max(slot)) AS x FROM wide GROUP BY site) SELECT site, 'rt_chain' AS mode, least(rt, da, x) AS cutoff, CAST(0 AS INTEGER) AS skipped FROM l UNION ALL SELECT site, 'exog_only', x, 0 FROM l"),
+    "au6_strict_mode": (strict, "SELECT site, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_gaps FROM wide GROUP BY site"),
     "sc4_base_names": (lambda s, d: names(s, d).select("name", schema.base_name(F.col("name")).alias("base"), schema.name_kind(F.col("name")).alias("kind")).distinct(), f"WITH {NAMES} SELECT DISTINCT name, p_brand AS base, CASE WHEN k % 2 = 0 THEN 'actual' ELSE 'forecast' END AS kind FROM names"),
     "sc5_column_pairs": (lambda s, d: schema.column_pairs(names(s, d)), f"WITH {NAMES} SELECT p_brand AS base, arg_max(name, position) FILTER (k % 2 = 0) AS actual_col, arg_max(name, position) FILTER (k % 2 = 1) AS forecast_col FROM names GROUP BY p_brand HAVING count(*) FILTER (k % 2 = 0) > 0 AND count(*) FILTER (k % 2 = 1) > 0"),
     "sc6_exogenous_choice": (lambda s, d: fx.wide15(s, d).select("site", "slot", F.col(schema.choose_exogenous(C, "load_fcst", "load")).alias("x_load"), F.col(schema.choose_exogenous(C, "pv", "rd")).alias("x_pv")), "SELECT site, slot, load AS x_load, pv AS x_pv FROM wide"),
@@ -101,3 +165,4 @@ QUERIES = {
     "au16_daily_overall": (lambda s, d: audit.daily_overall(audit.daily_coverage(fx.wide15(s, d), K, T, C), K), f"WITH {LONG} SELECT site, date, min(ratio) AS min_ratio, avg(ratio) AS mean_ratio, count(*) FILTER (ratio < 1) AS cols_with_any_missing, count(*) FILTER (ratio = 0) AS cols_all_missing FROM (SELECT site, CAST(slot AS DATE) AS date, col, count(value) / count(*) AS ratio FROM long GROUP BY ALL) GROUP BY ALL\n -- round: min_ratio mean_ratio"),
     "sf6_file_stems": (lambda s, d: names(s, d).select("position", calendar.file_stem(F.concat(F.lit(" a/b:"), "name", F.lit(" ?x_ "))).alias("stem")), f"WITH {NAMES} SELECT position, 'a_b_' || regexp_replace(name, ' +', '_', 'g') || '_x' AS stem FROM names"),
 }
+QUERIES["io4_report_csv"] = (QUERIES["io4_report_csv"][0], QUERIES["au16_daily_overall"][1])

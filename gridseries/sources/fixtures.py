@@ -6,11 +6,15 @@ and loads.  All frames grow with the tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import floor_time
 from gridseries.operators import clean, index, lookups
+from gridseries.sources.tables import read_table
 
 KEYS = ["site"]
 #: Event types and the column that each one stands for.
@@ -19,7 +23,15 @@ COLUMNS = [*TYPES.values(), "ru", "rd"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share, for what is written and read back; a temporary one in a local session."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
