@@ -43,7 +43,7 @@ def rows_of(index: DataFrame, df: DataFrame, keys: list[str], ts: str, variables
     return rows.join(at(F.col(ts), "y"), by, "left").join(at(lookups.shift_days(F.col(ts), 1), "base"), by, "left")
 
 
-def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | None = None, penalty: float = 1e-3, gate: dict | None = None) -> DataFrame:
+def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | None = None, gate: dict | None = None, **ridge) -> DataFrame:
     """`rows` (with `x`) with y_hat and method, each variable by its method:
 
     direct: the model; lag1d: the base; lag1d_residual: base and model of y - base; pv_day_residual: that only
@@ -58,7 +58,7 @@ def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | N
     target = F.when(F.col("method") == "direct", F.col("y")).otherwise(F.col("y") - F.col("base"))
     is_open = (F.col("method") != "pv_day_residual") | forecast.daylight_gate(F.col("tgt_time"), F.col("base"), **gate)
     models.require_usable(models.usable_counts(trained, by, is_open & is_finite(target)))
-    out = models.predict_vectors(rows, models.fit_vectors(trained, by, target, is_open, penalty), by)
+    out = models.predict_vectors(rows, models.fit_vectors(trained, by, target, is_open, **ridge), by)
     corrected = forecast.recompose(F.col("base"), F.col("r_hat"))
     y_hat = F.when(F.col("method") == "direct", F.col("r_hat")).when(F.col("method") == "lag1d", F.col("base")).when(is_open, corrected).otherwise(F.col("base"))
     return out.withColumn("y_hat", y_hat).drop("r_hat")
@@ -73,14 +73,14 @@ def with_prior(rows: DataFrame, index: DataFrame, df: DataFrame, keys: list[str]
     return reduce(DataFrame.unionByName, parts)
 
 
-def reserve_forecasts(rows: DataFrame, drivers: DataFrame, keys: list[str], variables: list[str], by: list[str] | None = None, penalty: float = 1e-3) -> DataFrame:
+def reserve_forecasts(rows: DataFrame, drivers: DataFrame, keys: list[str], variables: list[str], by: list[str] | None = None, **ridge) -> DataFrame:
     """`rows` (with `x` and `prior`) with y_hat: the prior and a model of y - prior, which also sees the forecasts of `variables` in `drivers`."""
     by = [*(by or []), "var", "h"]
     staged = lookups.stage_one_features(rows, drivers, keys, variables)
     seen = staged.withColumn("x", F.concat("x", models.vector([F.col(f"pred_{v}") for v in variables])))
     residual = F.col("y") - F.col("prior")
     models.require_usable(models.usable_counts(seen, by, is_finite(residual)))
-    out = models.predict_vectors(seen, models.fit_vectors(seen, by, residual, F.lit(True), penalty), by)
+    out = models.predict_vectors(seen, models.fit_vectors(seen, by, residual, F.lit(True), **ridge), by)
     return out.withColumn("y_hat", forecast.recompose(F.col("prior"), F.col("r_hat"))).drop("r_hat", *[f"pred_{v}" for v in variables])
 
 

@@ -90,31 +90,33 @@ def _gram(by: list[str]):
     return run
 
 
-def _solve_sums(by: list[str], penalty: float):
+def _solve_sums(by: list[str], penalty: float, relative: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sums = np.sum(np.vstack(rows["sums"].to_numpy()), axis=0)
         k = int((np.sqrt(9 + 8 * len(sums)) - 3) / 2)  # k (k + 1) / 2 + k numbers
         a = np.zeros((k, k))
         a[np.triu_indices(k)] = sums[: k * (k + 1) // 2]
         n = int(round(a[0, 0]))
-        a = a + np.triu(a, 1).T + penalty * np.diag(np.arange(k) > 0)  # the intercept is free
+        spread = np.diag(a) - a[0] ** 2 / max(1, n) if relative else np.ones(k)
+        a = a + np.triu(a, 1).T + penalty * np.diag(np.where(np.arange(k) > 0, spread, 0.0))  # the intercept is free
         return pd.DataFrame([[*rows.iloc[0][by].tolist(), np.linalg.lstsq(a, sums[k * (k + 1) // 2 :], rcond=None)[0].tolist(), n]], columns=[*by, "coefficients", "n_train"])
 
     return run
 
 
-def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty: float = 1e-3) -> DataFrame:
+def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty: float = 1e-3, relative: bool = False) -> DataFrame:
     """(by, coefficients, n_train) of rows with the features `x`, an array of one length: ridge with any number of features.
 
     Tasks send the sums of each of their batches and groups, so a group's rows never meet; the sums of a
     group are added up and solved in one place.  Rows that aren't of training, not `ok` or without a
-    finite target don't count.
+    finite target don't count.  A `relative` penalty is a share of each feature's squared deviations, so that
+    features of any scale are held alike.
     """
     kinds = dict(rows.dtypes)
     keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     use = rows.where(F.col("split") == "train").where(ok & is_finite(y)).select(*by, "x", y.cast("double").alias("y"))
     sums = use.mapInPandas(_gram(by), f"{keys}, sums array<double>")
-    return sums.groupBy(*by).applyInPandas(_solve_sums(by, penalty), f"{keys}, coefficients array<double>, n_train long")
+    return sums.groupBy(*by).applyInPandas(_solve_sums(by, penalty, relative), f"{keys}, coefficients array<double>, n_train long")
 
 
 def predict_vectors(rows: DataFrame, model: DataFrame, by: list[str], name: str = "r_hat") -> DataFrame:

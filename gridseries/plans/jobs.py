@@ -16,6 +16,10 @@ from gridseries.operators import audit, clean, dayahead, drivers, forecast, inde
 from gridseries.sources import tables
 
 
+#: The penalty of the jobs' models, which have over a hundred features of many scales.
+RIDGE = {"penalty": 0.05, "relative": True}
+
+
 def prepared(df: DataFrame, keys: list[str], ts: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
     """(keys, slot, columns): numbers coerced, times floored, the last row of each slot."""
     rows = df.select(*keys, F.col(ts).try_cast("timestamp_ntz").alias("ts"), *[clean.to_number(F.col(f"`{c}`")).alias(c) for c in columns], *[c for c in order or [] if c not in {*keys, ts, *columns}])
@@ -104,10 +108,10 @@ def exogenous_job(spark: SparkSession, source: str, out: str, keys: list[str] |
     rows = drivers.rows_of(idx, df, keys, "slot", both)
     past = drivers.history_vectors(df, keys, "slot", ["rt", "da", *stage_one])
     first = drivers.with_features(rows.where(F.col("var").isin(*stage_one)), past, keys)
-    first = _written(drivers.driver_forecasts(first, chosen, gate=gate).drop("x"), f"{out}/stage_one")
+    first = _written(drivers.driver_forecasts(first, chosen, gate=gate, **RIDGE).drop("x"), f"{out}/stage_one")
     past = drivers.history_vectors(df, keys, "slot", ["rt", "da", *both])
     second = drivers.with_features(drivers.with_prior(rows.where(F.col("var").isin(*reserves)), idx, df, keys, "slot", list(reserves)), past, keys)
-    second = _written(drivers.reserve_forecasts(second, first, keys, stage_one).drop("x").withColumn("method", F.lit("prior_residual")), f"{out}/stage_two")
+    second = _written(drivers.reserve_forecasts(second, first, keys, stage_one, **RIDGE).drop("x").withColumn("method", F.lit("prior_residual")), f"{out}/stage_two")
 
     long = metrics.consolidate([first, second])
     wide = _written(forecast.to_wide(long, keys, both).withColumn("model_version", F.lit(run_id)), f"{out}/wide")
@@ -159,7 +163,7 @@ def real_time_job(spark: SparkSession, source: str, exogenous: str, out: str, ke
     x = F.concat("past", hourly, F.slice("da_path", F.col("h"), F.lit(1)), drivers.time_vector(F.col("tgt_time")), models.vector([F.col(v) for v in variables]))
     known = known.withColumn("x", x).drop("past", "rt_path", "da_path", *variables)
     target = scale.scaled(F.col("y") - F.col("base"), F.lit(mu), F.lit(sd))
-    got = models.predict_vectors(known, models.fit_vectors(known, ["h"], target, F.lit(True), penalty=1.0), ["h"]).drop("x")
+    got = models.predict_vectors(known, models.fit_vectors(known, ["h"], target, F.lit(True), **RIDGE), ["h"]).drop("x")
     got = _written(got.withColumn("y_hat", F.col("base") + scale.unscaled(F.col("r_hat"), F.lit(mu), F.lit(sd))), f"{out}/predictions")
     tags = [drivers.summary(got, "model"), drivers.summary(got.withColumn("y_hat", F.col("base")), "lag1d")]
     tables.write_report_csv(metrics.consolidate(tags).orderBy("tag", "split"), f"{out}/summary")
