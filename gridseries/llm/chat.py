@@ -8,7 +8,7 @@ maximal conversations are rendered to one text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -20,23 +20,30 @@ def _esc(c):
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, prefix): the ordered turns of each conversation and its rolling prefix hashes.
+    """(conv_id, turns): the ordered turns of each conversation.
 
     `turns` has conv_id, turn, role, text.  Rows without conv_id go.  Repeated rows count once; turns
     are ordered by (turn, role, text), null first; a null role is "unknown", a null text empty.  Other
-    columns are not in the result; an empty table gives no rows.  A
-    conversation is one training record and has to fit a row.
+    columns are not in the result; an empty table gives no rows.  A conversation is one training record
+    and has to fit a row.
     """
     rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # collect_set drops repeats in the map tasks already, so a flood of copies of a turn never meets in one task.
-    by = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    step = lambda acc, t: F.sha2(F.concat_ws("\x1f", acc, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)
-    rolled = F.aggregate(
-        "turns",
-        F.array().cast("array<string>"),
-        lambda acc, t: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t))),
-    )
-    return by.withColumn("prefix", rolled)
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+def prefixes(convs: DataFrame) -> DataFrame:
+    """(conv_id, at, n, prefix): of each conversation of n turns the hash of its first `at` turns, at from 1 to n.
+
+    The hash rolls: each turn's own hash, of its place, role and text, is added to that of the turns before it
+    (twice 56 bits, and the number of turns).
+    """
+    said = lambda t, i: F.concat_ws("\x1f", i.cast("string"), F.length(t["role"]).cast("string"), t["role"], t["text"])
+    one = convs.select("conv_id", F.size("turns").alias("n"), F.posexplode(F.transform("turns", lambda t, i: F.sha2(said(t, i), 256))).alias("at", "hash"))
+    # The aggregation left the rows of a conversation in one place, so this window shuffles nothing.
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = [F.sum(F.conv(F.substring("hash", first, 14), 16, 10).cast("decimal(38,0)")).over(before).cast("string") for first in (1, 15)]
+    return one.select("conv_id", (F.col("at") + 1).alias("at"), "n", F.concat_ws("/", *rolled, (F.col("at") + 1).cast("string")).alias("prefix"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -47,11 +54,11 @@ def collapse(turns: DataFrame) -> DataFrame:
     conversations share is one row.
     """
     convs = conversations(turns)
-    hashed = convs.select("conv_id", "prefix", F.element_at("prefix", -1).alias("whole"))
-    kept = hashed.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    inner = hashed.select(F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("whole")).distinct()
-    maximal = kept.join(inner, "whole", "left_anti")
-    return convs.drop("prefix").join(maximal.drop("whole"), "conv_id").select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), "n_copies")
+    rolled = prefixes(convs)
+    whole = rolled.where("at = n").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = rolled.where("at < n").select("prefix").distinct()
+    maximal = whole.join(inner, "prefix", "left_anti")
+    return convs.join(maximal.drop("prefix"), "conv_id").select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), "n_copies")
 
 
 def render(maximal: DataFrame) -> DataFrame:

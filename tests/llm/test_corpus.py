@@ -296,6 +296,12 @@ def test_roles_and_lengths_keep_turns_apart(spark):
     assert chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == 2
 
 
+def test_a_long_conversation(spark):
+    rows = [(c, i, "user", f"turn {i}") for c, n in ((1, 3000), (2, 2999), (3, 3000)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prefix", F.lit("x"))
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in chat.collapse(df).collect()] == [(1, 3000, 2)]
+
+
 # ---- the mix
 
 
@@ -419,3 +425,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert left[0] == clean | {100, 101} and left[1] == left[0] and left[2] == clean | {101} and left[3] == left[4] == clean
     ran = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert ran == sorted(map(tuple, docs.collect()))
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Columns of the operators' own names, repeated rows, no rows: every stage but the last gives back the columns it got."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(14)
+    make = lambda: " ".join("".join(rng.choices(["tha", "ing", "er", "on"], k=3)) for _ in range(60))
+    rows = [(i, make(), "xx", "s", 1) for i in range(30)]
+    rows += [rows[3], rows[3], (50, None, "xx", None, None), (51, "", None, "s", 0), (None, rows[4][1], "xx", "s", 5)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["language", "contamination", "n_lines", "n_dropped", "component_id", "_copy", "size", "x.y"]
+    docs = own.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    spark.createDataFrame([(1, make())], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table, str(tmp_path))
+            assert got.columns == docs.columns
+            left = got.collect()
+            assert all(r[n] == f"{n}{'' if r['doc_id'] is None else r['doc_id']}" for r in left for n in names)
+            by = sorted(str(r["doc_id"]) for r in left)
+            want = sorted(str(r[0]) for r in rows if name != "language_id" or r[0] not in (50, 51)) if table is docs else []
+            assert by == want, name
+    assert corpus_pipeline.mix_sources(spark, docs, "").count() == len(rows)
