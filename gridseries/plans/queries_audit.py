@@ -136,6 +136,9 @@ QUERIES = {
     "cl1_parse_time": (lambda s, d: clean.parse_time(dirty(s, d), "ts_text").select("event_id", "ts"), f"WITH {DIRTY} SELECT event_id, TRY_CAST(ts_text AS TIMESTAMP) AS ts FROM dirty WHERE TRY_CAST(ts_text AS TIMESTAMP) IS NOT NULL"),
     "cl2_floor_time": (lambda s, d: fx.observations(s, d).select("event_id", "slot"), "SELECT event_id, slot FROM ev"),
     "cl3_keep_last": (fx.slots, "SELECT * FROM sl"),
+    "cl3_keep_last_by_user": (fx.by_user, "SELECT * FROM us"),
+    "cl6_irregular_steps_by_user": (lambda s, d: clean.irregular_steps(fx.by_user(s, d), ["user_id"], T), "SELECT user_id, count(*) FILTER (slot - prev <> INTERVAL '15 minutes') AS irregular FROM (SELECT *, lag(slot) OVER (PARTITION BY user_id ORDER BY slot) AS prev FROM us) GROUP BY user_id"),
+    "au5_gap_counts_by_user": (lambda s, d: audit.gap_counts(fx.by_user(s, d), ["user_id"], T), "SELECT user_id, count(*) FILTER (slot - prev > INTERVAL '15 minutes') AS n_gaps FROM (SELECT *, lag(slot) OVER (PARTITION BY user_id ORDER BY slot) AS prev FROM us) GROUP BY user_id"),
     "cl4_to_number": (lambda s, d: dirty(s, d).select("event_id", clean.finite_or_null(clean.to_number(F.col("v_text"))).alias("v")), f"WITH {DIRTY} SELECT event_id, CASE WHEN isfinite(TRY_CAST(trim(v_text) AS DOUBLE)) THEN TRY_CAST(trim(v_text) AS DOUBLE) END AS v FROM dirty"),
     "cl5_value_classes": (lambda s, d: dirty(s, d).groupBy("site", clean.value_class(clean.to_number(F.col("v_text"))).alias("class")).agg(F.count("*").alias("n")), f"WITH {DIRTY} SELECT site, CASE WHEN v IS NULL OR isnan(v) THEN 'nan' WHEN isinf(v) THEN 'inf' ELSE 'finite' END AS class, count(*) AS n FROM (SELECT site, TRY_CAST(trim(v_text) AS DOUBLE) AS v FROM dirty) GROUP BY ALL"),
     "cl6_irregular_steps": (lambda s, d: clean.irregular_steps(fx.slots(s, d), ["site", "event_type"], T), "SELECT site, event_type, count(*) FILTER (slot - prev <> INTERVAL '15 minutes') AS irregular FROM (SELECT *, lag(slot) OVER (PARTITION BY site, event_type ORDER BY slot) AS prev FROM sl) GROUP BY ALL"),

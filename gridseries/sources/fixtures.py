@@ -46,6 +46,12 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.keep_last(o, ["site", "event_type"], "slot", ["ts", "event_id"]).select("site", "event_type", "slot", "value")
 
 
+def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, slot, value): the last observation of each user's slots; the number of series grows with the table."""
+    o = observations(spark, sf_dir).select("user_id", "slot", "ts", "event_id", "value")
+    return clean.keep_last(o, ["user_id"], "slot", ["ts", "event_id"]).select("user_id", "slot", "value")
+
+
 def wide15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, slot, rt, da, load, pv, line, ru, rd) on the full grid of each site; nulls are genuine."""
     s = slots(spark, sf_dir).groupBy("site", "slot").pivot("event_type", list(TYPES)).agg(F.first("value"))
@@ -89,6 +95,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH ev AS (SELECT user_id % 4 AS site, event_type, event_id, user_id, ts, value, time_bucket(INTERVAL '15 minutes', ts) AS slot FROM events),
 sl AS (SELECT site, event_type, slot, value FROM (SELECT *, row_number() OVER (PARTITION BY site, event_type, slot ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k = 1),
+us AS (SELECT user_id, slot, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k = 1),
 gr AS (SELECT site, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, min(slot) AS a, max(slot) AS b FROM ev GROUP BY site)),
 pv0 AS (SELECT site, slot, max(value) FILTER (event_type = 'click') AS rt, max(value) FILTER (event_type = 'view') AS da, max(value) FILTER (event_type = 'purchase') AS load,
         max(value) FILTER (event_type = 'signup') AS pv, max(value) FILTER (event_type = 'error') AS line FROM sl GROUP BY site, slot),
