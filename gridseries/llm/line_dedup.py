@@ -7,9 +7,9 @@ field too.  What is left is the line's template, if no more than a quarter of it
 and at least half are none.  Templates in at least `min_docs` documents are boilerplate: their lines go
 from all documents but the one with the smallest doc_id.
 
-Lines that are the same word for word need fewer documents the longer they are, from 50 tokens on two,
-but no document goes whole for such lines; lines too short for the tree need more, and are compared as
-masked.
+Lines that are the same word for word need fewer documents the longer they are, from 50 tokens on two.  A
+document that would lose half of its tokens or all its lines to those keeps them: it is a copy, which is
+for a join of documents.  Lines too short for the tree need more documents, and are compared as masked.
 
 Leaves and templates are counted, never gathered, so one of any size takes no task's memory.  Tokens
 are looked up for the distinct lines of leaves only where some line is too rare by itself; all else are
@@ -140,7 +140,8 @@ def _dropped(names: list[str]):
             for k, i in enumerate(hit.tolist()):
                 own = slice(bounds[k], bounds[k + 1])
                 out = goes[own] | rare[own]
-                if out.all():  # a copy of whole documents, which is for the join of documents
+                n = lines.n[own]
+                if out.all() or 2 * n[rare[own] & ~goes[own]].sum() >= n.sum():  # a copy, which is for the join of documents
                     out = goes[own]
                 gone = set(lines.number[own][out].tolist())
                 texts[i] = b"\n".join(x for j, x in enumerate(texts[i].split(b"\n")) if j not in gone)
@@ -201,7 +202,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     without a letter, always stay.  A null text stays null and has no line; an empty one has one, empty,
     line.  doc_id has to be an integer.  Rows that share a doc_id count as one document; rows without
     doc_id neither count nor lose lines.  Earlier columns n_lines and n_dropped are replaced.  An empty
-    table gives no rows.
+    table gives no rows.  A document that copies another in half of its tokens or more loses no line for that.
     """
     docs = docs.drop("n_lines", "n_dropped", "_drop")
     every = checkpointed(line_rows(docs))
@@ -238,7 +239,7 @@ x AS (SELECT line, min(keeper) AS keeper FROM (
         SELECT line, keeper FROM b WHERE docs >= needed
         UNION ALL SELECT line, g.keeper FROM u JOIN g USING (template) WHERE g.docs >= {MIN_DOCS}) GROUP BY line),
 z AS (SELECT doc_id, i, bool_or(k.line NOT LIKE 'W %') AS always FROM k JOIN x USING (line) WHERE doc_id <> keeper GROUP BY doc_id, i),
-a AS (SELECT f.doc_id, count(*) = count(z.i) AS bare FROM f LEFT JOIN z USING (doc_id, i) GROUP BY f.doc_id),
+a AS (SELECT f.doc_id, count(*) = count(z.i) OR 2 * coalesce(sum(n) FILTER (NOT z.always), 0) >= sum(n) AS bare FROM f LEFT JOIN z USING (doc_id, i) GROUP BY f.doc_id),
 o AS (SELECT r.doc_id, count(*) AS n_lines, count(*) FILTER (z.i IS NOT NULL AND (z.always OR NOT coalesce(a.bare, FALSE))) AS n_dropped,
         string_agg(r.line, chr(10) ORDER BY r.i) FILTER (z.i IS NULL OR NOT (z.always OR NOT coalesce(a.bare, FALSE))) AS kept
       FROM r LEFT JOIN z USING (doc_id, i) LEFT JOIN a USING (doc_id) GROUP BY r.doc_id)

@@ -226,11 +226,13 @@ def test_long_lines_and_short_lines_recur_by_their_length(spark):
     middle = " ".join(passage.split()[:30])
     numbers = lambda d: " ".join(f"{d}{i}" for i in range(60))
     docs = [(d, f"alone {chr(97 + d % 26) * (1 + d // 26)}\nAdvertisement\n}}\n17\n\n{numbers(d)}") for d in range(60)]
-    docs += [(100, passage), (101, f"so\n{passage}"), (102, middle), (103, middle), (104, "Read more"), (105, "Read more")]
-    docs += [(d, f"{middle} end\nown{'z' * d}") for d in range(110, 116)] + [(120, passage)]
+    own = lambda d: f"own{'z' * (d - 99)} " * 80
+    docs += [(100, passage), (101, f"{own(101)}\n{passage}"), (102, middle), (103, middle), (104, "Read more"), (105, "Read more"), (106, f"{passage}\nso")]
+    docs += [(d, f"{middle} end\n{own(d)}") for d in range(110, 116)] + [(120, passage)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[100] == passage and got[101] == "so" and got[102] == got[103] == middle and got[105] == "Read more"
-    assert got[110].startswith(middle) and all(got[d] == f"own{'z' * d}" for d in range(111, 116)) and got[120] == passage
+    assert got[100] == passage and got[101] == own(101) and got[102] == got[103] == middle and got[105] == "Read more"
+    assert got[106] == f"{passage}\nso"  # half of it is a copy, which is for the join of documents
+    assert got[110].startswith(middle) and all(got[d] == own(d) for d in range(111, 116)) and got[120] == passage
     assert "Advertisement" in got[0] and all("Advertisement" not in got[d] and "\n}\n17\n" in got[d] and "alone" in got[d] for d in range(1, 60))
     assert [line_dedup.exact_docs(n) for n in (3, 10, 15, 49, 50, 900)] == [10, 10, 9, 3, 2, 2]
 
