@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A document is taken this often at most.
 MAX_COPIES = 3
 #: Rows that one bucket rounds.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
