@@ -43,8 +43,6 @@ _NUMBER = r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{3}-\d{2}-\d{4}\b|\b\d{9,19}\b"
 _NAME = rf"\b(?:{_TITLES})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
 #: All entities; where two could begin at one place, the earlier alternative wins.
 PATTERN = "|".join([_EMAIL, _SECRET, _AWS, _IPV4, _PHONE, _IBAN, _NUMBER, _NAME])
-#: Texts without this have no entity: every alternative of PATTERN has one of these in it.
-_MAYBE = rf"\d\d|\d\.\d|AKIA|ASIA|@|=|:|\b(?:{_TITLES})\b"
 #: What is drawn grows by a letter or syllable each so many attempts.
 _GROW = 8
 
@@ -56,6 +54,12 @@ _SYLLABLES = {
 _ENDINGS = {"latin": ("n", "a", "s"), "cyrillic": ("н", "на", "с"), "greek": ("ς", "α", "ν")}
 
 
+def maybe(text: Column) -> Column:
+    """False only for texts without an entity: every alternative of PATTERN has one of these in it, the cheap ones first."""
+    signs = [text.contains(x) for x in ("@", "=", ":", "AKIA", "ASIA")]
+    return reduce(lambda x, y: x | y, [*signs, text.rlike(r"\d[\d.]"), text.rlike(rf"\b(?:{_TITLES})\b")])
+
+
 def kind(e: Column) -> Column:
     """email, secret, ipv4, phone, iban, number or name."""
     full = lambda p: e.rlike(f"^(?:{p})$")
@@ -284,7 +288,7 @@ def with_entities(docs: DataFrame, pattern: str, entities: str) -> DataFrame:
     The second is empty for a null text.
     """
     text, none = F.col("text"), F.array().cast("array<string>")
-    docs = docs.withColumn(entities, F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
+    docs = docs.withColumn(entities, F.when(maybe(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
     names = F.when(F.exists(entities, lambda e: kind(e) == "name"), _again(F.col(entities)))
     docs = docs.withColumn(pattern, F.coalesce(F.concat(F.lit(PATTERN + "|"), names), F.lit(PATTERN)))
     return docs.withColumn(entities, F.when(F.col(pattern) != PATTERN, F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(F.col(entities)))
@@ -323,7 +327,8 @@ def replace_entities(docs: DataFrame, key: str, letters: int = 10) -> DataFrame:
     docs = docs.drop("n_entities")
     own = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of docs
     pattern, entities, redraw = f"{own}p", f"{own}e", f"{own}r"
-    found = with_entities(docs, pattern, entities)
+    # Written once: the patterns are the dear part, and a filter on their result would run them again and again.
+    found = checkpointed(with_entities(docs, pattern, entities))
     redrawn = clashes(found.select(F.col(entities).alias("entities")).where("size(entities) > 0"), key, letters)
     table = None
     if redrawn is not None:
