@@ -66,35 +66,37 @@ def kind(e: Column) -> Column:
     return F.when(full(_EMAIL), "email").when(full(_SECRET) | full(_AWS), "secret").when(full(_IPV4), "ipv4").when(full(_PHONE), "phone").when(full(_IBAN), "iban").when(full(_NUMBER), "number").otherwise("name")
 
 
-def _secret_value(e: Column) -> Column:
-    return F.regexp_extract(e, r"([A-Za-z0-9+/_.~-]{8,})$", 1)
-
-
-def _title(name: Column) -> Column:
-    """The title of a name with what follows it up to the name, or nothing."""
-    return F.regexp_extract(name, rf"^((?:{_TITLES})\b\.? )?", 1)
-
-
-def _bare(name: Column) -> Column:
-    return F.substring(name, F.length(_title(name)) + 1, F.length(name))
+def described(entities: Column) -> Column:
+    """Of each entity e a struct (e, kind, title, bare, gender): the title of a name with what follows it up to the name, the
+    rest, and 0 for a title of men, 1 for one of women, else 2.  Each is worked out once, and all else reads it."""
+    titled = F.transform(entities, lambda e: F.struct(e.alias("e"), kind(e).alias("kind"), F.regexp_extract(e, rf"^((?:{_TITLES})\b\.? )?", 1).alias("title")))
+    word = lambda x: F.regexp_replace(x["title"], r"\.? $", "")
+    of = lambda titles: titles + [t.upper() for t in titles]
+    return F.transform(
+        titled,
+        lambda x: F.struct(
+            x["e"].alias("e"),
+            x["kind"].alias("kind"),
+            x["title"].alias("title"),
+            F.substring(x["e"], F.length(x["title"]) + 1, F.length(x["e"])).alias("bare"),
+            F.when(word(x).isin(of(_MALE)), 0).when(word(x).isin(of(_FEMALE)), 1).otherwise(2).alias("gender"),
+        ),
+    )
 
 
-def _gender(name: Column) -> Column:
-    """0 for a title of men, 1 for one of women, else 2."""
-    word = F.regexp_replace(_title(name), r"\.? $", "")
-    of = lambda titles: word.isin(titles + [t.upper() for t in titles])
-    return F.when(of(_MALE), 0).when(of(_FEMALE), 1).otherwise(2)
+def _secret_value(e: Column) -> Column:
+    return F.regexp_extract(e, r"([A-Za-z0-9+/_.~-]{8,})$", 1)
 
 
-def units(e: Column) -> Column:
-    """What is drawn for an entity: an array of (what, unit), each of which has one surrogate everywhere."""
-    k, words = kind(e), F.split(F.lower(_bare(e)), " ")
+def units(x: Column) -> Column:
+    """What is drawn for a described entity: an array of (what, unit), each of which has one surrogate everywhere."""
+    e, words = x["e"], F.split(F.lower(x["bare"]), " ")
     unit = lambda what, u: F.struct(F.lit(what).alias("what"), u.alias("unit"))
     names = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise("given").alias("what"), w.alias("unit")))
     return (
-        F.when(k == "email", F.array(unit("domain", F.lower(F.substring_index(e, "@", -1))), unit("email", F.lower(e))))
-        .when(k == "secret", F.array(unit("secret", _secret_value(e))))
-        .when(k == "name", names)
+        F.when(x["kind"] == "email", F.array(unit("domain", F.lower(F.substring_index(e, "@", -1))), unit("email", F.lower(e))))
+        .when(x["kind"] == "secret", F.array(unit("secret", _secret_value(e))))
+        .when(x["kind"] == "name", names)
         .otherwise(F.array().cast("array<struct<what:string,unit:string>>"))
     )
 
@@ -181,14 +183,21 @@ def _drawn(chars: Column, draw: Column) -> Column:
     return F.array_join(F.transform(F.split(chars, ""), one), "")
 
 
-def _letters(draw: Column, n: Column, alphabet: list[str]) -> Column:
-    """`n` letters or syllables of `alphabet`, drawn from the hex string `draw` (60 at most are independent)."""
-    table = F.array(*map(F.lit, alphabet))
+def _letters(draw: Column, n: Column | int, alphabet: Column, size: int) -> Column:
+    """`n` of the `size` letters or syllables of `alphabet`, drawn from the hex string `draw` (20 at most are independent)."""
     at = lambda i: F.conv(F.substring(draw, 3 * F.pmod(i, F.lit(20)) + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 20).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(table, F.pmod(at(i), F.lit(len(alphabet))) + 1)), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n) if isinstance(n, int) else n), lambda i: F.element_at(alphabet, F.pmod(at(i), F.lit(size)) + 1)), "")
+
+
+def _array(values) -> Column:
+    return F.array(*map(F.lit, values))
+
 
+def _by_script(word: Column, of: dict[str, Column]) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), of["cyrillic"]).when(word.rlike(r"\p{IsGreek}"), of["greek"]).otherwise(of["latin"])
 
-_ALPHABET = list("abcdefghijklmnopqrstuvwxyz")
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _secret(c: Column, key: str, attempt: Column) -> Column:
@@ -198,21 +207,19 @@ def _secret(c: Column, key: str, attempt: Column) -> Column:
     return F.when(c.rlike("^[0-9a-f]+$"), same_hex).when(c.rlike(f"^{_AWS}$"), F.concat(F.substring(c, 1, 4), _drawn(F.substring(c, 5, 16), draw))).otherwise(_drawn(c, draw))
 
 
-def drawn_unit(what: Column, unit: Column, key: str, attempt: Column, letters: int = 10) -> Column:
-    """The surrogate of a unit; `letters` is the size of what is drawn.  Names are without case and ending, e-mail
-    addresses with their own domain."""
-    draw = _hash(key, what, attempt, unit)
-    more = F.floor(attempt / _GROW).cast("int")
-    local = F.concat(_drawn(F.substring_index(unit, "@", 1), draw), F.when(more > 0, _letters(_hash(key, "more", attempt, unit), more, _ALPHABET)).otherwise(""))
-    name = lambda script: _letters(draw, max(1, letters // 2) + more, _SYLLABLES[script])
-    return (
-        F.when(what == "email", F.concat(local, F.lit("@"), F.substring_index(unit, "@", -1)))
-        .when(what == "domain", F.concat(_letters(draw, letters + more, _ALPHABET), F.lit("."), F.substring_index(unit, ".", -1)))
-        .when(what == "secret", _secret(unit, key, attempt))
-        .when(unit.rlike(r"\p{IsCyrillic}"), name("cyrillic"))
-        .when(unit.rlike(r"\p{IsGreek}"), name("greek"))
-        .otherwise(name("latin"))
-    )
+def drawn_unit(what: str, unit: Column, key: str, attempt: Column, letters: int = 10) -> Column:
+    """The surrogate of a unit: an email (with its own domain), domain, secret or name (without case and ending);
+    `letters` is the size of what is drawn."""
+    if what == "secret":
+        return _secret(unit, key, attempt)
+    # A given name and a surname that are spelled alike are drawn alike.
+    draw, more = _hash(key, what, attempt, unit), F.floor(attempt / _GROW).cast("int")
+    if what == "name":
+        return _letters(draw, max(1, letters // 2) + more, _by_script(unit, {k: _array(v) for k, v in _SYLLABLES.items()}), 32)
+    if what == "domain":
+        return F.concat(_letters(draw, letters + more, _array(_ALPHABET), 26), F.lit("."), F.substring_index(unit, ".", -1))
+    longer = F.when(more > 0, _letters(_hash(key, "more", attempt, unit), more, _array(_ALPHABET), 26)).otherwise("")
+    return F.concat(_drawn(F.substring_index(unit, "@", 1), draw), longer, F.lit("@"), F.substring_index(unit, "@", -1))
 
 
 def _iban_check(e: Column) -> Column:
@@ -236,75 +243,76 @@ def _iban(e: Column, key: str) -> Column:
     return F.concat(F.substring(e, 1, 2), F.when(old.between(2, 98), F.lpad(check.cast("string"), 2, "0")).otherwise(F.substring(e, 3, 2)), new)
 
 
-def surrogate(e: Column, key: str, all_of: Column, redrawn: Column | None = None, letters: int = 10) -> Column:
-    """The surrogate of one mention; `all_of` has the entities of its text, `redrawn` maps what + unit to the attempt it needs.
+def surrogate(x: Column, key: str, all_of: Column, redrawn: Column | None = None, letters: int = 10) -> Column:
+    """The surrogate of one described mention; `all_of` has those of its text, `redrawn` maps what + unit to the attempt it needs.
 
     A title that tells no gender takes that of another mention of the same name in the text.
     """
-    k = kind(e)
+    e = x["e"]
 
-    def unit(what: Column | str, u: Column) -> Column:
+    def unit(drawn: str, what: Column | str, u: Column) -> Column:
         what = F.lit(what) if isinstance(what, str) else what
         attempt = F.lit(0) if redrawn is None else F.coalesce(F.try_element_at(redrawn, F.concat_ws("\x1f", what, u)), F.lit(0))
-        return drawn_unit(what, u, key, attempt, letters)
+        return drawn_unit(drawn, u, key, attempt, letters)
 
-    lower, value, bare = F.lower(e), _secret_value(e), _bare(e)
-    email = F.concat(F.substring_index(unit("email", lower), "@", 1), F.lit("@"), unit("domain", F.substring_index(lower, "@", -1)))
-    others = F.filter(all_of, lambda x: (kind(x) == "name") & (_gender(x) < 2) & (_bare(x) == bare))
-    gender = F.when(_gender(e) < 2, _gender(e)).otherwise(F.coalesce(_gender(F.try_element_at(others, F.lit(1))), F.lit(2)))
-    words = F.split(bare, " ")
+    lower, value = F.lower(e), _secret_value(e)
+    email = F.concat(F.substring_index(unit("email", "email", lower), "@", 1), F.lit("@"), unit("domain", "domain", F.substring_index(lower, "@", -1)))
+    others = F.filter(all_of, lambda y: (y["kind"] == "name") & (y["gender"] < 2) & (y["bare"] == x["bare"]))
+    gender = F.when(x["gender"] < 2, x["gender"]).otherwise(F.coalesce(F.try_element_at(others, F.lit(1))["gender"], F.lit(2)))
+    words = F.split(x["bare"], " ")
+    endings = {k: F.element_at(_array(v), gender + 1) for k, v in _ENDINGS.items()}
 
     def word(w: Column, i: Column) -> Column:
         last = i == F.size(words) - 1
-        ending = lambda script: F.element_at(F.array(*map(F.lit, _ENDINGS[script])), gender + 1)
-        end = F.when(last, "").when(w.rlike(r"\p{IsCyrillic}"), ending("cyrillic")).when(w.rlike(r"\p{IsGreek}"), ending("greek")).otherwise(ending("latin"))
-        made = F.concat(unit(F.when(last, "surname").otherwise("given"), F.lower(w)), end)
+        made = F.concat(unit("name", F.when(last, "surname").otherwise("given"), F.lower(w)), F.when(last, "").otherwise(_by_script(w, endings)))
         return F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(made)).otherwise(F.initcap(made))
 
-    name = F.concat(_title(e), F.array_join(F.transform(words, word), " "))
     return (
-        F.when(k == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), unit("secret", value)))
-        .when(k == "email", email)
-        .when(k == "name", name)
-        .when(k == "ipv4", _ipv4(e, key))
-        .when(k == "phone", _phone(e, key))
-        .when(k == "iban", _iban(e, key))
+        F.when(x["kind"] == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), unit("secret", "secret", value)))
+        .when(x["kind"] == "email", email)
+        .when(x["kind"] == "name", F.concat(x["title"], F.array_join(F.transform(words, word), " ")))
+        .when(x["kind"] == "ipv4", _ipv4(e, key))
+        .when(x["kind"] == "phone", _phone(e, key))
+        .when(x["kind"] == "iban", _iban(e, key))
         .otherwise(_numbers(e, key))
     )
 
 
 def _again(found: Column) -> Column:
-    """A pattern of the names that have a title in the entities `found`: whole, and the surname if it isn't short; null without any."""
-    names = F.transform(F.filter(found, lambda e: (kind(e) == "name") & (F.length(_title(e)) > 0)), _bare)
+    """A pattern of the names that have a title among the described entities: whole, and the surname if it isn't short; null without any."""
+    names = F.transform(F.filter(found, lambda x: (x["kind"] == "name") & (F.length(x["title"]) > 0)), lambda x: x["bare"])
     whole = F.filter(names, lambda n: F.contains(n, F.lit(" ")))
     last = F.filter(F.transform(names, lambda n: F.substring_index(n, " ", -1)), lambda n: F.length(n) >= 3)
-    both = F.concat(F.array_distinct(whole), F.array_distinct(last))
-    return F.when(F.size(both) > 0, F.concat(F.lit(r"\b(?:"), F.array_join(both, "|"), F.lit(r")\b")))
+    return F.array_join(F.concat(F.array_distinct(whole), F.array_distinct(last)), "|")
 
 
 def with_entities(docs: DataFrame, pattern: str, entities: str) -> DataFrame:
-    """`docs` with the columns `pattern`, which finds all entities of its text, and `entities`, all of them in order.
+    """`docs` with the columns `pattern`, which finds all entities of its text, and `entities`, all of them in order, described.
 
     The second is empty for a null text.
     """
     text, none = F.col("text"), F.array().cast("array<string>")
     docs = docs.withColumn(entities, F.when(maybe(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
-    names = F.when(F.exists(entities, lambda e: kind(e) == "name"), _again(F.col(entities)))
-    docs = docs.withColumn(pattern, F.coalesce(F.concat(F.lit(PATTERN + "|"), names), F.lit(PATTERN)))
-    return docs.withColumn(entities, F.when(F.col(pattern) != PATTERN, F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(F.col(entities)))
+    docs = docs.withColumn(entities, described(F.col(entities)))
+    docs = docs.withColumn(pattern, _again(F.col(entities)))
+    more = F.concat(F.lit(PATTERN + r"|\b(?:"), F.col(pattern), F.lit(r")\b"))
+    docs = docs.withColumn(pattern, F.when(F.col(pattern) != "", more).otherwise(F.lit(PATTERN)))
+    return docs.withColumn(entities, F.when(F.col(pattern) != PATTERN, described(F.regexp_extract_all(text, F.col(pattern), F.lit(0)))).otherwise(F.col(entities)))
 
 
 def clashes(found: DataFrame, key: str, letters: int = 10) -> DataFrame | None:
     """(what, unit, attempt) of the units that need another attempt than the first; None if none do.
 
-    `found` has a column `entities` of arrays.  Distinct units with one surrogate are told apart:
+    `found` has a column `entities` of described ones.  Distinct units with one surrogate are told apart:
     the smallest keeps it, the others draw again, until all surrogates of a kind differ.
     """
-    e = found.select(F.explode("entities").alias("e")).select(F.explode(units(F.col("e"))).alias("u"))
+    e = found.select(F.explode("entities").alias("x")).select(F.explode(units(F.col("x"))).alias("u"))
     all_of = e.select("u.what", "u.unit").distinct().withColumn("attempt", F.lit(0))
+    one = lambda kind: drawn_unit(kind, F.col("unit"), key, F.col("attempt"), letters)
+    made = F.when(F.col("what") == "email", one("email")).when(F.col("what") == "domain", one("domain")).when(F.col("what") == "secret", one("secret")).otherwise(one("name"))
     redrawn = None
     while True:
-        drawn = all_of.withColumn("surrogate", drawn_unit(F.col("what"), F.col("unit"), key, F.col("attempt"), letters))
+        drawn = all_of.withColumn("surrogate", made)
         same = drawn.groupBy("what", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
         again = checkpointed(same.select("what", "surrogate"))
         if not again.limit(1).count():
@@ -332,12 +340,12 @@ def replace_entities(docs: DataFrame, key: str, letters: int = 10) -> DataFrame:
     redrawn = clashes(found.select(F.col(entities).alias("entities")).where("size(entities) > 0"), key, letters)
     table = None
     if redrawn is not None:
-        mentions = found.select(F.sha2("text", 256).alias(redraw), F.explode(entities).alias("e")).select(redraw, F.explode(units(F.col("e"))).alias("u")).select(redraw, "u.what", "u.unit").distinct()
+        mentions = found.select(F.sha2("text", 256).alias(redraw), F.explode(entities).alias("x")).select(redraw, F.explode(units(F.col("x"))).alias("u")).select(redraw, "u.what", "u.unit").distinct()
         entry = F.struct(F.concat_ws("\x1f", "what", "unit"), "attempt")
         by_text = mentions.join(redrawn, ["what", "unit"]).groupBy(F.col(redraw).alias(f"{redraw}k")).agg(F.map_from_entries(F.collect_set(entry)).alias(redraw))
         found = found.join(by_text, F.sha2("text", 256) == F.col(f"{redraw}k"), "left").drop(f"{redraw}k")
         table = F.coalesce(redraw, F.create_map().cast("map<string,int>"))
-    new = F.transform(entities, lambda e: surrogate(e, key, F.col(entities), table, letters))
+    new = F.transform(entities, lambda x: surrogate(x, key, F.col(entities), table, letters))
     pieces = F.split("text", F.col(pattern), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     n = F.size(entities).cast("long")
