@@ -71,13 +71,15 @@ def compare_models(df: DataFrame, y: str, models: dict[str, str], dataset: str =
     The first of `models` is the one that the others are compared with; each other gives two rows.
     """
     (base, base_col), *others = models.items()
-    parts = []
+    reports = []
     for name, c in others:
         ok = both_finite(F.col(y), F.col(c)) & is_finite(F.col(base_col))
         for label, col in ((name, c), (f"{base} on {name}", base_col)):
-            got = df.where(ok).groupBy(F.col(dataset).alias("dataset")).agg(*[error_columns(F.col(y), F.col(col))[k].alias(k) for k in ("mae", "rmse", "n")])
-            parts.append(got.withColumn("model", F.lit(label)))
-    return reduce(DataFrame.unionByName, parts).select("model", "dataset", "mae", "rmse", "n")
+            e = error_columns(F.when(ok, F.col(y)), F.col(col))
+            reports.append(F.struct(F.lit(label).alias("model"), *[e[k].alias(k) for k in ("mae", "rmse", "n")]))
+    # One scan and one aggregation for all of them.
+    got = df.groupBy(F.col(dataset).alias("dataset")).agg(F.array(*reports).alias("_r")).select("dataset", F.explode("_r").alias("_r"))
+    return got.select("_r.model", "dataset", "_r.mae", "_r.rmse", "_r.n").where("n > 0")
 
 
 def horizon_metrics(long: DataFrame, by: list[str], splits: tuple[str, ...] = ("val", "test")) -> DataFrame:

@@ -44,13 +44,17 @@ def audit_job(spark: SparkSession, source: str, out: str, keys: list[str] | None
     tables.write_report_csv(audit.daily_overall(daily, keys).orderBy(*keys, "date"), f"{out}/daily_overall")
 
 
-def accuracy_job(spark: SparkSession, source: str, out: str, format: str = "parquet") -> None:
+def accuracy_job(spark: SparkSession, source: str, out: str, format: str = "parquet", recent_days: int = 30) -> None:
+    """The errors of every pair of headers, and, where there is a time column, the pairs of each one's last days."""
     df = tables.read_table(spark, source, format)
-    pairs = schema.pairs_of(df.columns)
-    numbers = df.select(*[clean.to_number(F.col(f"`{c}`")).alias(c) for p in pairs.values() for c in p])
+    pairs, ts = schema.pairs_of(df.columns), schema.resolve_time_column(df.columns)
+    time = [F.col(f"`{ts}`").try_cast("timestamp_ntz").alias("ts")] if ts else []
+    numbers = df.select(*time, *[clean.to_number(F.col(f"`{c}`")).alias(c) for p in pairs.values() for c in p])
     headers = spark.createDataFrame([(v, a, f) for v, (a, f) in pairs.items()], "variable string, actual_col string, forecast_col string")
     report = metrics.pair_report(metrics.pairs_long(numbers, [], pairs), ["variable"]).join(F.broadcast(headers), "variable")  # a row a pair of headers
     tables.write_report_csv(report, f"{out}/accuracy")
+    if ts:
+        tables.write_parquet(metrics.recent_overlap(metrics.pairs_long(numbers, ["ts"], pairs), ["variable"], "ts", recent_days), f"{out}/recent", ["variable"])
 
 
 def _fields(raw: DataFrame, workload: str, keys: list[str]) -> tuple[DataFrame, dict[str, str]]:

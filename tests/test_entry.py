@@ -133,7 +133,8 @@ def test_day_ahead_and_forecast_jobs_on_headers(spark, source, tmp_path):
     bare.write.parquet(str(tmp_path / "bare"))
     jobs.forecast_job(spark, str(tmp_path / "bare"), str(tmp_path / "fc"), ["site"])
     assert csv(spark, str(tmp_path / "fc/summary")).count() == 2 * 2 * 3
-    jobs.accuracy_job(spark, source, str(tmp_path / "acc"))
+    jobs.accuracy_job(spark, source, str(tmp_path / "acc"), recent_days=2)
+    assert spark.read.parquet(str(tmp_path / "acc/recent")).count() == 2 * (2 * 96 + 1)
     got = csv(spark, str(tmp_path / "acc/accuracy")).collect()
     assert [(r["variable"], r["actual_col"], r["forecast_col"]) for r in got] == [("系统负荷", "系统负荷实际值", "系统负荷预测值")]
 
