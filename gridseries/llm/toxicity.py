@@ -5,7 +5,7 @@ have far more often than others.  A Levenshtein automaton of each text word is r
 the lexicon's words and of those behind its stems, so that misspelled ones match too: within one edit,
 or two for long words, a swap of neighbours being one edit.  A window around each match tells quotation
 (quote marks, words of reporting) from abuse (words of address); a logistic regression weighs direct,
-misspelled and quoted matches.
+misspelled and quoted matches, and those that come together.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def _known(lexicon: Lexicon, sample: list[tuple[bytes, int]], toxic: int) -> set
     return {w for w, n in near[0].items() if n >= KNOWN_TEXTS and (near[1][w] + 0.5) / (toxic + 1) < WEAK_LIFT * (n + 0.5) / (clean + 1)}
 
 
-DIRECT, MISSPELLED, QUOTED, WEAK, SIZE = range(5)
+DIRECT, MISSPELLED, QUOTED, WEAK, SEVERAL, SIZE = range(6)
 
 
 @dataclass
@@ -228,8 +228,8 @@ class Matcher:
         return k
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """For each text: direct, misspelled, quoted and weak matches (3 at most), and words on a log scale."""
-        out = np.zeros((len(texts), 5))
+        """For each text: direct, misspelled, quoted and weak matches (3 at most), whether a direct one has company, and words on a log scale."""
+        out = np.zeros((len(texts), 6))
         for d, t in enumerate(texts):
             text = lowered(t)
             words = _WORD.findall(text)
@@ -240,7 +240,8 @@ class Matcher:
             spans = [m.span() for m in _WORD.finditer(text)]
             for i, k in hits:
                 out[d, QUOTED if k != WEAK and self._quoted(text, words, spans, i) else k] += 1
-        out[:, :SIZE] = np.minimum(out[:, :SIZE], 3)
+        out[:, SEVERAL] = (out[:, DIRECT] > 0) & (out[:, DIRECT] + out[:, MISSPELLED] > 1)
+        out[:, :SEVERAL] = np.minimum(out[:, :SEVERAL], 3)
         return out
 
     @staticmethod
@@ -261,8 +262,10 @@ class Model:
     bias: float
 
 
+#: A toxic text that is missed counts as many times a clean one that is marked.
+MISS_COST = 2.0
 #: What the weights are drawn to where the sample says nothing: misspelled matches count, quoted ones little.
-PRIOR = np.array([2.0, 1.0, 0.3, 0.3, 0.0])
+PRIOR = np.array([2.0, 1.0, 0.3, 0.3, 1.0, 0.0])
 
 
 def fit(sample: list[tuple[bytes, int]], steps: int = 100) -> Model:
@@ -274,17 +277,19 @@ def fit(sample: list[tuple[bytes, int]], steps: int = 100) -> Model:
     matcher = Matcher(lexicon)
     x = np.vstack([matcher.features([t for t, _ in sample[at : at + 200]]) for at in range(0, len(sample), 200)])
     x = np.hstack([x, np.ones((len(x), 1))])
-    prior, strength = np.append(PRIOR, 0.0), np.array([1.0, 4.0, 4.0, 1.0, 1.0, 1e-3])
+    prior, strength = np.append(PRIOR, 0.0), np.array([1.0, 4.0, 4.0, 1.0, 1.0, 1.0, 1e-3])
+
+    cost = np.where(y == 1, MISS_COST, 1.0)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (strength * (w - prior) ** 2).sum())
+        return float((cost * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (strength * (w - prior) ** 2).sum())
 
     w = prior.copy()
     for _ in range(steps):  # damped Newton steps of the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(strength)
-        step = np.linalg.solve(h, x.T @ (p - y) + strength * (w - prior))
+        h = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(strength)
+        step = np.linalg.solve(h, x.T @ (cost * (p - y)) + strength * (w - prior))
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2

@@ -50,7 +50,7 @@ def main(sf_dir):
     marked = sum(r["predicted"] for r in rows if not r["toxic"])
     print(f"op6: recall {sum(r['predicted'] for r in toxic)} of {len(toxic)} ({sum(r['predicted'] for r in toxic) / max(1, len(toxic)):.3f}), {marked} of {len(rows) - len(toxic)} clean ones marked, AUC {auc([(r['score'], r['toxic']) for r in rows]):.4f}")
 
-    lines, dropped, some = queries["op7_line_dedup"](spark, sf_dir).agg(F.sum("n_lines"), F.sum("n_dropped"), F.count_if("n_dropped > 0")).first()
+    lines, dropped, some = queries["op7_line_dedup"](spark, sf_dir).agg(F.sum("n_lines"), F.sum("n_dropped"), F.count_if(F.col("n_dropped") > 0)).first()
     print(f"op7: {dropped} of {lines} lines dropped, from {some} documents")
 
     words, removed = queries["op2_substring_dedup"](spark, sf_dir).agg(F.sum("n_words"), F.sum("n_removed")).first()

@@ -297,7 +297,7 @@ def test_misspelled_beginnings_swaps_and_scripts():
     assert kinds("xdiots", "diiot", "udiotic", "mosntrostiy", "nonstrosity", "дуарк") == [toxicity.MISSPELLED] * 6
     assert kinds("ideal", "idyll", "number7") == [None] * 3
     x = m.features(["“ДУРАК” „Xdiots“ \u2014idiot\u2014 gu".encode()])
-    assert x[0, : toxicity.SIZE].tolist() == [3, 1, 0, 0]
+    assert x[0, : toxicity.SEVERAL].tolist() == [3, 1, 0, 0]
 
 
 def test_automaton_with_swaps_and_limits():
