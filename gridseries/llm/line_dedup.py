@@ -90,7 +90,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, key, leaf, needed = [], [], [], []
         for hashes, least in ((lines.template, None), (lines.whole, lines.needed), (lines.short, np.full(len(lines.n), SHORT_DOCS))):
             has = np.flatnonzero(hashes)
-            has = has[np.unique(np.stack([lines.doc[has], hashes[has]]), axis=1, return_index=True)[1]] if len(has) else has
+            has = has[np.lexsort((hashes[has], lines.doc[has]))]
+            has = has[np.concatenate([[True], (np.diff(lines.doc[has]) != 0) | (np.diff(hashes[has]) != 0)])[: len(has)]]
             doc.append(lines.doc[has])
             key.append(hashes[has])
             leaf.append(pa.array(lines.leaf[has], pa.int64()) if least is None else pa.nulls(len(has), pa.int64()))
