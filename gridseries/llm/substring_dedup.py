@@ -8,11 +8,11 @@ factor's boundary are looked up as well.  Factors of at least `window` words, co
 become duplicate spans, and name their source.
 
 To parse every document against every block is quadratic, so a router says which blocks can hold a
-factor: the fingerprints of all windows, dealt to tasks by fingerprint, tell each chunk the first chunk
-that has each of its windows.  Where that is an earlier chunk, or the chunk itself in an earlier
-document, the run of such windows is sent to that chunk as one passage, is parsed there, and its factors
-come back.  A chunk sends equal passages once, and each task of the router its distinct fingerprints as
-one row, so a passage that all documents hold is one row of each chunk.
+factor: the fingerprints of all windows, dealt to tasks by fingerprint, tell each chunk the chunk before it
+that has each of its windows.  A run of windows that earlier documents of the chunk itself have, or else
+one earlier chunk, is sent there as one passage, is parsed there, and its factors come back.  So of the
+copies of a text in a chunk only the first asks another chunk, and of all chunks that hold a window only
+the next one asks about it: no chunk is asked about more than its own windows, however many copies there are.
 
 A fingerprint only routes.  What it routes wrongly fails the comparison of words and stays.
 """
@@ -88,28 +88,26 @@ def _send(blocks: int, window: int):
 
 
 def _route(block: pa.Table) -> pa.Table:
-    """For the keys of each chunk: a bit, does an earlier chunk have it, and of those that do the first such chunk."""
+    """For the keys of each chunk: a bit, does an earlier chunk have it, and of those that do the last such chunk."""
     block = block.sort_by("chunk")
     parts = [unpacked(k) for k in block.column("keys").to_pylist()]
     ends = np.cumsum([len(p) for p in parts])
     keys = np.concatenate(parts)
     of = np.repeat(block.column("chunk").to_numpy(), [len(p) for p in parts]).astype(np.int32)
-    order = np.argsort(keys, kind="stable")  # of equal keys, the first chunk's comes first
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    first = np.empty(len(keys), np.int32)
-    first[order] = of[order][new][np.cumsum(new) - 1]
+    order = np.argsort(keys, kind="stable")  # equal keys are in the order of their chunks
+    before = np.full(len(keys), -1, np.int32)
+    before[order[1:]] = np.where(keys[order][1:] == keys[order][:-1], of[order][:-1], -1)
     bits, sources = [], []
     for p, e in zip(parts, ends):
         here = slice(e - len(p), e)
-        earlier = first[here] < of[here]
+        earlier = before[here] >= 0
         bits.append(np.packbits(earlier).tobytes())
-        sources.append(np.ascontiguousarray(first[here][earlier].view(np.uint8).reshape(-1, 4).T).tobytes())
+        sources.append(np.ascontiguousarray(before[here][earlier].view(np.uint8).reshape(-1, 4).T).tobytes())
     return pa.table({"chunk": block.column("chunk"), "block": block.column("block"), "bits": pa.array(bits, pa.binary()), "sources": pa.array(sources, pa.binary())})
 
 
 def _sources(keys: np.ndarray, answers: pa.Table, blocks: int) -> np.ndarray:
-    """For each of the sorted keys of a chunk the first earlier chunk that has it, or -1."""
+    """For each of the sorted keys of a chunk the last earlier chunk that has it, or -1."""
     out = np.full(len(keys), -1, np.int32)
     at = split(keys, blocks)
     for b, bits, sources in zip(*(answers.column(c).to_pylist() for c in ("block", "bits", "sources"))):
@@ -137,8 +135,7 @@ def _ask(blocks: int, window: int):
         keys, first, which = np.unique(grams, return_index=True, return_inverse=True)
         source = _sources(keys, or_empty(answers, block=pa.int32(), bits=pa.binary(), sources=pa.binary()), blocks)[which]
         ids, doc = _ids(chunk), words.doc[at]
-        here = (source < 0) & (ids[doc[first]][which] < ids[doc])  # rows are in the order of doc_id
-        source[here] = own
+        source[ids[doc[first]][which] < ids[doc]] = own  # rows are in the order of doc_id
         # Runs of consecutive windows that one chunk can tell of.
         new = np.ones(len(at), bool)
         new[1:] = (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
