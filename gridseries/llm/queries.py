@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridseries.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality, substring_dedup, toxicity
+from gridseries.llm import chat, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, mixing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pii_surrogates": pii.op8,
     "op9_chat_format": chat.op9,
     "op10_mix_sources": mixing.op10,
+    "op11_exact_dedup": exact_dedup.op11,
+    "op12_lexical_search": lexical_search.op12,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
