@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridseries.llm import chat, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, mixing, pii, quality, substring_dedup, toxicity
+from gridseries.llm import chat, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, mixing, pii, quality, substring_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10,
     "op11_exact_dedup": exact_dedup.op11,
     "op12_lexical_search": lexical_search.op12,
+    "op13_token_alignment": token_alignment.op13,
 }
 
 ORACLE_SQL = {
