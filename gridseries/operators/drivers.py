@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from gridseries.functions.calendar import target_time_features
 from gridseries.functions.schema import check_methods
 from gridseries.operators import forecast, lookups, metrics, models, windows
-from gridseries.operators.clean import is_finite
-
 TRAINED = ("direct", "lag1d_residual", "pv_day_residual")
 
 
@@ -57,8 +55,7 @@ def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | N
     trained = rows.where(F.col("method").isin(*TRAINED))
     target = F.when(F.col("method") == "direct", F.col("y")).otherwise(F.col("y") - F.col("base"))
     is_open = (F.col("method") != "pv_day_residual") | forecast.daylight_gate(F.col("tgt_time"), F.col("base"), **gate)
-    models.require_usable(models.usable_counts(trained, by, is_open & is_finite(target)))
-    out = models.predict_vectors(rows, models.fit_vectors(trained, by, target, is_open, **ridge), by)
+    out = models.predict_vectors(rows, models.require_fitted(models.fit_vectors(trained, by, target, is_open, **ridge)), by)
     corrected = forecast.recompose(F.col("base"), F.col("r_hat"))
     y_hat = F.when(F.col("method") == "direct", F.col("r_hat")).when(F.col("method") == "lag1d", F.col("base")).when(is_open, corrected).otherwise(F.col("base"))
     return out.withColumn("y_hat", y_hat).drop("r_hat")
@@ -79,8 +76,7 @@ def reserve_forecasts(rows: DataFrame, drivers: DataFrame, keys: list[str], vari
     staged = lookups.stage_one_features(rows, drivers, keys, variables)
     seen = staged.withColumn("x", F.concat("x", models.vector([F.col(f"pred_{v}") for v in variables])))
     residual = F.col("y") - F.col("prior")
-    models.require_usable(models.usable_counts(seen, by, is_finite(residual)))
-    out = models.predict_vectors(seen, models.fit_vectors(seen, by, residual, F.lit(True), **ridge), by)
+    out = models.predict_vectors(seen, models.require_fitted(models.fit_vectors(seen, by, residual, F.lit(True), **ridge)), by)
     return out.withColumn("y_hat", forecast.recompose(F.col("prior"), F.col("r_hat"))).drop("r_hat", *[f"pred_{v}" for v in variables])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridseries.functions import schema
 from gridseries.operators import dayahead, drivers, forecast, index, lookups, metrics, models, scale, windows
 from gridseries.sources import fixtures as fx
+from gridseries.sources.shared import checkpointed
 
 K, T = fx.KEYS, "slot"
 
@@ -88,15 +89,19 @@ def short_vectors(rows):
 
 def staged(s, d):
     """Stage one, each variable by its method."""
-    rows = short_vectors(drivers.rows_of(fx.decisions(s, d), fx.dense15(s, d), K, T, list(METHODS)))
+    return staged_of(fx.Stored(s, d))
+
+
+def staged_of(f):
+    rows = checkpointed(short_vectors(drivers.rows_of(f.index, f.dense, K, T, list(METHODS))))
     return drivers.driver_forecasts(rows, METHODS)
 
 
 def reserves(s, d):
     """Both reserves, on their priors and stage one."""
-    idx, dense = fx.decisions(s, d), fx.dense15(s, d)
-    rows = drivers.with_prior(drivers.rows_of(idx, dense, K, T, ["ru", "rd"]), idx, dense, K, T, ["ru", "rd"])
-    return drivers.reserve_forecasts(rows.withColumn("x", F.array().cast("array<double>")), staged(s, d), K, ["load", "pv", "line"])
+    f = fx.Stored(s, d)
+    rows = drivers.with_prior(drivers.rows_of(f.index, f.dense, K, T, ["ru", "rd"]), f.index, f.dense, K, T, ["ru", "rd"])
+    return drivers.reserve_forecasts(checkpointed(rows.withColumn("x", F.array().cast("array<double>"))), checkpointed(staged_of(f)), K, ["load", "pv", "line"])
 
 
 def ratios(s, d):

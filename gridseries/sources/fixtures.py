@@ -6,7 +6,6 @@ and loads.  All frames grow with the tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import floor_time
 from gridseries.operators import clean, index, lookups
+from gridseries.sources.shared import checkpointed, shared_folder
 from gridseries.sources.tables import read_table
 
 KEYS = ["site"]
@@ -28,10 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that all executors share, for what is written and read back; a temporary one in a local session."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,16 +63,34 @@ def dense15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision index of `wide15`, before the cut-off, split into 5 val and 6 test days."""
-    w = wide15(spark, sf_dir)
+    return _split(wide15(spark, sf_dir))
+
+
+def _split(w: DataFrame) -> DataFrame:
     cut = index.cutoff(w, KEYS, "slot", list(TYPES.values()))
     return index.split_by_day(index.before_cutoff(index.decision_index(w, KEYS, "slot"), cut, KEYS), KEYS, 5, 6)
 
 
 def forecasts(spark: SparkSession, sf_dir: str, c: str = "load") -> DataFrame:
     """(site, t_dec, split, h, tgt_time, y, base) of one variable, base being the value a day before."""
-    d = dense15(spark, sf_dir)
-    rows = lookups.future_values(decisions(spark, sf_dir).select("site", "t_dec", "split"), d, KEYS, "slot", c)
-    return lookups.target_lag(rows, d, KEYS, "slot", c)
+    return _forecasts(decisions(spark, sf_dir), dense15(spark, sf_dir), c)
+
+
+def _forecasts(idx: DataFrame, dense: DataFrame, c: str) -> DataFrame:
+    rows = lookups.future_values(idx.select("site", "t_dec", "split"), dense, KEYS, "slot", c)
+    return lookups.target_lag(rows, dense, KEYS, "slot", c)
+
+
+class Stored:
+    """The frames of the four sites, stored: for queries that use them many times."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.wide = checkpointed(wide15(spark, sf_dir))
+        self.dense = checkpointed(clean.fill_forward(self.wide, KEYS, "slot", COLUMNS))
+        self.index = checkpointed(_split(self.wide))
+
+    def forecasts(self, c: str = "load") -> DataFrame:
+        return _forecasts(self.index, self.dense, c)
 
 
 def price_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +237,63 @@ def test_day_ahead_features_do_not_see_the_day(spark):
     changed = df.withColumn("rt", F.when(late, 0.0).otherwise(F.col("rt"))).withColumn("da", F.when(F.col("slot") >= F.lit(at(192)), -F.col("da")).otherwise(F.col("da")))
     pick = lambda x: [tuple(r) for r in dayahead.feature_table(x, ["k"], "slot").where(F.col("slot") >= F.lit(at(192))).drop("y").orderBy("slot").collect()]
     assert pick(df) == pick(changed)
+
+
+def gram_rows(spark, n, k, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, k)) * np.logspace(-3, 3, k) + 5
+    y = x @ (rng.normal(size=k) / np.logspace(-3, 3, k)) + rng.normal(size=n)
+    split = np.where(np.arange(n) % 5 == 0, "test", "train")
+    group = np.arange(n) % 3
+    rows = [(int(g), s, a.tolist(), float(b)) for g, s, a, b in zip(group, split, x, y)]
+    return spark.createDataFrame(rows, "g int, split string, x array<double>, y double"), (group, split == "train", x, y)
+
+
+def test_relative_ridge_of_many_features_against_numpy(spark):
+    k = 120
+    frame, (group, train, x, y) = gram_rows(spark, 1500, k)
+    got = {r["g"]: r for r in models.fit_vectors(frame.repartition(5), ["g"], F.col("y"), F.lit(True), penalty=0.05, relative=True).collect()}
+    for g in range(3):
+        use = train & (group == g)
+        a = np.hstack([np.ones((use.sum(), 1)), x[use]])
+        reg = 0.05 * np.diag([0, *(use.sum() * x[use].var(axis=0))])
+        want = np.linalg.solve(a.T @ a + reg, a.T @ y[use])
+        assert got[g]["n_train"] == use.sum()
+        np.testing.assert_allclose(a @ got[g]["coefficients"], a @ want, rtol=1e-6)
+
+
+def test_many_batches_and_spills_give_the_sums_of_one(spark):
+    frame, _ = gram_rows(spark, 900, 7)
+    fit = lambda df, **o: {r["g"]: (r["n_train"], r["coefficients"]) for r in models.fit_vectors(df, ["g"], F.col("y"), F.col("y") > -1e9, **o).collect()}
+    want = fit(frame.coalesce(1))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        many = fit(frame.repartition(6), branches=2)
+        spilled = fit(frame.repartition(6), limit=1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for got in (many, spilled):
+        assert got.keys() == want.keys()
+        for g in want:
+            assert got[g][0] == want[g][0]
+            np.testing.assert_allclose(got[g][1], want[g][1], rtol=1e-6)
+
+
+def test_a_task_sends_one_row_a_group():
+    rng = np.random.default_rng(2)
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([1, 2, None, 1]), pa.array([[1.0, 2.0], None, [0.5, 1.0], rng.normal(size=2).tolist()]), pa.array([1.0, None, 2.0, 3.0])], names=["g", "x", "y"])
+    out = list(models._gram(["g"], 1 << 20)(batch() for _ in range(50)))
+    assert len(out) == 1 and sorted(map(str, out[0].column("g").to_pylist())) == ["1", "2", "None"]
+    sums = dict(zip(out[0].column("g").to_pylist(), out[0].column("sums").to_pylist()))
+    assert sums[1][0] == 100 and sums[None][0] == 50 and sums[2] == []
+
+
+def test_a_group_without_training_rows_is_an_error(spark):
+    rows = spark.createDataFrame([("a", "train", [1.0], 1.0), ("a", "train", [2.0], 3.0), ("b", "test", [1.0], 1.0)], "k string, split string, x array<double>, y double")
+    model = models.fit_vectors(rows, ["k"], F.col("y"), F.lit(True))
+    assert {r["k"]: (r["n_train"], r["coefficients"] is None) for r in model.collect()} == {"a": (2, False), "b": (0, True)}
+    with pytest.raises(ValueError, match="1 groups"):
+        models.require_fitted(model)
+    with pytest.raises(ValueError, match="1 groups"):
+        models.require_usable(models.usable_counts(rows, ["k"], F.lit(True)))
