@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 from gridseries.functions.calendar import shift, slot_id, weekend
 from gridseries.operators.clean import finite_or_null, is_finite
 from gridseries.operators.lookups import horizons
+from gridseries.operators.order import quantiles
 
 MIN_PAIRS = 200
 
 
-def median_of(df: DataFrame, by: list[str], c: Column, name: str) -> DataFrame:
-    """(by, name, n): the exact median; values are counted first, so that its buffer holds distinct values."""
-    counted = df.where(c.isNotNull()).groupBy(*by, c.alias("_v")).agg(F.count("*").alias("_f"))
-    return counted.groupBy(*by).agg(F.percentile("_v", 0.5, F.col("_f")).alias(name), F.sum("_f").alias("n"))
+def median_residuals(rows: DataFrame, by: list[str], y: str = "y", base: str = "base", min_pairs: int = MIN_PAIRS, accuracy: int | None = None) -> DataFrame:
+    """(by, correction): the median of y - base over training rows, 0 for fewer than `min_pairs` pairs.
 
-
-def median_residuals(rows: DataFrame, by: list[str], y: str = "y", base: str = "base", min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """(by, correction): the median of y - base over training rows, 0 for fewer than `min_pairs` pairs."""
-    got = median_of(rows.where("split = 'train'"), by, F.col(y) - F.col(base), "_m")
+    The median is exact, or with `accuracy` that of a sketch, see `order.quantiles`.
+    """
+    got = quantiles(rows.where("split = 'train'"), by, F.col(y) - F.col(base), 0.5, "_m", accuracy=accuracy)
     return got.select(*by, F.when(F.col("n") >= min_pairs, F.col("_m")).otherwise(0.0).alias("correction"))
 
 
@@ -75,13 +73,13 @@ def seasonal_prior(weighted: DataFrame, keys: list[str], ts: str, c: str, by_mon
     t = F.col(ts)
     rows = weighted.where(F.col(c).isNotNull()).withColumns({"month": F.month(t), "is_weekend": weekend(t), "slot": slot_id(t)})
     by = [*keys, *(["month"] if by_month else []), "is_weekend", "slot"]
-    counted = rows.groupBy(*by, c).agg(F.sum("times").alias("_f"))
-    value = F.percentile(c, 0.5, F.col("_f")) if statistic == "median" else F.sum(F.col(c) * F.col("_f")) / F.sum("_f")
-    prior = counted.groupBy(*by).agg(value.alias("prior"))
+    if statistic == "median":
+        prior = quantiles(rows, by, F.col(c), 0.5, "prior", F.col("times")).drop("n")
+    else:
+        prior = rows.groupBy(*by).agg((F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias("prior"))
     if not by_month:
         prior = prior.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    overall = rows.groupBy(*keys, c).agg(F.sum("times").alias("_f")).groupBy(*keys).agg(F.percentile(c, 0.5, F.col("_f")).alias("prior"))
-    return prior, overall
+    return prior, quantiles(rows, keys, F.col(c), 0.5, "prior", F.col("times")).drop("n")
 
 
 def use_source_forecast(rows: DataFrame, df: DataFrame, keys: list[str], ts: str, columns: dict[str, str]) -> DataFrame:

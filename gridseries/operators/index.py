@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import STEP_MINUTES, floor_time, shift
 from gridseries.operators.clean import is_finite
+from gridseries.operators.order import quantiles
 
 HORIZON, LOOK_BACK, SLOTS_A_DAY = 24, 192, 96
 EXOGENOUS = ["load", "pv", "line", "ru", "rd"]
@@ -72,12 +73,23 @@ def split_by_day(index: DataFrame, keys: list[str], val_days: int, test_days: in
     return index.join(days, [*keys, "date_tgt_max"])
 
 
-def require_days(index: DataFrame, keys: list[str], days: int) -> None:
-    few = index.groupBy(*keys).agg(F.countDistinct("date_tgt_max").alias("n")).where(F.col("n") < days).count()
+def require_days(index: DataFrame, keys: list[str], days: int, full_days: bool = True) -> None:
+    """An error if a series has fewer than `days` eligible days, which have exactly 96 decision times unless full_days is off."""
+    by_day = index.groupBy(*keys, "date_tgt_max").agg(F.count("*").alias("_n"))
+    eligible = F.count_if(F.col("_n") == SLOTS_A_DAY) if full_days else F.count("*")
+    few = by_day.groupBy(*keys).agg(eligible.alias("n")).where(F.col("n") < days).count()
     if few:
         raise ValueError(f"{few} series have fewer than {days} eligible days")
 
 
+def require_rows(df: DataFrame, keys: list[str], val_days: int, test_days: int) -> None:
+    """An error if a series has no row left to train on when the last val_days and test_days are cut off by rows."""
+    least = (val_days + test_days) * SLOTS_A_DAY
+    few = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= least).count()
+    if few:
+        raise ValueError(f"{few} series have {least} rows or fewer: none is left to train on")
+
+
 def split_by_rows(df: DataFrame, keys: list[str], ts: str, val_days: int, test_days: int) -> DataFrame:
     """`df` with `split` by row counts: the last test_days * 96 rows are test, the val_days * 96 before them val.
 
@@ -98,13 +110,10 @@ def split_ranges(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def high_price_weights(df: DataFrame, keys: list[str], target: str, segment: str, in_segment: int = 2, quantile: float = 0.85, weight: float = 1.5) -> DataFrame:
-    """`df` with `weight`: more for targets at or above the quantile of the training rows of one segment.
-
-    The quantile is exact; values are counted first, so that its buffer holds distinct values.
-    """
-    counted = df.where((F.col("split") == "train") & (F.col(segment) == in_segment)).groupBy(*keys, F.col(target).alias("_y")).agg(F.count("*").alias("_f"))
-    threshold = counted.groupBy(*keys).agg(F.percentile("_y", quantile, F.col("_f")).alias("_thr"))
-    joined = df.join(threshold, keys, "left") if keys else df.crossJoin(threshold)
+    """`df` with `weight`: more for targets at or above the exact quantile of the training rows of one segment."""
+    train = df.where((F.col("split") == "train") & (F.col(segment) == in_segment))
+    threshold = quantiles(train, keys, F.col(target), quantile, "_thr").drop("n")
+    joined = df.join(threshold, keys, "left") if keys else df.join(threshold, F.lit(True), "left")  # without keys one row at most
     high = (F.col(segment) == in_segment) & (F.col(target) >= F.col("_thr"))
     return joined.withColumn("weight", F.when(high, weight).otherwise(1.0)).drop("_thr")
 

@@ -171,11 +171,11 @@ def _solved(sums: np.ndarray, penalty: float, relative: bool) -> tuple[list[floa
     return [float(b[0] / n - means @ slopes), *slopes.tolist()], int(round(n))
 
 
-def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty: float = 1e-3, relative: bool = False, limit: int = 64 << 20, branches: int = 32) -> DataFrame:
+def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty: float = 1e-3, relative: bool = False, limit: int = 64 << 20, branches: int | None = None) -> DataFrame:
     """(by, coefficients, n_train) of rows with the features `x`, an array of one length: ridge with any number of features.
 
     A task adds up the sums of each group over all its batches and sends one row a group; those rows are added up in
-    `branches` parts of each group and then in one place, one array at a time, so memory grows with the
+    `branches` parts of each group (the root of the shuffle partitions) and then in one place, one array at a time, so memory grows with the
     features and not with rows or tasks.  Rows that aren't of training, not `ok` or without a finite target
     don't count; a group of which none does has n_train 0 and no coefficients.  A `relative` penalty is a share
     of each feature's squared deviations, so that features of any scale are held alike.
@@ -185,6 +185,7 @@ def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty:
     counts = (F.col("split") == "train") & ok & is_finite(y)
     use = rows.select(*by, F.when(counts, F.col("x")).alias("x"), y.cast("double").alias("y"))
     sums = use.mapInArrow(_gram(by, limit), f"{keys}, sums array<double>")
+    branches = branches or max(1, round(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     branch = F.pmod(F.spark_partition_id(), F.lit(branches)).alias("_branch")
     sums = sums.groupBy(*by, branch).applyInArrow(_add_sums(by), f"{keys}, sums array<double>")
     return sums.groupBy(*by).applyInArrow(_solve_sums(by, penalty, relative), f"{keys}, coefficients array<double>, n_train long")

@@ -184,7 +184,9 @@ def day_ahead_job(spark: SparkSession, source: str, out: str, keys: list[str] |
     df = _written(prepared(raw, keys, "datetime", list(there)), f"{out}/series")
     exogenous = {v: (f"{v}_fcst", v) for v in ("load", "pv", "line", "ru", "rd") if v in there or f"{v}_fcst" in there}
     table = dayahead.feature_table(df, keys, "slot", exogenous=exogenous)
-    table = _written(index.high_price_weights(index.split_by_rows(table, keys, "slot", val_days, test_days), keys, "y", "segment"), f"{out}/features")
+    table = _written(index.split_by_rows(table, keys, "slot", val_days, test_days), f"{out}/split")
+    index.require_rows(table, keys, val_days, test_days)
+    table = _written(index.high_price_weights(table, keys, "y", "segment"), f"{out}/features")
     names = dayahead.feature_names(table, keys, "slot")
     predictions = models.predict_segments(table, models.fit_segments(table, names, **gbt), names)
     shown = _written(predictions.select(*keys, "slot", "split", "segment", "y", "y_hat"), f"{out}/predictions")

@@ -297,3 +297,26 @@ def test_a_group_without_training_rows_is_an_error(spark):
         models.require_fitted(model)
     with pytest.raises(ValueError, match="1 groups"):
         models.require_usable(models.usable_counts(rows, ["k"], F.lit(True)))
+
+
+def test_only_full_days_are_eligible(spark):
+    rows = [("a", at(i)) for i in range(96 * 3)] + [("b", at(i)) for i in range(96 * 5) if i % 96 > 3]
+    df = spark.createDataFrame(rows, "k string, t_dec timestamp_ntz").withColumn("date_tgt_max", F.to_date("t_dec"))
+    index.require_days(df.where("k = 'a'"), ["k"], 3)
+    with pytest.raises(ValueError, match="1 series have fewer than 3"):
+        index.require_days(df, ["k"], 3)  # b has five days, none of them full
+    index.require_days(df, ["k"], 3, full_days=False)
+
+
+def test_row_split_needs_rows_to_train_on(spark):
+    df = wave(spark, 96 * 2 + 1)
+    index.require_rows(df, ["k"], 1, 1)
+    with pytest.raises(ValueError, match="none is left"):
+        index.require_rows(df.limit(96 * 2), ["k"], 1, 1)
+
+
+def test_weights_without_keys_or_training_rows(spark):
+    rows = spark.createDataFrame([("train", 2, float(i)) for i in range(10)] + [("test", 2, 9.0)], "split string, segment int, y double")
+    got = index.high_price_weights(rows, [], "y", "segment").collect()
+    assert sum(r["weight"] == 1.5 for r in got) == 3
+    assert {r["weight"] for r in index.high_price_weights(rows.where("split = 'test'"), [], "y", "segment").collect()} == {1.0}
