@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseries.functions.calendar import shift, slot_id, weekend
+from gridseries.functions.calendar import STEP_MINUTES, shift, slot_id, weekend
 from gridseries.operators.clean import finite_or_null, is_finite
 from gridseries.operators.lookups import horizons
 from gridseries.operators.order import quantiles
+from gridseries.operators.windows import with_halo
 
 MIN_PAIRS = 200
 
@@ -53,15 +54,20 @@ def gated(tgt_time: Column, base: Column, residual: Column, **gate) -> Column:
     return F.when(daylight_gate(tgt_time, base, **gate), base + residual).otherwise(base)
 
 
-def target_weights(index: DataFrame, df: DataFrame, keys: list[str], ts: str, c: str, horizon: int = 24) -> DataFrame:
+def target_weights(index: DataFrame, df: DataFrame, keys: list[str], ts: str, c: str, horizon: int = 24, days: int | None = None) -> DataFrame:
     """(keys, ts, c, times): how many (t_dec, h) of training decisions have each slot as their target.
 
-    Counting decisions in the horizon before a slot replaces exploding each decision 24 times.
+    Counting decisions in the horizon before a slot replaces exploding each decision 24 times.  With `days`, which
+    needs a continuous grid, long series go in parallel buckets of time.
     """
     train = index.where("split = 'train'").select(*keys, F.col("t_dec").alias(ts), F.lit(1).alias("_d"))
     rows = df.join(train, [*keys, ts], "left")
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-horizon, -1)
-    return rows.select(*keys, ts, c, F.coalesce(F.count("_d").over(w), F.lit(0)).alias("times")).where("times > 0")
+
+    def counted(d: DataFrame, k: list[str]) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy(ts).rowsBetween(-horizon, -1)
+        return d.select(*k, ts, c, F.coalesce(F.count("_d").over(w), F.lit(0)).alias("times"))
+
+    return with_halo(rows, keys, ts, horizon, STEP_MINUTES, counted, days).where("times > 0")
 
 
 def seasonal_prior(weighted: DataFrame, keys: list[str], ts: str, c: str, by_month: bool = True, statistic: str = "median") -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import STEP_MINUTES, floor_time, shift
+from gridseries.operators import scan
 from gridseries.operators.clean import is_finite
 from gridseries.operators.order import quantiles
 
@@ -44,10 +45,9 @@ def require_cutoffs(cutoffs: DataFrame) -> DataFrame:
     return cutoffs
 
 
-def decision_index(df: DataFrame, keys: list[str], ts: str, look_back: int = LOOK_BACK, horizon: int = HORIZON, minutes: int = STEP_MINUTES) -> DataFrame:
-    """(keys, t_dec, tgt_max_time, date_tgt_max): the rows with a full look-back and a full horizon of rows."""
-    w = Window.partitionBy(*keys)
-    placed = df.select(*keys, ts, F.row_number().over(w.orderBy(ts)).alias("_rn"), F.count("*").over(w).alias("_n"))
+def decision_index(df: DataFrame, keys: list[str], ts: str, look_back: int = LOOK_BACK, horizon: int = HORIZON, minutes: int = STEP_MINUTES, days: int | None = None) -> DataFrame:
+    """(keys, t_dec, tgt_max_time, date_tgt_max): the rows with a full look-back and a full horizon of rows; `days` as in `scan`."""
+    placed = scan.row_numbers(df.select(*keys, ts), keys, ts, days)
     got = placed.where((F.col("_rn") >= look_back) & (F.col("_rn") <= F.col("_n") - horizon))
     end = shift(F.col(ts), horizon, minutes)
     return got.select(*keys, F.col(ts).alias("t_dec"), end.alias("tgt_max_time"), F.to_date(end).alias("date_tgt_max"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseries.operators import keyed
 from gridseries.sources.shared import checkpointed
 
 #: Distinct values of a group that one buffer may hold.
@@ -51,22 +52,13 @@ def _direct(counted: DataFrame, by: list[str], q: float, name: str) -> DataFrame
     return got if by else got.where("n is not null")  # without keys an empty table has a row
 
 
-def _join(rows: DataFrame, other: DataFrame, by: list[str], where: Column | None = None, how: str = "inner") -> DataFrame:
-    """`rows` joined on `by`, nulls being equal."""
-    other = other.withColumnsRenamed({k: f"_r_{k}" for k in by})
-    on = where if where is not None else F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return rows.join(other, on, how).drop(*[f"_r_{k}" for k in by])
-
-
 def _shared(state: DataFrame, how_many: int) -> DataFrame:
     return F.broadcast(state) if how_many <= BROADCAST_GROUPS else state
 
 
 def _but(counted: DataFrame, large: DataFrame, by: list[str], how_many: int) -> DataFrame:
     keys = large.select(*by) if by else large.select(F.lit(1))
-    return _join(counted, _shared(keys, how_many), by, how="left_anti")
+    return keyed.join(counted, _shared(keys, how_many), by, how="left_anti")
 
 
 def _refined(counted: DataFrame, large: DataFrame, by: list[str], q: float, name: str, few: int, how_many: int) -> DataFrame:
@@ -78,11 +70,11 @@ def _refined(counted: DataFrame, large: DataFrame, by: list[str], q: float, name
     while True:
         inside = _inside(counted, state, by, how_many)
         pivots = inside.groupBy(*by).agg(F.percentile_approx("_v", [(k + 1) / (PIVOTS + 1) for k in range(PIVOTS)], ACCURACY).alias("_p"))
-        dealt = _inside(counted, _join(state, pivots, by), by, how_many)
+        dealt = _inside(counted, keyed.join(state, pivots, by), by, how_many)
         bucket = F.size(F.filter("_p", lambda p: p <= F.col("_v")))
         counts = dealt.groupBy(*by, bucket.alias("_k")).agg(F.sum("_f").alias("_f"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.col("_below") + F.sum("_f").over(Window.partitionBy(*by).orderBy("_k"))  # a bucket a pivot
-        placed = _join(counts.withColumnRenamed("_d", "_e"), state, by).withColumn("_upto", upto)
+        placed = keyed.join(counts.withColumnRenamed("_d", "_e"), state, by).withColumn("_upto", upto)
         first, last = F.col("_i") < F.col("_upto"), F.col("_j") < F.col("_upto")
         low = F.min_by(F.struct(F.col("_k"), "_lo", "_hi", (F.col("_upto") - F.col("_f")).alias("_before"), "_e"), F.when(first, F.col("_k")))
         high = F.min_by(F.struct(F.col("_k"), "_lo", "_hi"), F.when(last, F.col("_k")))
@@ -108,4 +100,4 @@ def _refined(counted: DataFrame, large: DataFrame, by: list[str], q: float, name
 
 def _inside(counted: DataFrame, state: DataFrame, by: list[str], how_many: int) -> DataFrame:
     """The values in the range of their group's state, with that state."""
-    return _join(counted, _shared(state, how_many), by, (F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))
+    return keyed.join(counted, _shared(state, how_many), by, (F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridseries.operators import scan
 from gridseries.operators.clean import is_finite
 
 WINDOWS = (192, 96, 24, 8)
@@ -49,19 +50,20 @@ def at_decisions(features: DataFrame, index: DataFrame, keys: list[str], ts: str
     return index.join(features.withColumnRenamed(ts, "t_dec"), [*keys, "t_dec"])
 
 
-def with_halo(df: DataFrame, keys: list[str], ts: str, rows_back: int, minutes: int, compute, bucket_days: int = 7) -> DataFrame:
-    """`compute(df, keys + bucket)` for one very long series on a continuous grid, in parallel buckets of time.
+def with_halo(df: DataFrame, keys: list[str], ts: str, rows_back: int, minutes: int, compute, bucket_days: int | None = 7, rows_ahead: int = 0, out_ts: str | None = None) -> DataFrame:
+    """`compute(df, keys + bucket)` for very long series on a continuous grid, in parallel buckets of time.
 
-    Each bucket also gets the last `rows_back` rows before it, as copies that go again afterwards, so
-    backward windows of that length see what they would see unbucketed.
+    Each bucket also gets the last `rows_back` rows before it and the first `rows_ahead` after it, as copies that go
+    again afterwards, so windows of that length see what they would see unbucketed.  `compute` keeps its keys and
+    the time, as `out_ts` if not as `ts`.  With bucket_days None it is `compute(df, keys)`.
     """
-    seconds = bucket_days * 86400
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-    back = rows_back * minutes * 60
-    own = F.floor(epoch / seconds)
-    # A row belongs to its bucket and to each later one whose halo reaches back to it.
-    spread = df.withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence(own, F.floor((epoch + back) / seconds))))
-    return compute(spread, [*keys, "_bucket"]).where("_own = _bucket").drop("_own", "_bucket")
+    if bucket_days is None:
+        return compute(df, keys)
+    moved = lambda rows: scan.bucket(F.timestamp_add("MINUTE", F.lit(rows * minutes), F.col(ts)), bucket_days)
+    # A row belongs to its bucket and to each other one whose halo reaches it.
+    spread = df.withColumn("_own", moved(0)).withColumn(scan.BUCKET, F.explode(F.sequence(moved(-rows_ahead), moved(rows_back))))
+    own = scan.bucket(F.col(out_ts or ts), bucket_days) == F.col(scan.BUCKET)
+    return compute(spread, [*keys, scan.BUCKET]).where(own).drop("_own", scan.BUCKET)
 
 
 def daily_means(df: DataFrame, keys: list[str], ts: str, c: str, days: tuple[int, ...] = (3, 7)) -> DataFrame:
@@ -153,7 +155,6 @@ def normalise_paths(df: DataFrame, c: str) -> DataFrame:
     return out.withColumn(c, F.transform(c, lambda x: (x - F.col("_mean")) / F.col("_std"))).drop("_t", "_mean", "_std")
 
 
-def positions(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """`df` with `position` (from 0) and `rows` of its series."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"position": F.row_number().over(w.orderBy(ts)) - 1, "rows": F.count("*").over(w)})
+def positions(df: DataFrame, keys: list[str], ts: str, days: int | None = None) -> DataFrame:
+    """`df` with `position` (from 0) and `rows` of its series; `days` as in `scan`."""
+    return scan.row_numbers(df, keys, ts, days, "position", "rows").withColumn("position", F.col("position") - 1)

@@ -114,6 +114,27 @@ def strict(s, d):
     return report.select("site", "n_rows", "n_missing", "n_gaps")
 
 
+def by_user_axis(s, d):
+    return audit.time_axis_report(fx.table(s, d, "events").select("user_id", "ts"), ["user_id"], "ts").select("user_id", "n_rows", "n_slots", "n_duplicates", "time_min", "time_max", "n_expected", "n_missing", "n_extra", "n_gaps", F.array_join("missing_head", ",").alias("head"), F.array_join("missing_tail", ",").alias("tail"))
+
+
+def written_times(s, d):
+    """Times of events as texts in many spellings, some of them no time."""
+    e = fx.table(s, d, "events")
+    shapes = ["yyyy/M/d H:mm", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd HH:mm", "yyyyMMddHHmmss", "yyyy'年'M'月'd'日' H:mm", "yyyy'年'M'月'd'日'H'时'm'分'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy.M.d HH:mm", "dd.MM.yyyy HH:mm"]
+    text = F.lit("2024/13/45 99:99")
+    for i, shape in enumerate(shapes):
+        text = F.when(F.col("event_id") % 11 == i, F.date_format("ts", shape)).otherwise(text)
+    return e.select("event_id", F.when(F.col("event_id") % 11 != 10, text).alias("text"))
+
+
+TO_MINUTE = "date_trunc('minute', ts)"
+GAPS = """lg AS (SELECT user_id, slot, lag(slot) OVER (PARTITION BY user_id ORDER BY slot) AS prev FROM (SELECT DISTINCT user_id, slot FROM us)),
+ gp AS (SELECT user_id, prev + INTERVAL 15 MINUTE AS a, slot - INTERVAL 15 MINUTE AS b, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS h, row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) AS t FROM lg WHERE slot - prev > INTERVAL 15 MINUTE),
+ hd AS (SELECT * FROM (SELECT user_id, slot, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS k FROM (SELECT user_id, unnest(generate_series(a, least(b, a + INTERVAL 135 MINUTE), INTERVAL 15 MINUTE)) AS slot FROM gp WHERE h <= 10)) WHERE k <= 10),
+ tl AS (SELECT * FROM (SELECT user_id, slot, row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) AS k FROM (SELECT user_id, unnest(generate_series(greatest(a, b - INTERVAL 135 MINUTE), b, INTERVAL 15 MINUTE)) AS slot FROM gp WHERE t <= 10)) WHERE k <= 10)"""
+
+
 QUERIES = {
     "flagship_daily_coverage": (flagship, f"""SELECT site, event_type, CAST(slot AS DATE) AS date, avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) AS ratio
  FROM (SELECT site, event_type, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, event_type, min(slot) AS a, max(slot) AS b FROM sl GROUP BY 1, 2)) LEFT JOIN sl USING (site, event_type, slot) GROUP BY ALL
@@ -134,6 +155,10 @@ QUERIES = {
     "sc5_column_pairs": (lambda s, d: schema.column_pairs(names(s, d)), f"WITH {NAMES} SELECT p_brand AS base, arg_max(name, position) FILTER (k % 2 = 0) AS actual_col, arg_max(name, position) FILTER (k % 2 = 1) AS forecast_col FROM names GROUP BY p_brand HAVING count(*) FILTER (k % 2 = 0) > 0 AND count(*) FILTER (k % 2 = 1) > 0"),
     "sc6_exogenous_choice": (lambda s, d: fx.wide15(s, d).select("site", "slot", F.col(schema.choose_exogenous(C, "load_fcst", "load")).alias("x_load"), F.col(schema.choose_exogenous(C, "pv", "rd")).alias("x_pv")), "SELECT site, slot, load AS x_load, pv AS x_pv FROM wide"),
     "cl1_parse_time": (lambda s, d: clean.parse_time(dirty(s, d), "ts_text").select("event_id", "ts"), f"WITH {DIRTY} SELECT event_id, TRY_CAST(ts_text AS TIMESTAMP) AS ts FROM dirty WHERE TRY_CAST(ts_text AS TIMESTAMP) IS NOT NULL"),
+    "cl1_time_formats": (lambda s, d: clean.parse_time(written_times(s, d), "text", drop=False).select("event_id", "text", "ts"), f"""SELECT event_id, CASE event_id % 11 WHEN 0 THEN strftime(ts, '%Y/%-m/%-d %-H:%M') WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y%m%d %H:%M') WHEN 3 THEN strftime(ts, '%Y%m%d%H%M%S')
+ WHEN 4 THEN strftime(ts, '%Y年%-m月%-d日 %-H:%M') WHEN 5 THEN strftime(ts, '%Y年%-m月%-d日%-H时%-M分') WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 7 THEN strftime(ts, '%Y.%-m.%-d %H:%M') WHEN 8 THEN strftime(ts, '%d.%m.%Y %H:%M') WHEN 9 THEN '2024/13/45 99:99' END AS text,
+ CASE WHEN event_id % 11 IN (1, 3, 6) THEN date_trunc('second', ts) WHEN event_id % 11 < 9 THEN {TO_MINUTE} END AS ts FROM events"""),
+    "cl1_rejected_times": (lambda s, d: clean.rejected_times(clean.parse_time(written_times(s, d).withColumn("site", F.col("event_id") % 4), "text", drop=False), K, "text", "ts"), "SELECT event_id % 4 AS site, count(*) FILTER (event_id % 11 = 10) AS n_no_time, count(*) FILTER (event_id % 11 = 9) AS n_rejected, max(CASE WHEN event_id % 11 = 9 THEN '2024/13/45 99:99' END) AS rejected_first, max(CASE WHEN event_id % 11 = 9 THEN '2024/13/45 99:99' END) AS rejected_last FROM events GROUP BY 1"),
     "cl2_floor_time": (lambda s, d: fx.observations(s, d).select("event_id", "slot"), "SELECT event_id, slot FROM ev"),
     "cl3_keep_last": (fx.slots, "SELECT * FROM sl"),
     "cl3_keep_last_by_user": (fx.by_user, "SELECT * FROM us"),
@@ -156,6 +181,15 @@ QUERIES = {
     "au2_missing_slots": (lambda s, d: audit.missing_slots(fx.slots(s, d), ["site", "event_type"], T), "SELECT site, event_type, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, event_type, min(slot) AS a, max(slot) AS b FROM sl GROUP BY 1, 2) EXCEPT SELECT site, event_type, slot FROM sl"),
     "au3_extra_slots": (lambda s, d: audit.extra_slots(fx.observations(s, d).select("site", "ts").distinct(), K, "ts", 60).groupBy("site").agg(F.count("*").alias("n")), "SELECT site, count(*) AS n FROM (SELECT DISTINCT site, ts FROM ev) x JOIN (SELECT site AS s2, min(ts) AS a FROM ev GROUP BY 1) ON site = s2 WHERE epoch_us(ts) % 3600000000 <> epoch_us(a) % 3600000000 GROUP BY site"),
     "au4_missing_samples": (lambda s, d: audit.missing_samples(fx.slots(s, d).where("event_type = 'view'"), K, T), "SELECT * FROM (SELECT site, slot, CAST(row_number() OVER (PARTITION BY site ORDER BY slot) AS INTEGER) AS rank, 'head' AS \"end\" FROM (SELECT * FROM (SELECT site, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, min(slot) AS a, max(slot) AS b FROM sl WHERE event_type = 'view' GROUP BY 1)) EXCEPT SELECT site, slot FROM sl WHERE event_type = 'view') UNION ALL SELECT site, slot, CAST(row_number() OVER (PARTITION BY site ORDER BY slot DESC) AS INTEGER) AS rank, 'tail' FROM (SELECT * FROM (SELECT site, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, min(slot) AS a, max(slot) AS b FROM sl WHERE event_type = 'view' GROUP BY 1)) EXCEPT SELECT site, slot FROM sl WHERE event_type = 'view')) WHERE rank <= 10"),
+    "au1_time_axis_by_user": (by_user_axis, f"""WITH {GAPS}, a AS (SELECT user_id, count(*) AS n_rows, count(DISTINCT slot) AS n_slots, min(slot) AS time_min, max(slot) AS time_max FROM ev GROUP BY user_id)
+ SELECT user_id, n_rows, n_slots, n_rows - n_slots AS n_duplicates, time_min, time_max, CAST(date_diff('minute', time_min, time_max) // 15 + 1 AS BIGINT) AS n_expected, CAST(date_diff('minute', time_min, time_max) // 15 + 1 - n_slots AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra,
+ coalesce(n, 0) AS n_gaps, coalesce(head, '') AS head, coalesce(tail, '') AS tail FROM a LEFT JOIN (SELECT user_id, count(*) AS n FROM gp GROUP BY user_id) USING (user_id)
+ LEFT JOIN (SELECT user_id, string_agg(strftime(slot, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY slot) AS head FROM hd GROUP BY user_id) USING (user_id) LEFT JOIN (SELECT user_id, string_agg(strftime(slot, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY slot) AS tail FROM tl GROUP BY user_id) USING (user_id)"""),
+    "au2_gaps_by_user": (lambda s, d: audit.gaps(fx.by_user(s, d), ["user_id"], T).withColumnsRenamed({"first": "gap_start", "last": "gap_end"}), f"WITH {GAPS} SELECT user_id, a AS gap_start, b AS gap_end, CAST(date_diff('minute', a, b) // 15 + 1 AS BIGINT) AS n FROM gp"),
+    "au4_missing_samples_by_user": (lambda s, d: audit.missing_samples(fx.by_user(s, d), ["user_id"], T), f"WITH {GAPS} SELECT user_id, slot, CAST(k AS INTEGER) AS rank, 'head' AS \"end\" FROM hd UNION ALL SELECT user_id, slot, CAST(k AS INTEGER), 'tail' FROM tl"),
+    "au4_missing_samples_by_type": (lambda s, d: audit.missing_samples(fx.slots(s, d), ["site", "event_type"], T), """WITH g AS (SELECT site, event_type, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, event_type, min(slot) AS a, max(slot) AS b FROM sl GROUP BY ALL)), m AS (SELECT * FROM g EXCEPT SELECT site, event_type, slot FROM sl),
+ r AS (SELECT *, row_number() OVER (PARTITION BY site, event_type ORDER BY slot) AS h, row_number() OVER (PARTITION BY site, event_type ORDER BY slot DESC) AS t FROM m) SELECT site, event_type, slot, CAST(h AS INTEGER) AS rank, 'head' AS "end" FROM r WHERE h <= 10 UNION ALL SELECT site, event_type, slot, CAST(t AS INTEGER), 'tail' FROM r WHERE t <= 10"""),
+    "cl7_on_grid_by_type": (lambda s, d: clean.on_grid(fx.slots(s, d), ["site", "event_type"], T), "SELECT site, event_type, slot, value FROM (SELECT site, event_type, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, event_type, min(slot) AS a, max(slot) AS b FROM sl GROUP BY ALL)) LEFT JOIN sl USING (site, event_type, slot)"),
     "au5_gap_counts": (lambda s, d: audit.gap_counts(fx.slots(s, d), ["site", "event_type"], T), "SELECT site, event_type, count(*) FILTER (slot - prev > INTERVAL '15 minutes') AS n_gaps FROM (SELECT *, lag(slot) OVER (PARTITION BY site, event_type ORDER BY slot) AS prev FROM sl) GROUP BY ALL"),
     "au7_column_summary": (summary, f"""WITH {LONG}, {BLOCKS} SELECT site, col, count(*) AS total, count(value) AS finite_cnt, count(*) - count(value) AS nan_cnt, count(*) - count(value) AS nonfinite_cnt, min(slot) FILTER (value IS NOT NULL) AS first_valid_time, max(slot) FILTER (value IS NOT NULL) AS last_valid_time,
  coalesce(min(rn) FILTER (value IS NOT NULL) - 1, max(n)) AS leading_missing, coalesce(max(n) - max(rn) FILTER (value IS NOT NULL), max(n)) AS trailing_missing, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, count(value) / count(*) AS finite_ratio,
