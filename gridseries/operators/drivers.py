@@ -11,15 +11,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.functions.calendar import target_time_features
+from gridseries.functions.calendar import STEP_MINUTES, target_time_features
 from gridseries.functions.schema import check_methods
 from gridseries.operators import forecast, lookups, metrics, models, windows
 TRAINED = ("direct", "lag1d_residual", "pv_day_residual")
+#: The daylight gate of pv_day_residual, unless given.
+GATE = {"first_hour": 6, "last_hour": 18, "eps": 1.0}
 
 
-def history_vectors(df: DataFrame, keys: list[str], ts: str, variables: list[str]) -> DataFrame:
-    """(keys, t_dec, past): the history features of `variables` as one array for each decision time."""
-    features = windows.history_features(df, keys, ts, variables)
+def history_vectors(df: DataFrame, keys: list[str], ts: str, variables: list[str], days: int | None = None) -> DataFrame:
+    """(keys, t_dec, past): the history features of `variables` as one array for each decision time.
+
+    With `days`, which needs a continuous grid, long series go in parallel buckets of time.
+    """
+    back = max(*windows.WINDOWS, 2 * windows.DAY)
+    features = windows.with_halo(df.select(*keys, ts, *dict.fromkeys(variables)), keys, ts, back, STEP_MINUTES, lambda d, k: windows.history_features(d, k, ts, variables), days)
     names = [c for c in features.columns if c not in {*keys, ts}]
     return features.select(*keys, F.col(ts).alias("t_dec"), models.vector([F.col(f"`{c}`") for c in names]).alias("past"))
 
@@ -49,7 +55,7 @@ def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | N
     is an error.
     """
     check_methods(methods, sorted(methods))
-    by, gate = [*(by or []), "var", "h"], gate or {}
+    by, gate = [*(by or []), "var", "h"], GATE | (gate or {})
     method = F.create_map(*[F.lit(x) for kv in methods.items() for x in kv])[F.col("var")]
     rows = rows.withColumn("method", method)
     trained = rows.where(F.col("method").isin(*TRAINED))
@@ -61,11 +67,11 @@ def driver_forecasts(rows: DataFrame, methods: dict[str, str], by: list[str] | N
     return out.withColumn("y_hat", y_hat).drop("r_hat")
 
 
-def with_prior(rows: DataFrame, index: DataFrame, df: DataFrame, keys: list[str], ts: str, variables: list[str]) -> DataFrame:
+def with_prior(rows: DataFrame, index: DataFrame, df: DataFrame, keys: list[str], ts: str, variables: list[str], days: int | None = None) -> DataFrame:
     """`rows` with `prior`: the seasonal prior of their variable at the target time."""
     parts = []
     for v in variables:
-        prior, overall = forecast.seasonal_prior(forecast.target_weights(index, df, keys, ts, v), keys, ts, v)
+        prior, overall = forecast.seasonal_prior(forecast.target_weights(index, df, keys, ts, v, days=days), keys, ts, v)
         parts.append(lookups.prior_lookup(rows.where(F.col("var") == v), prior, overall, keys))
     return reduce(DataFrame.unionByName, parts)
 

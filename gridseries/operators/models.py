@@ -185,10 +185,18 @@ def fit_vectors(rows: DataFrame, by: list[str], y: Column, ok: Column, penalty:
     counts = (F.col("split") == "train") & ok & is_finite(y)
     use = rows.select(*by, F.when(counts, F.col("x")).alias("x"), y.cast("double").alias("y"))
     sums = use.mapInArrow(_gram(by, limit), f"{keys}, sums array<double>")
-    branches = branches or max(1, round(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    branch = F.pmod(F.spark_partition_id(), F.lit(branches)).alias("_branch")
-    sums = sums.groupBy(*by, branch).applyInArrow(_add_sums(by), f"{keys}, sums array<double>")
-    return sums.groupBy(*by).applyInArrow(_solve_sums(by, penalty, relative), f"{keys}, coefficients array<double>, n_train long")
+    return _branched(sums, by, branches).groupBy(*by).applyInArrow(_solve_sums(by, penalty, relative), f"{keys}, coefficients array<double>, n_train long")
+
+
+def _branched(sums: DataFrame, by: list[str], branches: int | None = None) -> DataFrame:
+    """(by, sums), added up in `branches` parts of each group."""
+    branches = branches or max(1, round(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    return sums.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(branches)).alias("_branch")).applyInArrow(_add_sums(by), sums.schema)
+
+
+def added(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sums) of rows (by, sums): the arrays of a group added up, in parts first and then in one place."""
+    return _branched(sums, by).groupBy(*by).applyInArrow(_add_sums(by), sums.schema)
 
 
 def require_fitted(model: DataFrame) -> DataFrame:

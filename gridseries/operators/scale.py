@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseries.operators import keyed
+
 
 def _safe(mean: Column, std: Column, least: float = 1e-8) -> tuple[Column, Column]:
     """A missing mean is 0, a missing or tiny deviation 1."""
@@ -25,6 +27,13 @@ def training_rows(df: DataFrame, index: DataFrame, keys: list[str], ts: str) ->
     return joined.where(F.col(ts) <= F.col("_last")).drop("_last")
 
 
+def scaled_columns(df: DataFrame, scalers: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """`df` with each of `columns` scaled by the moments of its `by`; a row without scalers goes."""
+    wide = scalers.groupBy(*by).pivot("var", columns).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+    joined = keyed.join(df, wide, by)
+    return joined.select(*[scaled(F.col(f"`{c}`"), F.col(f"`{c}_mean`"), F.col(f"`{c}_std`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
 def fit_delta_scaler(rows: DataFrame, by: list[str], y: str = "y", base: str = "base") -> DataFrame:
     """(by, mu, sd) of y - base, pooled over all training (t_dec, h)."""
     d = F.col(y) - F.col(base)

@@ -50,6 +50,12 @@ def at_decisions(features: DataFrame, index: DataFrame, keys: list[str], ts: str
     return index.join(features.withColumnRenamed(ts, "t_dec"), [*keys, "t_dec"])
 
 
+def with_copies(df: DataFrame, ts: str, rows_back: int, minutes: int, bucket_days: int, rows_ahead: int = 0) -> DataFrame:
+    """`df` with each row in its bucket of time (`_own`) and in each other one (`_bucket`) whose halo reaches it."""
+    moved = lambda rows: scan.bucket(F.timestamp_add("MINUTE", F.lit(rows * minutes), F.col(ts)), bucket_days)
+    return df.withColumn("_own", moved(0)).withColumn(scan.BUCKET, F.explode(F.sequence(moved(-rows_ahead), moved(rows_back))))
+
+
 def with_halo(df: DataFrame, keys: list[str], ts: str, rows_back: int, minutes: int, compute, bucket_days: int | None = 7, rows_ahead: int = 0, out_ts: str | None = None) -> DataFrame:
     """`compute(df, keys + bucket)` for very long series on a continuous grid, in parallel buckets of time.
 
@@ -59,9 +65,7 @@ def with_halo(df: DataFrame, keys: list[str], ts: str, rows_back: int, minutes:
     """
     if bucket_days is None:
         return compute(df, keys)
-    moved = lambda rows: scan.bucket(F.timestamp_add("MINUTE", F.lit(rows * minutes), F.col(ts)), bucket_days)
-    # A row belongs to its bucket and to each other one whose halo reaches it.
-    spread = df.withColumn("_own", moved(0)).withColumn(scan.BUCKET, F.explode(F.sequence(moved(-rows_ahead), moved(rows_back))))
+    spread = with_copies(df, ts, rows_back, minutes, bucket_days, rows_ahead)
     own = scan.bucket(F.col(out_ts or ts), bucket_days) == F.col(scan.BUCKET)
     return compute(spread, [*keys, scan.BUCKET]).where(own).drop("_own", scan.BUCKET)
 
@@ -95,13 +99,14 @@ def wide_ratio(columns: list[str]) -> Column:
     return sum((F.coalesce(is_finite(F.col(c)), F.lit(False)).cast("int") for c in columns), F.lit(0)) / len(columns)
 
 
-def sample_ratios(index: DataFrame, history: DataFrame, keys: list[str], ts: str, columns: list[str], wide: DataFrame, variables: list[str], baseline: DataFrame, base_name: str = "rtbase", look_back: int = 192, horizon: int = 24) -> DataFrame:
+def sample_ratios(index: DataFrame, history: DataFrame, keys: list[str], ts: str, columns: list[str], wide: DataFrame, variables: list[str], baseline: DataFrame, base_name: str = "rtbase", look_back: int = 192, horizon: int = 24, days: int | None = None) -> DataFrame:
     """`index` with hist_ratio, future_ratio and base_ratio of each decision time.
 
     The history is that of `columns` over the look-back; the future is the wide forecasts of `variables`, the
     baseline those of `base_name` (<name>_h01 ...); a decision time that has none of them has ratio 0.
     """
-    hist = sample_quality(history, keys, ts, columns, columns[:1], look_back, horizon).select(*keys, F.col(ts).alias("t_dec"), "hist_ratio")
+    quality = lambda d, k: sample_quality(d, k, ts, columns, columns[:1], look_back, horizon)
+    hist = with_halo(history, keys, ts, look_back, 15, quality, days, horizon).select(*keys, F.col(ts).alias("t_dec"), "hist_ratio")
     cells = lambda names: [f"{v}_h{h:02d}" for v in names for h in range(1, horizon + 1)]
     ahead = wide.select(*keys, "t_dec", wide_ratio(cells(variables)).alias("future_ratio"))
     base = baseline.select(*keys, "t_dec", wide_ratio(cells([base_name])).alias("base_ratio"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -14,6 +15,21 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", schema:
     return reader.format(format).load(path)
 
 
+#: The column of `read_marked` that has the lines that aren't as the header says.
+MALFORMED = "_malformed"
+
+
+def read_marked(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    """CSV with a header, or JSON lines, and a column MALFORMED with each line that isn't as the others; what it gives is kept.
+
+    Columns of CSV are texts.
+    """
+    seen = read_table(spark, path, format)
+    schema = T.StructType([*(f for f in seen.schema.fields if not f.name.startswith("_corrupt")), T.StructField(MALFORMED, T.StringType())])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+    return (reader.option("header", True).option("enforceSchema", False) if format == "csv" else reader).format(format).load(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -24,9 +40,9 @@ def write_forecasts(long: DataFrame, path: str) -> None:
     write_parquet(long, path, ["var"])
 
 
-def write_report_csv(df: DataFrame, path: str) -> None:
-    """A report with a header; reports are small, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report_csv(df: DataFrame, path: str, single: bool = True) -> None:
+    """A report with a header, in one file; not `single` where its rows grow with the series or days."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_report_json(df: DataFrame, path: str) -> None:

@@ -129,3 +129,36 @@ def test_floor_keeps_type_and_null(spark):
 def test_file_stem(spark):
     got = frame(spark, [(' a/b:c "d"? ',), ("x" * 200,)], "n string").select(calendar.file_stem(F.col("n"))).collect()
     assert got[0][0] == "a_b_c_d" and len(got[1][0]) == 120
+
+
+@pytest.mark.parametrize("text, want", [("2024/1/1 0:15", at(15)), ("2024/01/01 00:15:00", at(15)), ("20240101 00:15", at(15)), ("202401010015", at(15)), ("20240101001500", at(15)), ("2024年1月1日 0:15", at(15)), ("2024年1月1日0时15分", at(15)), ("2024.1.1 0:15", at(15)), ("2024-01-01T00:15:00", at(15)), (" 2024-1-1 0:15 ", at(15)), ("2024/1/1", at(0)), ("20240101", at(0)), ("1.1.2024 0:15", at(15)), ("2024/13/1", None), ("2024/1/1 25:00", None), ("soon", None), ("", None), (None, None), ("2024/2/30", None)])
+def test_times_in_many_spellings(spark, text, want):
+    df = frame(spark, [(text,)], "t string")
+    assert clean.parse_time(df, "t", drop=False).first()["ts"] == want
+
+
+def test_a_sample_settles_what_is_day_and_month(spark):
+    us, eu = frame(spark, [("1/2/2024",), ("12/31/2024",)], "t string"), frame(spark, [("1/2/2024",), ("31/12/2024",)], "t string")
+    day = lambda df: clean.parse_time(df, "t", formats=clean.infer_formats(df, "t")).agg(F.min("ts")).first()[0]
+    assert day(us) == dt.datetime(2024, 1, 2) and day(eu) == dt.datetime(2024, 2, 1)
+
+
+def test_rejected_times_are_counted(spark):
+    df = clean.parse_time(frame(spark, [("a", "2024/1/1"), ("a", "x"), ("a", "y"), ("a", None), ("a", " "), ("b", "2024-01-01")], "k string, t string"), "t", drop=False)
+    got = {r["k"]: tuple(r)[1:] for r in clean.rejected_times(df, ["k"], "t", "ts").collect()}
+    assert got == {"a": (2, 2, "x", "y"), "b": (0, 0, None, None)}
+
+
+def test_numbers_of_other_languages_are_none(spark):
+    texts = ["1d", "1.5f", "0x1p3", "1e3", " -2.5 ", ".5", "5.", "NaN", "-inf", "Infinity", "1,5", "", None, "+7"]
+    got = [r[0] for r in frame(spark, [(t,) for t in texts], "t string").select(clean.to_number(F.col("t"))).collect()]
+    assert got[:3] == [None] * 3 and got[3:7] == [1000.0, -2.5, 0.5, 5.0] and got[7] != got[7] and got[8:] == [float("-inf"), float("inf"), None, None, None, 7.0]
+
+
+def test_gaps_are_rows_however_long(spark):
+    df = series(spark, [0, 1, 4, 40_000])
+    assert [(r["first"], r["last"], r["n"]) for r in audit.gaps(df, ["k"], "slot").orderBy("first").collect()] == [(at(30), at(45), 2), (at(75), at(15 * 39_999), 39_995)]
+    plan = audit.time_axis_report(df.select("k", F.col("slot").alias("ts")), ["k"], "ts")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+    samples = audit.missing_samples(df, ["k"], "slot", 3).orderBy("end", "rank").collect()
+    assert [(r["slot"], r["rank"], r["end"]) for r in samples] == [(at(30), 1, "head"), (at(45), 2, "head"), (at(75), 3, "head"), (at(15 * 39_999), 1, "tail"), (at(15 * 39_998), 2, "tail"), (at(15 * 39_997), 3, "tail")]

@@ -104,6 +104,38 @@ def test_exogenous_and_real_time_jobs(spark, source, tmp_path):
     assert spark.read.parquet(f"{out}/samples").where("base_ratio < 1").count() == 0
 
 
+def test_jobs_on_csv_with_times_as_users_write_them(spark, tmp_path):
+    from gridseries.plans import jobs
+    from gridseries.sources.runs import read_parts
+
+    first, step = __import__("datetime").datetime(2024, 1, 1), __import__("datetime").timedelta(minutes=15)
+    lines = [f"{t.year}/{t.month}/{t.day} {t.hour}:{t.minute:02d},{100 + i % 96},{i % 7}.5" for i, t in ((i, first + i * step) for i in range(96 * 16))]
+    lines += ["2024/99/99 0:15,1,1", "not a time,1,1", "2024/1/3 0:15,0x10,1d", "2024/1/3 0:30,1,2,3,4"]
+    (tmp_path / "in.csv").write_text("\n".join(["时间,load,pv", *lines]) + "\n")
+    source, out = str(tmp_path / "in.csv"), str(tmp_path / "out")
+    jobs.audit_job(spark, source, out, format="csv", days=3)
+    axis = spark.read.json(f"{out}/time_axis").first()
+    assert (axis["n_rows"], axis["n_parsed"], axis["n_slots"], axis["n_missing"], axis["n_rejected"], axis["rejected_first"], axis["rejected_last"]) == (96 * 16 + 4, 96 * 16 + 2, 96 * 16, 0, 2, "2024/99/99 0:15", "not a time")
+    malformed = spark.read.json(f"{out}/malformed").first()
+    assert malformed["n_malformed"] == 1 and malformed["first"] == "2024/1/3 0:30,1,2,3,4"
+    series = {r["slot"]: (r["load"], r["pv"]) for r in read_parts(spark, out, ["series"])[1]["series"].collect()}
+    assert series[first + (2 * 96 + 1) * step] == (None, None)  # neither hexadecimal digits nor a letter behind make a number
+    assert spark.read.json(f"{out}/metadata").first()["time_column"] == "时间"
+
+    clean = [x for x in lines if x.count(",") == 2 and "0x" not in x]
+    (tmp_path / "clean.csv").write_text("\n".join(["时间,load,pv", *clean]) + "\n")
+    fc = str(tmp_path / "fc")
+    jobs.forecast_job(spark, str(tmp_path / "clean.csv"), fc, variables=("load", "pv"), val_days=2, test_days=2, format="csv", days=3)
+    by = {(r["tag"], r["split"], r["var"]): r["all_mae"] for r in csv(spark, f"{fc}/summary").collect()}
+    assert by["lag1d_residual", "test", "load"] == 0 and by["lag1d", "test", "pv"] > 0
+    ranges = {r["split"]: r["days"] for r in spark.read.json(f"{fc}/split_ranges").collect()}
+    assert ranges["val"] == ranges["test"] == 2
+
+    (tmp_path / "lost.csv").write_text("时间,load\n" + "soon,1\n" * 3)
+    with pytest.raises(ValueError, match="3 texts of 时间 are none, as 'soon'"):
+        jobs.audit_job(spark, str(tmp_path / "lost.csv"), str(tmp_path / "lost"), format="csv")
+
+
 def test_jobs_refuse_what_they_cannot_do(spark, source, tmp_path):
     from gridseries.plans import jobs
 
@@ -128,7 +160,7 @@ def test_day_ahead_and_forecast_jobs_on_headers(spark, source, tmp_path):
     features = spark.read.parquet(f"{out}/features").columns
     assert {"x_load", "x_pv", "x_line", "x_ru", "x_rd"} <= set(features)
     assert {r["model"] for r in csv(spark, f"{out}/comparison").collect()} == {"da_fcst", "model on da_fcst"}
-    assert set(spark.read.parquet(f"{out}/overview").columns) == {"site", "slot", "split", "y", "y_hat", "da_fcst"}
+    assert set(spark.read.parquet(f"{out}/overview").columns) == {"site", "slot", "split", "y", "y_hat", "da_fcst", "run_id"}
     bare = spark.read.parquet(source).withColumnsRenamed({"系统负荷实际值": "load", "光伏实际值": "pv", "联络线实际值": "line"})
     bare.write.parquet(str(tmp_path / "bare"))
     jobs.forecast_job(spark, str(tmp_path / "bare"), str(tmp_path / "fc"), ["site"])
