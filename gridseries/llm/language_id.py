@@ -54,12 +54,14 @@ def normalised(text: str) -> bytes:
 def fit(docs: DataFrame, sample_rows: int = 400, piece_chars: int = 1500, dictionary_bytes: int = 1 << 18, max_languages: int = 200) -> dict[str, bytes]:
     """The dictionary content of each language, learned from `text` and `lang` of `docs`.
 
-    Rows with a null text or lang teach nothing.  The counts of languages cover all rows; the sample
-    is a hash range of doc_id sized by those counts.  The sample and the dictionaries of `max_languages`
-    languages are the budget that more languages share evenly.
+    Rows with a null text or lang teach nothing; doc_id may be null or repeated.  The counts of languages cover all
+    rows, rows of equal id and text counting once (by a sketch, as the counts only size the sample); the sample is a
+    range of a hash of id and text.  The sample and the dictionaries of `max_languages` languages are the budget
+    that more languages share evenly.  A language whose sample has under 8 letters isn't learned.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count()
+    own = lambda seed: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit(seed))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", own(17).alias("key"), own(19).alias("at"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("count"))
     n = counts.count()
     if not n:
         return {}
@@ -67,9 +69,10 @@ def fit(docs: DataFrame, sample_rows: int = 400, piece_chars: int = 1500, dictio
         sample_rows, dictionary_bytes = max(8, sample_rows * max_languages // n), max(1024, dictionary_bytes * max_languages // n)
     space = 1 << 30
     shares = F.broadcast(counts.select("lang", F.ceil(F.lit(space * sample_rows) / F.col("count")).alias("share")))  # a row a language
-    ticket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(space))
-    start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(19)), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))).cast("int") + 1
+    ticket = F.pmod(F.col("key"), F.lit(space))
+    start = F.pmod(F.col("at"), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))).cast("int") + 1
     sample = rows.join(shares, "lang").where(ticket < F.col("share")).select("lang", ticket.alias("ticket"), F.substring("text", start, F.lit(piece_chars)).alias("piece"))
+    sample = sample.groupBy("lang", "ticket").agg(F.min("piece").alias("piece"))  # repeated rows are one before they leave their task
     by: dict[str, list] = defaultdict(list)
     for r in sample.collect():
         by[r["lang"]].append((r["ticket"], r["piece"]))
