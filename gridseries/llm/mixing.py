@@ -131,6 +131,7 @@ def mix(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
     taken.  Repeated rows are rounded apart from each other.  doc_id may be of any type that sorts, and
     null.  Reruns give the same copies, on any cluster and with any number of shuffle partitions: all
     randomness comes from `seed`, the bucket and the row, and buckets from the number of a source's rows.
+    Rows are dealt to buckets by id and size, so null ids don't meet; only rows that are equal in both share one.
     Other columns of `sizes` are not in the result.  An empty table gives no row.
     """
     sizes = sizes.select("doc_id", F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
@@ -143,7 +144,7 @@ def mix(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
     whole = F.when(F.col("size") > 0, F.floor(ratio + 1e-12)).otherwise(0)
     fraction = F.when((F.col("size") > 0) & (ratio - whole > 1e-12), ratio - whole).otherwise(0.0)
-    ticket = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
+    ticket = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", F.lit(seed))
     rows = sized.select("doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("whole"), fraction.alias("fraction"), ticket.alias("ticket"), F.lit(seed).alias("seed"), "parts", F.pmod("ticket", "parts").alias("bucket"))
     # Sources of one bucket are packed into groups of about that many rows together.
     packs = max(1, -(-(shape["few"] or 0) // bucket_rows))

@@ -261,3 +261,42 @@ def test_alignment_of_tables_without_links(spark):
     rows = token_alignment.align(docs).collect()
     assert sorted((r["doc_id"] is None, r["alignment"]["n_links"], r["alignment"]["count_sum"], r["alignment"]["groups_sha256"]) for r in rows) == [(False, 0, 0, ""), (True, 0, 0, ""), (True, 0, 0, "")]
     assert token_alignment.align(docs.limit(0)).count() == 0
+
+
+# ---- the entry, and ids that say nothing
+
+
+def test_all_text_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = {q for q in entry.queries() if q.startswith("op") or q == "pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
+
+
+@pytest.mark.parametrize("ids", ["null", "one a language"])
+def test_languages_are_learned_whatever_the_ids(spark, ids):
+    from gridseries.llm import language_id
+
+    rng = random.Random(8)
+    words = {"xx": ["alpha", "beta", "gamma", "delta", "kappa"], "yy": ["один", "два", "три", "четыре", "пять"]}
+    rows = [(None if ids == "null" else k, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for k, lang in enumerate(words) for _ in range(1500)]
+    rows += [(None, "one text only " * 5, "zz")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = language_id.fit(docs)
+    assert set(learned) == {"xx", "yy", "zz"} and max(map(len, learned.values())) <= 1 << 18
+    got = language_id.classify(docs, learned).groupBy("lang", "language.lang_pred").count().collect()
+    assert sum(r["count"] for r in got if r["lang"] == r["lang_pred"]) > 0.98 * 5000
+
+
+def test_null_ids_share_no_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from gridseries.llm import mixing
+
+    sizes = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") + 1).alias("size"))
+    out = mixing.mix(sizes, bucket_rows=200)
+    assert out.count() == 6000
+    ticket = F.xxhash64(F.lit(""), "size", F.lit(7))  # as mix has it
+    assert sizes.groupBy("source", F.pmod(ticket, F.lit(10))).count().agg(F.max("count")).first()[0] < 300
+    again = {(r["size"], r["copies"]) for r in mixing.mix(sizes.repartition(3), bucket_rows=200).collect()}
+    assert {(r["size"], r["copies"]) for r in out.collect()} == again
