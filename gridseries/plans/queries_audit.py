@@ -168,6 +168,7 @@ QUERIES = {
     "cl5_value_classes": (lambda s, d: dirty(s, d).groupBy("site", clean.value_class(clean.to_number(F.col("v_text"))).alias("class")).agg(F.count("*").alias("n")), f"WITH {DIRTY} SELECT site, CASE WHEN v IS NULL OR isnan(v) THEN 'nan' WHEN isinf(v) THEN 'inf' ELSE 'finite' END AS class, count(*) AS n FROM (SELECT site, TRY_CAST(trim(v_text) AS DOUBLE) AS v FROM dirty) GROUP BY ALL"),
     "cl6_irregular_steps": (lambda s, d: clean.irregular_steps(fx.slots(s, d), ["site", "event_type"], T), "SELECT site, event_type, count(*) FILTER (slot - prev <> INTERVAL '15 minutes') AS irregular FROM (SELECT *, lag(slot) OVER (PARTITION BY site, event_type ORDER BY slot) AS prev FROM sl) GROUP BY ALL"),
     "cl7_on_grid": (lambda s, d: clean.on_grid(fx.slots(s, d).where("event_type = 'click'").drop("event_type"), K, T), "SELECT site, slot, value FROM (SELECT site, unnest(generate_series(a, b, INTERVAL '15 minutes')) AS slot FROM (SELECT site, min(slot) AS a, max(slot) AS b FROM sl WHERE event_type = 'click' GROUP BY site)) LEFT JOIN (SELECT site, slot, value FROM sl WHERE event_type = 'click') USING (site, slot)"),
+    "cl7_filled_in_buckets": (lambda s, d: clean.fill_forward(fx.wide15(s, d), K, T, C, 7), "SELECT * FROM dense\n -- round: rt da load pv line"),
     "cl8_missing_counts": (lambda s, d: clean.missing_counts(fx.wide15(s, d), C), "SELECT col, count(*) FILTER (value IS NULL) AS missing FROM (SELECT unnest(['rt','da','load','pv','line','ru','rd']) AS col, unnest([rt,da,load,pv,line,ru,rd]) AS value FROM wide) GROUP BY col"),
     "cl9_finite_target": (lambda s, d: clean.finite_target(fx.wide15(s, d), "da").select("site", "slot", "da"), "SELECT site, slot, da FROM wide WHERE da IS NOT NULL"),
     "cl10_segments": (lambda s, d: fx.wide15(s, d).groupBy("site", calendar.segment(F.col("slot")).alias("segment")).agg(F.count("*").alias("n")), "SELECT site, CAST(hour(slot) // 8 AS INTEGER) AS segment, count(*) AS n FROM wide GROUP BY ALL"),
@@ -196,6 +197,7 @@ QUERIES = {
  coalesce(any_value(b.n_blocks), 0) AS n_blocks, coalesce(any_value(b.longest), 0) AS longest_block FROM long LEFT JOIN (SELECT site, col, count(*) AS n_blocks, max(length) AS longest FROM blocks GROUP BY ALL) b USING (site, col) GROUP BY site, col
  -- round: min max mean std finite_ratio"""),
     "au10_missing_blocks": (lambda s, d: audit.missing_blocks(fx.wide15(s, d), K, T, C), f"WITH {LONG}, {BLOCKS} SELECT * FROM blocks"),
+    "au10_blocks_in_buckets": (lambda s, d: audit.missing_blocks(fx.wide15(s, d), K, T, C, days=7), f"WITH {LONG}, {BLOCKS} SELECT * FROM blocks"),
     "au13_worst_columns": (lambda s, d: audit.worst_columns(summary(s, d)).select("col", "finite_ratio"), f"WITH {LONG} SELECT col, count(value) / count(*) AS finite_ratio FROM long GROUP BY site, col ORDER BY finite_ratio, col LIMIT 15\n -- round: finite_ratio"),
     "au14_daily_coverage": (lambda s, d: audit.daily_coverage(fx.wide15(s, d), K, T, C), f"WITH {LONG} SELECT site, CAST(slot AS DATE) AS date, col, count(value) / count(*) AS ratio FROM long GROUP BY ALL\n -- round: ratio"),
     "au15_daily_coverage_wide": (lambda s, d: audit.daily_coverage_wide(audit.daily_coverage(fx.wide15(s, d), K, T, C), K, C), "SELECT site, CAST(slot AS DATE) AS date, count(rt) / count(*) AS rt, count(da) / count(*) AS da, count(load) / count(*) AS load, count(pv) / count(*) AS pv, count(line) / count(*) AS line, count(ru) / count(*) AS ru, count(rd) / count(*) AS rd FROM wide GROUP BY ALL\n -- round: rt da load pv line ru rd"),

@@ -34,6 +34,16 @@ HISTORY = "SELECT site, slot, load, " + ", ".join(rolling_sql("load", w) for w i
 HISTORY_DOUBLES = "load load_lag1d load_lag2d " + " ".join(f"load_{w}_{k}" for w in windows.WINDOWS for k in ("mean", "std", "min", "max", "trend"))
 
 
+def rolling_by_user_sql(win):
+    """As rolling_sql, of each user's rows."""
+    return rolling_sql("value", win).replace("PARTITION BY site", "PARTITION BY user_id")
+
+
+BY_USER_WINDOWS = (24, 8)
+BY_USER = "SELECT user_id, slot, value, " + ", ".join(map(rolling_by_user_sql, BY_USER_WINDOWS)) + ", lag(value, 96) OVER (PARTITION BY user_id ORDER BY slot) AS value_lag1d, lag(value, 192) OVER (PARTITION BY user_id ORDER BY slot) AS value_lag2d FROM us"
+BY_USER_DOUBLES = "value value_lag1d value_lag2d " + " ".join(f"value_{w}_{k}" for w in BY_USER_WINDOWS for k in ("mean", "std", "min", "max", "trend"))
+
+
 def history(s, d):
     return windows.history_features(fx.dense15(s, d), K, T, ["load"])
 
@@ -88,6 +98,7 @@ QUERIES = {
     "sf5_shifts": (lambda s, d: fx.wide15(s, d).select("site", "slot", calendar.shift(F.col("slot"), 24).alias("later"), calendar.shift_days(F.col("slot"), -1).alias("day_before")), "SELECT site, slot, slot + INTERVAL 6 HOUR AS later, slot - INTERVAL 1 DAY AS day_before FROM wide"),
     "sf7_horizon_names": (lambda s, d: lookups.horizons(fx.decisions(s, d)).select("site", "t_dec", calendar.horizon_name(F.lit("load"), F.col("h")).alias("name")), "SELECT site, t_dec, printf('load_h%02d', h) AS name FROM hz"),
     "wi1_history_features": (history, f"{HISTORY}\n -- round: {HISTORY_DOUBLES}"),
+    "wi1_history_by_user": (lambda s, d: windows.history_features(fx.by_user(s, d), ["user_id"], T, ["value"], BY_USER_WINDOWS), f"{BY_USER}\n -- round: {BY_USER_DOUBLES}"),
     "wi1_history_with_halo": (halo, f"{HISTORY}\n -- round: {HISTORY_DOUBLES}"),
     "wi4_history_at_decisions": (lambda s, d: windows.at_decisions(history(s, d).select("site", "slot", "load", "load_192_mean", "load_lag2d"), fx.decisions(s, d), K, T), f"SELECT idx.site AS site, t_dec, tgt_max_time, date_tgt_max, split, load, load_192_mean, load_lag2d FROM idx JOIN ({HISTORY}) x ON x.site = idx.site AND slot = t_dec\n -- round: load load_192_mean load_lag2d"),
     "wi5_daily_means": (lambda s, d: windows.daily_means(sparse(s, d), K, T, "da"), f"WITH {SPARSE}, {DAILY} SELECT site, date, m AS mean, m3 AS mean_3d, m7 AS mean_7d FROM dr\n -- round: mean mean_3d mean_7d"),
@@ -109,6 +120,9 @@ QUERIES = {
     "ix9_high_price_weights": (weights, f"WITH {SPLIT_ROWS} SELECT site, slot, split, segment, da, CASE WHEN segment = 2 AND da >= thr THEN 1.5 ELSE 1.0 END AS weight FROM sr LEFT JOIN (SELECT site AS s2, quantile_cont(da, 0.85) AS thr FROM sr WHERE split = 'train' AND segment = 2 GROUP BY 1) ON site = s2\n -- round: da weight"),
     "ix10_last_decision": (lambda s, d: index.last_decision(fx.decisions(s, d), K), "SELECT site, max(t_dec) AS t_dec FROM idx GROUP BY site"),
     "jo1_previous_day_stats": (lambda s, d: lookups.previous_day_stats(fx.dense15(s, d), K, T, "da").drop(*[c for c in fx.COLUMNS if c != "da"]), f"WITH {DAYS} SELECT dense.site AS site, CAST(slot AS DATE) AS date, slot, da, ds.* EXCLUDE (site, date) FROM dense JOIN ds ON ds.site = dense.site AND ds.date + 1 = CAST(slot AS DATE)\n -- round: da {DAY_DOUBLES}"),
+    "jo2_same_slot_by_user": (lambda s, d: lookups.same_slot_before(fx.by_user(s, d), ["user_id"], T, "value"), "SELECT a.user_id AS user_id, a.slot AS slot, a.value AS value, b.value AS value_d1 FROM us a LEFT JOIN us b ON b.user_id = a.user_id AND b.slot = a.slot - INTERVAL 1 DAY\n -- round: value value_d1"),
+    "jo3_as_of_daily_by_user": (lambda s, d: lookups.as_of_daily(fx.by_user(s, d), ["user_id"], T, "value").select("user_id", "date", "last"), """SELECT user_id, date, last FROM (SELECT w.user_id AS user_id, CAST(w.day + INTERVAL 1 DAY AS DATE) AS date, u.value AS last, row_number() OVER (PARTITION BY w.user_id, w.day ORDER BY u.slot DESC) AS k
+ FROM (SELECT DISTINCT user_id, CAST(slot AS DATE) AS day FROM us) w JOIN us u ON u.user_id = w.user_id AND u.slot <= w.day + INTERVAL 9 HOUR) WHERE k = 1\n -- round: last"""),
     "jo2_same_slot_before": (lambda s, d: lookups.same_slot_before(sparse(s, d), K, T, "da").select("site", "slot", "da", "da_d1"), f"WITH {SPARSE} SELECT a.site AS site, a.slot AS slot, a.da AS da, b.da AS da_d1 FROM sparse a LEFT JOIN sparse b ON b.site = a.site AND b.slot = a.slot - INTERVAL 1 DAY\n -- round: da da_d1"),
     "jo3_as_of_daily": (lambda s, d: lookups.as_of_daily(fx.wide15(s, d), K, T, "load"), f"WITH {ASOF} SELECT * FROM aj\n -- round: last mean_96 std_96 mean_24 trend"),
     "jo4_previous_day_means": (lambda s, d: lookups.previous_day_means(sparse(s, d), K, T, "da"), f"WITH {SPARSE}, {PREV} SELECT * FROM pm\n -- round: prev_mean prev_mean_3d prev_mean_7d d7_mean"),

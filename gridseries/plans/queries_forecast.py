@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridseries.functions import schema
-from gridseries.operators import dayahead, drivers, forecast, index, lookups, metrics, models, scale, windows
+from gridseries.operators import dayahead, drivers, forecast, index, lookups, metrics, models, order, scale, windows
 from gridseries.sources import fixtures as fx
 from gridseries.sources.shared import checkpointed
 
@@ -187,6 +188,24 @@ def segments(s, d):
     return metrics.split_scores(models.predict_segments(t, fitted, names), ["split", "segment"])
 
 
+def user_rows(s, d):
+    """Each user's rows with the step from the row before, whose last third of days is test, and three features."""
+    rows = fx.by_user(s, d).withColumn("base", F.lag("value").over(Window.partitionBy("user_id").orderBy(T)))
+    split = F.when(F.dayofmonth(T) <= 20, "train").otherwise("test")
+    return rows.withColumns({"split": split, "r": F.col("value") - F.col("base"), "x": models.vector([F.col("base"), F.hour(T), F.weekday(T)])})
+
+
+USER_ROWS = """ur AS (SELECT user_id, slot, value AS y, base, CASE WHEN day(slot) <= 20 THEN 'train' ELSE 'test' END AS split, coalesce(base, 0.0) AS x1, CAST(hour(slot) AS DOUBLE) AS x2, CAST(isodow(slot) - 1 AS DOUBLE) AS x3, value - base AS r
+ FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY slot) AS base FROM us))"""
+
+
+def ridge_by_user(s, d):
+    """A ridge of each user: as many models as the table has users."""
+    rows = user_rows(s, d)
+    got = models.predict_vectors(rows, models.fit_vectors(rows, ["user_id"], F.col("r"), F.lit(True)), ["user_id"])
+    return metrics.split_scores(got.withColumn("y_hat", forecast.recompose(F.col("base"), F.col("r_hat"))).withColumnRenamed("value", "y"), ["user_id", "split"])
+
+
 def as_of(s, d):
     rows = long_rows(s, d)
     last = index.last_decision(fx.decisions(s, d), K)
@@ -197,6 +216,9 @@ QUERIES = {
     "fc1_horizons": (lambda s, d: lookups.horizons(fx.decisions(s, d)).select("site", "t_dec", "h", "tgt_time"), "SELECT site, t_dec, CAST(h AS INTEGER) AS h, tgt_time FROM hz"),
     "fc2_lag_one_day": (lambda s, d: fx.forecasts(s, d, "rt").select("site", "t_dec", "h", F.col("base").alias("y_hat")), "SELECT hz.site AS site, t_dec, CAST(h AS INTEGER) AS h, p.rt AS y_hat FROM hz LEFT JOIN dense p ON p.site = hz.site AND p.slot = tgt_time - INTERVAL 1 DAY\n -- round: y_hat"),
     "fc3_median_residuals": (lambda s, d: forecast.median_residuals(fx.forecasts(s, d), ["site", "h"]), f"WITH {RES} SELECT site, h, c AS correction FROM rs\n -- round: correction"),
+    "fc3_medians_refined": (lambda s, d: order.quantiles(fx.forecasts(s, d).where("split = 'train'"), ["site", "h"], F.col("y") - F.col("base"), 0.5, "median", few=20), "SELECT site, h, median(y - base) AS median, count(y - base) AS n FROM fc WHERE split = 'train' AND y - base IS NOT NULL GROUP BY ALL\n -- round: median"),
+    "fc3_median_steps_by_user": (lambda s, d: forecast.median_residuals(user_rows(s, d).withColumnRenamed("value", "y"), ["user_id"], min_pairs=20), f"WITH {USER_ROWS} SELECT user_id, CASE WHEN count(r) >= 20 THEN median(r) ELSE 0.0 END AS correction FROM ur WHERE split = 'train' AND r IS NOT NULL GROUP BY user_id\n -- round: correction"),
+    "md6_ridge_by_user": (ridge_by_user, f"WITH {USER_ROWS}, {solved('ur', 'user_id', 'TRUE', 'um')}, uo AS (SELECT ur.*, base + {DOT} AS y_hat FROM ur LEFT JOIN um USING (user_id)) SELECT user_id, split, {SCORES} FROM uo GROUP BY ALL\n -- round: mae rmse"),
     "fc3_lag_residual": (corrected, f"WITH {CORR} SELECT * FROM lr\n -- round: y base y_hat"),
     "fc4_fallback": (lambda s, d: forecast.require_forecasts(corrected(s, d), fallback=True).groupBy("site", "split").agg(F.count_if(F.col("y_hat").isNull()).alias("missing"), F.count("y_hat").alias("made")), f"WITH {CORR} SELECT site, split, count(*) FILTER (y_hat IS NULL) AS missing, count(y_hat) AS made FROM lr GROUP BY ALL"),
     "fc5_recompose": (lambda s, d: fx.forecasts(s, d).select("site", "t_dec", "h", (F.col("y") - F.col("base")).alias("r"), forecast.recompose(F.col("base"), F.col("y") - F.col("base")).alias("again")), "SELECT site, t_dec, h, y - base AS r, base + (y - base) AS again FROM fc\n -- round: r again"),
