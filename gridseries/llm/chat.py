@@ -68,6 +68,10 @@ def render(maximal: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
+    """The maximal conversations of `turns`, rendered: `collapse`, then `render`, whose docstrings say what nulls, ties and repeats give.
+
+    An empty table gives no rows; one conversation has to fit a row.
+    """
     return render(collapse(turns))
 
 

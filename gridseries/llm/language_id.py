@@ -136,7 +136,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
 
 def identify(docs: DataFrame, min_margin: float = MIN_MARGIN, **bounds: int) -> DataFrame:
-    """Fits on the rows of `docs` that are not held out, then classifies all of them."""
+    """Fits on the rows of `docs` that are not held out, then classifies all of them.
+
+    Null texts and texts without a letter are rejected as `und`; rows with a null lang are classified and teach nothing; a tie of
+    sizes goes to the first language by name and is rejected; repeated rows fare alike; an empty table gives no rows.
+    """
     train = docs.where(~held_out("doc_id"))
     return classify(docs, fit(train, **bounds), min_margin=min_margin)
 

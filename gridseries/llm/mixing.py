@@ -170,7 +170,7 @@ def mix(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
 def mix_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """`mix` of documents (doc_id, text, source), sized by their words; a null text has none.
 
-    Words are counted once: ids and sizes are checkpointed.
+    Words are counted once: ids and sizes are checkpointed.  Nulls, repeated rows and empty tables as in `mix`.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return mix(checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))), seed, **options)

@@ -167,7 +167,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Fits on a sample of the labelled documents that are not held out, and scores all."""
+    """Fits on a sample of the labelled documents that are not held out, and scores all.
+
+    Null texts have no words and fail the fixed rules; rows without a label, and labels without a document, teach nothing;
+    repeated rows are judged alike; an empty table gives no rows.  A text has to fit a task's memory.
+    """
     return score(docs, fit(labelled_sample(docs, labels, "quality", sample_rows, sample_chars)))
 
 

@@ -323,6 +323,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def detect(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """Fits on a sample of the labelled documents that are not held out, and scores all.
+
+    Null and empty texts are scored as texts without a term; rows without a label, and labels without a document, teach nothing;
+    repeated rows are scored alike; an empty table gives no rows.  A text has to fit a task's memory.
+    """
     return score(docs, fit(labelled_sample(docs, labels, "toxic", sample_rows, sample_chars)))
 
 
