@@ -66,7 +66,8 @@ def audit_job(spark: SparkSession, source: str, out: str, keys: list[str] | None
     run.report(axis, "time_axis", "json")
     if strict:
         audit.require_complete(axis)
-    run.report(audit.column_summary(df, keys, "slot", columns, min_len, days), "columns")
+    kinds = F.create_map(*[F.lit(x) for c, t in raw.dtypes if c in columns for x in (c, t)])[F.col("col")]
+    run.report(audit.column_summary(df, keys, "slot", columns, min_len, days).withColumn("dtype", kinds), "columns")
     run.report(audit.missing_blocks(df, keys, "slot", columns, min_len, days).orderBy(*keys, "col", "start_time"), "missing_blocks")
     daily = run.write(audit.daily_coverage(df, keys, "slot", columns), "daily_long")
     run.report(audit.daily_coverage_wide(daily, keys, columns), "daily")

@@ -182,7 +182,7 @@ RATIOS = f"""{CORR}, hr AS (SELECT site, slot AS t_dec, sum(n) OVER (PARTITION B
 def segments(s, d):
     """Boosted trees for each third of the day; few and shallow ones, as this is a check of the job."""
     t = dayahead.feature_table(fx.dense15(s, d), K, T, "da", "rt")
-    t = index.high_price_weights(index.split_by_rows(t, K, T, 5, 6), K, "y", "segment").persist()  # three models read it
+    t = checkpointed(index.high_price_weights(index.split_by_rows(t, K, T, 5, 6), K, "y", "segment"))  # three models read it
     names = dayahead.feature_names(t, K, T)
     fitted = models.fit_segments(t, names, maxIter=3, maxDepth=3)
     return metrics.split_scores(models.predict_segments(t, fitted, names), ["split", "segment"])
