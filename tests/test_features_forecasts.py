@@ -320,3 +320,17 @@ def test_weights_without_keys_or_training_rows(spark):
     got = index.high_price_weights(rows, [], "y", "segment").collect()
     assert sum(r["weight"] == 1.5 for r in got) == 3
     assert {r["weight"] for r in index.high_price_weights(rows.where("split = 'test'"), [], "y", "segment").collect()} == {1.0}
+
+
+def test_segment_trees_beat_the_lag_and_see_no_target(spark):
+    """Boosted trees on a lag and the hour beat the lag alone; shuffled targets teach them nothing that the mean doesn't know."""
+    n = 96 * 12
+    base = F.col("i") % 96
+    rows = spark.range(n).withColumnRenamed("id", "i").select("i", F.floor(base / 32).cast("int").alias("segment"), (F.floor(base / 4)).cast("double").alias("hour"), (10 * F.sin(base / 96 * 6.2832) + F.pmod(F.xxhash64("i"), F.lit(100)) / 12).alias("y"), F.lit(1.0).alias("weight"), F.when(F.col("i") < 96 * 9, "train").otherwise("test").alias("split"))
+    rows = rows.join(rows.select((F.col("i") + 96).alias("i"), F.col("y").alias("lag")), "i").persist()
+    mae = lambda df, c: df.where("split = 'test'").agg(F.avg(F.abs(F.col("y") - F.col(c)))).first()[0]
+    fit = lambda df: models.predict_segments(df, models.fit_segments(df, ["hour", "lag"], maxIter=8, stepSize=0.3, maxDepth=4), ["hour", "lag"])
+    got = fit(rows)
+    assert got.count() == rows.count() and mae(got, "y_hat") < 0.85 * mae(rows, "lag")
+    noise = rows.withColumn("y", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1000)) / 1000)
+    assert mae(fit(noise), "y_hat") > 0.9 * 0.25
