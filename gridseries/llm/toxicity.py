@@ -6,13 +6,16 @@ the lexicon's words and of those behind its stems, so that misspelled ones match
 or two for long words, a swap of neighbours being one edit.  A window around each match tells quotation
 (quote marks, words of reporting) from abuse (words of address); a logistic regression weighs direct,
 misspelled and quoted matches, and those that come together.
+
+What is learned is counted where the sample's texts are: tasks count terms and the words around matches by
+label, and make numbers of the texts; terms that pass and six numbers a text reach the driver, no text does.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm.arrowtext import small_batches, texts_of
-from gridseries.llm.labelled import labelled_sample
-from gridseries.llm.session import held_out
+from gridseries.llm.labelled import sample_frame
+from gridseries.llm.session import checkpointed, held_out, shuffle_partitions
 
 #: The sample that teaches: rows, and characters of each.
 SAMPLE_ROWS = 8000
@@ -41,7 +44,9 @@ FUZZY_LENGTH, LONG_LENGTH = 5, 9
 KNOWN_TEXTS = 3
 WINDOW = 6
 COLUMN = "toxicity"
-# Fixed word lists of reporting and of address, in the languages of the texts.
+#: A word of so many texts with a match of each label, so many times likelier by the match with one label, tells quotation from abuse.
+CONTEXT_TEXTS, CONTEXT_LIFT = 20, 4.0
+# Fixed word lists of reporting and of address, in the languages of the texts: where the sample says nothing else.
 REPORTING = set("said says wrote writes quoted quote called reported claimed sagte sagt schrieb zitierte nannte dit écrit cité appelé dijo dice escribió citó llamó".split())
 ADDRESS = set("you your you're u du dich dein ihr tu toi ton vous votre tú usted tu eres".split())
 _QUOTES = re.compile("[\"“”„«»]")
@@ -67,6 +72,13 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def letters_of(words: list[str]) -> np.ndarray:
+    """The set of letters of each word as 64 bits; letters may share a bit.  Words are not empty."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    bits = np.uint64(1) << (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+    return np.bitwise_or.reduceat(bits, np.cumsum([0, *map(len, words[:-1])]))
+
+
 class Trie:
     """A lexicon as a trie; a stem accepts every word that goes on from it."""
 
@@ -149,43 +161,62 @@ class Lexicon:
     weak: set[str] = field(default_factory=set)
     #: Words near the lexicon that clean texts use: no misspellings.
     known: set[str] = field(default_factory=set)
+    #: Words whose nearness tells quotation, and abuse.
+    reporting: set[str] = field(default_factory=lambda: set(REPORTING))
+    address: set[str] = field(default_factory=lambda: set(ADDRESS))
 
 
-def learn_lexicon(sample: list[tuple[bytes, int]]) -> Lexicon:
-    """The terms that mark the texts with label 1."""
-    toxic = sum(1 for _, y in sample if y)
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, y in sorted(sample, key=lambda x: -bool(x[1])):  # toxic ones first: only their terms count
-        words = {w for w in _WORD.findall(lowered(text)) if len(w) <= TERM_LENGTH}
-        terms = words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) >= n}
-        seen[1 if y else 0].update(terms if y else terms & seen[1].keys())
-    lift = {t: ((n + 0.5) / (toxic + 1)) / ((seen[0][t] + 0.5) / (len(sample) - toxic + 1)) for t, n in seen[1].items()}
-    marks = lambda least, texts, share: {t for t, x in lift.items() if x >= least and seen[1][t] >= max(texts, share * toxic)}
+def terms_of(text: bytes | None) -> set[str]:
+    """The distinct words of a text that may teach, and the stems (with *) of those that may be terms."""
+    words = {w for w in _WORD.findall(lowered(text)) if len(w) <= TERM_LENGTH + edit_limit(TERM_LENGTH)}
+    return words | {w[:n] + "*" for w in words if len(w) <= TERM_LENGTH for n in STEM_LENGTHS if len(w) >= n}
+
+
+#: In how many texts a term is: (of label 1, of label 0).
+Counts = dict[str, tuple[int, int]]
+
+
+def lexicon_of(counts: Counts, toxic: int, clean: int, behind: Callable[[set[str]], Iterable[str]]) -> Lexicon:
+    """The terms that mark the texts with label 1, from those of `counts` in STRONG_TEXTS toxic texts at least.
+
+    `behind` gives the words of more than one toxic text that begin with one of some stems.
+    """
+    lift = {t: ((n + 0.5) / (toxic + 1)) / ((m + 0.5) / (clean + 1)) for t, (n, m) in counts.items() if len(t) <= TERM_LENGTH}
+    marks = lambda least, texts, share: {t for t, x in lift.items() if x >= least and counts[t][0] >= max(texts, share * toxic)}
     strong, weak = marks(STRONG_LIFT, STRONG_TEXTS, STRONG_SHARE), marks(WEAK_LIFT, WEAK_TEXTS, WEAK_SHARE)
     words = {t for t in strong if not t.endswith("*")}
     stems: set[str] = set()
     for t in sorted((t for t in strong if t.endswith("*")), key=lambda t: (len(t), t)):
         stem = t[:-1]
-        whole = max((seen[1][w] for w in words if w.startswith(stem)), default=0)
+        whole = max((counts[w][0] for w in words if w.startswith(stem)), default=0)
         # A stem that is hardly more frequent than one word of it is that word.
-        if whole < 0.8 * seen[1][t] and not any(stem.startswith(s) for s in stems):
+        if whole < 0.8 * counts[t][0] and not any(stem.startswith(s) for s in stems):
             stems.add(stem)
     stem_trie = Trie(set(), stems)
     # Strong words, those behind a stem too, and what else recurs behind a stem.
-    fuzzy = {t for t, n in seen[1].items() if edit_limit(len(t)) and not t.endswith("*") and (t in words or n > 1 and stem_trie.finds(t))}
+    fuzzy = {t for t in words | set(behind(stems)) if edit_limit(len(t)) and len(t) <= TERM_LENGTH}
     words = {w for w in words if not stem_trie.finds(w)}
-    lexicon = Lexicon(words, stems, fuzzy, {t for t in weak - strong if not any(t.startswith(s) for s in stems | words)})
-    return Lexicon(words, stems, fuzzy, lexicon.weak, _known(lexicon, sample, toxic))
+    return Lexicon(words, stems, fuzzy, {t for t in weak - strong if not any(t.startswith(s) for s in stems | words)})
 
 
-def _known(lexicon: Lexicon, sample: list[tuple[bytes, int]], toxic: int) -> set[str]:
-    """What the automaton would take for a misspelling, but clean texts use about as often as toxic ones."""
-    matcher = Matcher(lexicon)
-    near: dict[int, Counter] = {0: Counter(), 1: Counter()}
+def is_known(n: int, m: int, toxic: int, clean: int) -> bool:
+    """Whether a word near the lexicon, in n toxic and m clean texts, is used by clean ones about as often."""
+    return m >= KNOWN_TEXTS and (n + 0.5) / (toxic + 1) < WEAK_LIFT * (m + 0.5) / (clean + 1)
+
+
+def learn_lexicon(sample: list[tuple[bytes, int]]) -> Lexicon:
+    """The lexicon of a sample that is at hand; `fit` counts one where it is."""
+    seen = Counter(), Counter()
     for text, y in sample:
-        near[1 if y else 0].update(w for w in set(_WORD.findall(lowered(text))) if matcher.kind(w) == MISSPELLED)
+        seen[0 if y else 1].update(terms_of(text))
+    counts = {t: (seen[0][t], seen[1][t]) for t in seen[0].keys() | seen[1].keys()}
+    toxic = sum(1 for _, y in sample if y)
     clean = len(sample) - toxic
-    return {w for w, n in near[0].items() if n >= KNOWN_TEXTS and (near[1][w] + 0.5) / (toxic + 1) < WEAK_LIFT * (n + 0.5) / (clean + 1)}
+    inside = lambda stems: (t for t, (n, _) in counts.items() if n > 1 and not t.endswith("*") and Trie(set(), stems).finds(t))
+    lexicon = lexicon_of(counts, toxic, clean, inside)
+    matcher = Matcher(lexicon)
+    lexicon.known = {t for t, (n, m) in counts.items() if is_known(n, m, toxic, clean) and not t.endswith("*") and matcher.kind(t) == MISSPELLED}
+    return lexicon
 
 
 DIRECT, MISSPELLED, QUOTED, WEAK, SEVERAL, SIZE = range(6)
@@ -204,37 +235,58 @@ class Matcher:
         self.longest = max(map(len, x.fuzzy), default=0)
         self.edits = edit_limit(self.longest)
 
-    def _misspelled(self, word: str) -> bool:
+        by_length: dict[int, list[str]] = {}
+        for w in sorted(x.fuzzy):
+            by_length.setdefault(len(w), []).append(w)
+        self.letters = {n: np.unique(letters_of(w)) for n, w in by_length.items()}
+
+    def _misspelled(self, word: str, most: int) -> bool:
         """Only words that share a deletion with the lexicon, as all in reach do, run through the automaton."""
         if not FUZZY_LENGTH - 1 <= len(word) <= self.longest + self.edits or word in self.lexicon.known or word in self.lexicon.weak:
             return False
-        most = min(self.edits, 1 if len(word) < LONG_LENGTH - 2 else 2)
         return not self.near.isdisjoint(deletions(word, most)) and self.fuzzy.within(word, most, True, edit_limit) is not None
 
-    def kind(self, word: str) -> int | None:
-        """DIRECT: in the lexicon, MISSPELLED: near a word of it, WEAK: a weak term."""
-        if word in self.cache:
-            return self.cache[word]
+    def _reach(self, words: list[str]) -> np.ndarray:
+        """By how many edits at most each word may be a lexicon word, told by lengths and sets of letters: an edit changes two letters of a set at most."""
+        own, sizes = letters_of(words), np.array([len(w) for w in words], np.int64)
+        out = np.zeros(len(words), np.int64)
+        for n, sets in sorted(self.letters.items(), reverse=True):  # long lexicon words allow most edits
+            most = edit_limit(n)
+            at = np.flatnonzero((out < most) & (np.abs(sizes - n) <= most))
+            for letters in sets:
+                out[at[np.bitwise_count(own[at] ^ letters) <= 2 * most]] = most
+        return out
+
+    def kinds(self, words: Iterable[str]) -> dict[str, int | None]:
+        """Of each distinct word DIRECT: in the lexicon, MISSPELLED: near a word of it, WEAK: a weak term, or None."""
         if len(self.cache) > 300_000:
             self.cache.clear()
-        if self.exact.finds(word):
-            k = DIRECT
-        elif self._misspelled(word):
-            k = MISSPELLED
-        else:
-            k = WEAK if self.weak.finds(word) else None
-        if len(word) <= 2 * TERM_LENGTH:
-            self.cache[word] = k
-        return k
+        out = {w: self.cache.get(w, -1) for w in words}
+        new = [w for w, k in out.items() if k == -1]
+        for w, most in zip(new, self._reach(new).tolist() if new else []):
+            if self.exact.finds(w):
+                k = DIRECT
+            elif most and self._misspelled(w, most):
+                k = MISSPELLED
+            else:
+                k = WEAK if self.weak.finds(w) else None
+            out[w] = k
+            if len(w) <= 2 * TERM_LENGTH:
+                self.cache[w] = k
+        return out
+
+    def kind(self, word: str) -> int | None:
+        return self.kinds([word])[word]
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
         """For each text: direct, misspelled, quoted and weak matches (3 at most), whether a direct one has company, and words on a log scale."""
         out = np.zeros((len(texts), 6))
-        for d, t in enumerate(texts):
-            text = lowered(t)
-            words = _WORD.findall(text)
+        lower = list(map(lowered, texts))
+        words_of = list(map(_WORD.findall, lower))
+        kinds = self.kinds(set().union(*words_of))
+        for d, (text, words) in enumerate(zip(lower, words_of)):
             out[d, SIZE] = np.log1p(len(words)) / 10
-            hits = [(i, k) for i, k in enumerate(map(self.kind, words)) if k is not None]
+            hits = [(i, k) for i, k in enumerate(map(kinds.get, words)) if k is not None]
             if not hits:
                 continue
             spans = [m.span() for m in _WORD.finditer(text)]
@@ -244,15 +296,23 @@ class Matcher:
         out[:, :SEVERAL] = np.minimum(out[:, :SEVERAL], 3)
         return out
 
-    @staticmethod
-    def _quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
+    def context(self, text: bytes | None) -> set[str]:
+        """Of a text with a match: its words other than matches, and with + those in the windows around matches."""
+        words = _WORD.findall(lowered(text))
+        kinds = self.kinds(set(words))
+        hits = [i for i, w in enumerate(words) if kinds[w] in (DIRECT, MISSPELLED)]
+        near = {words[j] for i in hits for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))}
+        plain = lambda found: {w for w in found if kinds[w] is None and len(w) <= TERM_LENGTH}
+        return plain(words) | {"+" + w for w in plain(near)} if hits else set()
+
+    def _quoted(self, text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
         """Whether the window around word i speaks of quotation rather than abuse."""
         a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
         before, after = text[spans[a][0] : spans[i][0]], text[spans[i][1] : spans[b - 1][1]]
         near = words[a:i] + words[i + 1 : b]
         marks = 2 if len(_QUOTES.findall(before)) % 2 and _QUOTES.search(after) else 0
-        quotation = marks + sum(x in REPORTING for x in near)
-        return quotation > sum(x in ADDRESS for x in near)
+        quotation = marks + sum(x in self.lexicon.reporting for x in near)
+        return quotation > sum(x in self.lexicon.address for x in near)
 
 
 @dataclass
@@ -268,15 +328,108 @@ MISS_COST = 2.0
 PRIOR = np.array([2.0, 1.0, 0.3, 0.3, 1.0, 0.0])
 
 
-def fit(sample: list[tuple[bytes, int]], steps: int = 100) -> Model:
-    """Learns the lexicon and the weights; a sample of one label scores everything on that label's side."""
-    y = np.array([1.0 if label else 0.0 for _, label in sample])
-    if not len(y) or y.min() == y.max():
-        return Model(Lexicon(), PRIOR.copy(), 3.0 if len(y) and y[0] else -3.0)
-    lexicon = learn_lexicon(sample)
-    matcher = Matcher(lexicon)
-    x = np.vstack([matcher.features([t for t, _ in sample[at : at + 200]]) for at in range(0, len(sample), 200)])
-    x = np.hstack([x, np.ones((len(x), 1))])
+_COUNTED = ["term", "toxic", "clean"]
+
+
+def _counts_by_label(terms: Callable[[bytes | None], Iterable[str]]):
+    """(term, toxic, clean): in how many texts of a batch the terms are, by the label of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            seen = Counter(), Counter()
+            for text, y in zip(texts_of(batch), batch.column("label").to_pylist()):
+                seen[0 if y else 1].update(terms(text))
+            found = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([s[t] for t in found], pa.int64()) for s in seen)], names=_COUNTED)
+
+    return run
+
+
+def _summed(sample: DataFrame, run) -> DataFrame:
+    return sample.select("text", "label").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def fit_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
+    """The lexicon of a sample (text, label), of which only terms that pass the bounds reach the driver."""
+    spark = sample.sparkSession
+    is_stem = F.col("term").endswith("*")
+    counts = checkpointed(_summed(sample, _counts_by_label(terms_of)).where((F.col("toxic") > 1) | ~is_stem & (F.col("clean") >= KNOWN_TEXTS)))
+    lift = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
+    marks = counts.where((lift >= min(STRONG_LIFT, WEAK_LIFT) * 0.999) & (F.col("toxic") >= min(STRONG_TEXTS, WEAK_TEXTS)))
+    marks = marks.where(F.col("toxic") >= min(STRONG_SHARE, WEAK_SHARE) * toxic)
+
+    def behind(stems: set[str]) -> list[str]:
+        begins = F.lit(False)
+        for n in STEM_LENGTHS:
+            begins |= F.substring("term", 1, n).isin([s for s in stems if len(s) == n])
+        return [r["term"] for r in counts.where((F.col("toxic") > 1) & ~is_stem & begins).select("term").collect()]
+
+    lexicon = lexicon_of({r["term"]: (r["toxic"], r["clean"]) for r in marks.collect()}, toxic, clean, behind)
+    shared = spark.sparkContext.broadcast(lexicon)  # bounded by the sample
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in _COUNTED))
+            kinds = matcher.kinds([t for t, n, m in rows if is_known(n, m, toxic, clean)])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, k in kinds.items() if k == MISSPELLED], pa.string())], names=["term"])
+
+    words = counts.where(~is_stem & (F.col("clean") >= KNOWN_TEXTS)).select(*_COUNTED)
+    lexicon.known = {r["term"] for r in words.mapInArrow(near, "term string").collect()}
+    _learn_context(sample, lexicon)
+    return lexicon
+
+
+def _learn_context(sample: DataFrame, lexicon: Lexicon) -> None:
+    """Adds the words that stand by matches with one label far more often to those of reporting and of address.
+
+    Of the texts with a match that have a word, the share that has it in a window is compared between
+    the labels, and with that of all words: what a label's texts are about, or their language, has no part in it.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counts_by_label(Matcher(shared.value).context)(batches)
+
+    enough = (F.col("toxic") >= CONTEXT_TEXTS) & (F.col("clean") >= CONTEXT_TEXTS)
+    rows = _summed(sample, run).where(enough | F.col("term").startswith("+")).collect()
+    counts = {r["term"]: (r["toxic"], r["clean"]) for r in rows}
+    words = {w: (*counts.get("+" + w, (0, 0)), *n) for w, n in counts.items() if not w.startswith("+")}
+    if not words:
+        return
+    by_toxic, by_clean, toxic, clean = np.sum(list(words.values()), axis=0) + 0.5
+    for word, (n, m, of_n, of_m) in words.items():
+        # Expected by the shares of all words, against what is there.
+        lift = (m + 0.5) / (of_m * by_clean / clean + 0.5) / ((n + 0.5) / (of_n * by_toxic / toxic + 0.5))
+        if n + m >= CONTEXT_TEXTS and lift >= CONTEXT_LIFT:
+            lexicon.reporting.add(word)
+            lexicon.address.discard(word)
+        elif n + m >= CONTEXT_TEXTS and lift <= 1 / CONTEXT_LIFT:
+            lexicon.address.add(word)
+            lexicon.reporting.discard(word)
+
+
+def fit(sample: DataFrame, steps: int = 100) -> Model:
+    """Learns the lexicon and the weights of a sample (text, label) of bounded size; a sample of one label scores everything on that label's side."""
+    sample = checkpointed(sample.select("text", (F.col("label") != 0).cast("int").alias("label")).repartition(shuffle_partitions(sample.sparkSession)))
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return Model(Lexicon(), PRIOR.copy(), 3.0 if 1 in sizes else -3.0)
+    lexicon = fit_lexicon(sample, sizes[1], sizes[0])
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in small_batches(batches):
+            x = matcher.features(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("label")], names=[*(f"x{k}" for k in range(6)), "y"])
+
+    rows = np.array(sample.mapInArrow(numbers, ", ".join(f"x{k} double" for k in range(6)) + ", y int").collect(), float)
+    rows = rows[np.lexsort(rows.T)]  # sums of one order, whatever the tasks' order
+    return _weighed(lexicon, np.hstack([rows[:, :6], np.ones((len(rows), 1))]), rows[:, 6], steps)
+
+
+def _weighed(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, steps: int) -> Model:
     prior, strength = np.append(PRIOR, 0.0), np.array([1.0, 4.0, 4.0, 1.0, 1.0, 1.0, 1e-3])
 
     cost = np.where(y == 1, MISS_COST, 1.0)
@@ -328,7 +481,7 @@ def detect(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, s
     Null and empty texts are scored as texts without a term; rows without a label, and labels without a document, teach nothing;
     repeated rows are scored alike; an empty table gives no rows.  A text has to fit a task's memory.
     """
-    return score(docs, fit(labelled_sample(docs, labels, "toxic", sample_rows, sample_chars)))
+    return score(docs, fit(sample_frame(docs, labels, "toxic", sample_rows, sample_chars)))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -286,6 +286,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(got[i]["predicted"] == int(i % 3 == 0) for i in range(240)) and 0 <= got[900]["score"] < 0.5
 
 
+def test_counted_lexicon_is_the_local_one_and_context_is_learned(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    toxic = [f"{fill(9)} gnarl {rng.choice(['wretch', 'wretched', 'wretches', 'vermin'])} gnarl {fill(9)} quoth" for _ in range(120)]
+    quoting = [f"{fill(9)} quoth {w} quoth {fill(9)} gnarl" for w in ("wretched", "vermin", "verrmin") for _ in range(20)]
+    sample = [(x, 1) for x in toxic] + [(x, 0) for x in quoting + [fill(25) + " quoth gnarl" for _ in range(12000)]]
+    df = spark.createDataFrame(sample, "text string, label int").repartition(5)
+    local = toxicity.learn_lexicon([(x.encode(), y) for x, y in sample])
+    got = toxicity.fit_lexicon(df, len(toxic), len(sample) - len(toxic))
+    assert (got.words, got.stems, got.fuzzy, got.weak, got.known) == (local.words, local.stems, local.fuzzy, local.weak, local.known) and got.words | got.stems
+    assert "quoth" in got.reporting - toxicity.REPORTING and "gnarl" in got.address - toxicity.ADDRESS
+    m = toxicity.Matcher(got)
+    assert m.features([b"quoth wretch quoth", b"gnarl wretch gnarl"])[:, toxicity.QUOTED].tolist() == [1, 0]
+    one = toxicity.fit(df.where("label = 1"))
+    assert one.bias > 0 and not one.lexicon.words and toxicity.fit(df.where("label is null")).bias < 0
+
+
 def test_misspelled_beginnings_swaps_and_scripts():
     toxic = [f"you {w} {x} go away" for w in ("idiot", "idiots", "idiotic") for x in ("„Дурак“", "gu") for _ in range(10)]
     toxic += ["you rarest monstrosity go away"] * 12 + ["plain words here"] * 1000
