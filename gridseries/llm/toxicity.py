@@ -72,11 +72,14 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
-def letters_of(words: list[str]) -> np.ndarray:
-    """The set of letters of each word as 64 bits; letters may share a bit.  Words are not empty."""
+def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of letters and of pairs of neighbours of each word, as 64 bits; several may share a bit.  Words are not empty."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    bits = np.uint64(1) << (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
-    return np.bitwise_or.reduceat(bits, np.cumsum([0, *map(len, words[:-1])]))
+    ends = np.cumsum(list(map(len, words)))
+    bit = lambda x: np.uint64(1) << (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+    pairs = bit(codes * np.uint64(1 << 21) + np.append(codes[1:], np.uint64(0)))
+    pairs[ends - 1] = 0
+    return tuple(np.bitwise_or.reduceat(x, np.append(0, ends[:-1])) for x in (bit(codes), pairs))
 
 
 class Trie:
@@ -238,7 +241,7 @@ class Matcher:
         by_length: dict[int, list[str]] = {}
         for w in sorted(x.fuzzy):
             by_length.setdefault(len(w), []).append(w)
-        self.letters = {n: np.unique(letters_of(w)) for n, w in by_length.items()}
+        self.letters = {n: list(zip(*letters_of(w))) for n, w in by_length.items()}
 
     def _misspelled(self, word: str, most: int) -> bool:
         """Only words that share a deletion with the lexicon, as all in reach do, run through the automaton."""
@@ -247,14 +250,20 @@ class Matcher:
         return not self.near.isdisjoint(deletions(word, most)) and self.fuzzy.within(word, most, True, edit_limit) is not None
 
     def _reach(self, words: list[str]) -> np.ndarray:
-        """By how many edits at most each word may be a lexicon word, told by lengths and sets of letters: an edit changes two letters of a set at most."""
-        own, sizes = letters_of(words), np.array([len(w) for w in words], np.int64)
+        """By how many edits at most each word may be a lexicon word, told by lengths, letters and pairs of neighbours.
+
+        An edit takes one letter and three pairs (a swap) out of a set at most, and brings as many.
+        """
+        (own, own_pairs), sizes = letters_of(words), np.array([len(w) for w in words], np.int64)
         out = np.zeros(len(words), np.int64)
         for n, sets in sorted(self.letters.items(), reverse=True):  # long lexicon words allow most edits
             most = edit_limit(n)
             at = np.flatnonzero((out < most) & (np.abs(sizes - n) <= most))
-            for letters in sets:
-                out[at[np.bitwise_count(own[at] ^ letters) <= 2 * most]] = most
+            count = np.bitwise_count
+            for letters, pairs in sets:
+                near = at[(count(own[at] & ~letters) <= most) & (count(letters & ~own[at]) <= most)]
+                near = near[(count(own_pairs[near] & ~pairs) <= 3 * most) & (count(pairs & ~own_pairs[near]) <= 3 * most)]
+                out[near] = most
         return out
 
     def kinds(self, words: Iterable[str]) -> dict[str, int | None]:
